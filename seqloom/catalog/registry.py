@@ -27,7 +27,10 @@ def query(covers: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-MODULES = ["sequences", "filtering", "alignments"]
+MODULES = [
+    "alignments", "augmentation", "columns", "complexes", "filtering", "outcomes", "plans", "selection",
+    "sequences", "structures", "tables",
+]
 
 
 def load() -> None:

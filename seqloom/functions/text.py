@@ -50,7 +50,9 @@ def matches_udf(left: pd.Series, right: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def ratio_udf(left: pd.Series, right: pd.Series) -> pd.Series:
     """``difflib`` similarity ratio, for pairs of unequal length only (it has no SQL form)."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
+    return pd.Series(
+        [SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right)], dtype="float64"
+    )
 
 
 def similar_text(a: str, b: str, threshold: float) -> bool:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from seqloom.alphabets import FALLBACK_MUTATION_RATE, MUTABLE_ALPHABET
-from seqloom.functions.scalar import letters
+from seqloom.functions.scalar import bind, letters
 from seqloom.functions.uniform import hash_gauss, hash_index, hash_uniform
 from seqloom.operators.filters import valid_chunks
 from seqloom.operators.groups import key_fields, row_numbers
@@ -118,21 +118,28 @@ def _attach_matrix(df: DataFrame, matrix: DataFrame, alphabet: str) -> DataFrame
 
 def _mutated(keys: list[Column], n_change: Column, alphabet: str, seed: int) -> Column:
     """Draws distinct mutable positions (lowest hashes first) and one substitute for each."""
-    chars = letters(F.col("seq"))
-    cells = F.transform(chars, lambda c, i: F.struct(hash_uniform(*keys, i, F.lit("p"), seed=seed).alias("u"), i.alias("i"), c.alias("c")))
-    mutable = F.filter(cells, lambda s: F.instr(F.lit(alphabet), s["c"]) > 0)
-    ordered = F.array_sort(mutable)
-    chosen = F.transform(F.slice(ordered, 1, F.greatest(n_change, F.lit(0)).cast("int")), lambda s: s["i"])
+    cells = F.transform(
+        letters(F.col("seq")),
+        lambda c, i: F.when(
+            F.instr(F.lit(alphabet), c) > 0,
+            F.struct(hash_uniform(*keys, i, F.lit("p"), seed=seed).alias("u"), i.alias("i")),
+        ),
+    )
+    lowest = F.slice(F.array_sort(F.array_compact(cells)), 1, F.greatest(n_change, F.lit(0)).cast("int"))
 
-    def cell(c: Column, i: Column) -> Column:
-        u = hash_uniform(*keys, i, F.lit("s"), seed=seed)
-        options = F.col("table")[c]
-        hit = F.filter(options, lambda o: u < o["cum_hi"])
+    def draw(c: Column, pick: Column) -> Column:
+        hit = F.filter(pick["options"], lambda o: pick["u"] < o["cum_hi"])
         # The last bound can fall short of 1 by rounding; the last letter takes what is left.
-        drawn = F.when(F.size(hit) > 0, hit[0]["to_aa"]).otherwise(F.element_at(options, -1)["to_aa"])
-        return F.when(F.array_contains("__chosen", i) & options.isNotNull(), drawn).otherwise(c)
+        last = F.element_at(pick["options"], -1)
+        return F.coalesce(F.get(hit, F.lit(0))["to_aa"], last["to_aa"], c)
+
+    def cell(chosen: Column, c: Column, i: Column) -> Column:
+        u = hash_uniform(*keys, i, F.lit("s"), seed=seed)
+        options = F.struct(u.alias("u"), F.col("table")[c].alias("options"))
+        return F.when(F.array_contains(chosen, i), bind(options, lambda pick: draw(c, pick))).otherwise(c)
 
-    return chosen, F.array_join(F.transform(chars, cell), "")
+    positions = F.transform(lowest, lambda s: s["i"])
+    return bind(positions, lambda ch: F.array_join(F.transform(letters(F.col("seq")), lambda c, i: cell(ch, c, i)), ""))
 
 
 def mutate_rows(
@@ -141,11 +148,11 @@ def mutate_rows(
     """Substitutes ``n_change`` distinct mutable positions per row by the row's ``matrix``.
 
     Everything happens inside the row (arrays and a broadcast table), without exploding residues.
-    A residue the matrix does not know stays.
+    A residue the matrix does not know stays, and so does a row without work to do.
     """
-    chosen, text = _mutated([F.col(k) for k in keys], n_change, alphabet, seed)
+    text = _mutated([F.col(k) for k in keys], n_change, alphabet, seed)
     joined = _attach_matrix(df, matrix, alphabet)
-    return joined.withColumn("__chosen", chosen).withColumn("seq", text).drop("__chosen", "table")
+    return joined.withColumn("seq", F.when(n_change > 0, text).otherwise(F.col("seq"))).drop("table")
 
 
 def percent_changes(rate: Column) -> Column:

@@ -67,7 +67,9 @@ def rarity_scores(df: DataFrame, key: list[str] = KEY) -> DataFrame:
     profile = scored.groupBy(*key, "pos").agg(
         F.map_from_entries(F.collect_list(F.struct("aa", "gain"))).alias("gains")
     ).groupBy(*key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "gains"))), lambda s: s["gains"]).alias("profile")
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("pos", "gains")), lambda x, y: x["pos"] - y["pos"]), lambda s: s["gains"]
+        ).alias("profile")
     )
     gains = F.zip_with(letters(F.col("seq")), "profile", lambda aa, g: F.coalesce(g[aa], F.lit(0.0)))
     score = F.aggregate(gains, F.lit(0.0), lambda acc, g: acc + g)
