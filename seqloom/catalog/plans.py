@@ -1 +1,233 @@
-"""Queries."""
+"""Request tables, generator runs and composed jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from seqloom.catalog import bindings as b
+from seqloom.catalog.augmentation import QUERIES_SQL, _queries
+from seqloom.catalog.registry import query
+from seqloom.functions.scalar import cache_modes
+from seqloom.plans import generate, jobs, requests
+from seqloom.schemas import SWEEP_FIELDS
+
+GRID = {"base": {"top_k": 20.0, "top_p": 0.95}, "matrix": {"temperature": [0.2, 0.7, 1.2], "repetition_penalty": [1.0, 1.5]}}
+
+
+def _docs(spark, sf_dir):
+    return b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "lang")
+
+
+@query(
+    "JN4",
+    "WITH t AS (SELECT doc_id AS query_id, unnest(range(3)) AS a, unnest([0.2::DOUBLE, 0.7::DOUBLE, 1.2::DOUBLE]) AS temperature FROM documents), "
+    "r AS (SELECT *, unnest(range(2)) AS p, unnest([1.0::DOUBLE, 1.5::DOUBLE]) AS repetition_penalty FROM t) "
+    "SELECT query_id, a * 2 + p AS config_id, temperature, repetition_penalty, 20.0::DOUBLE AS top_k, 0.95::DOUBLE AS top_p FROM r",
+)
+def decoding_grid(spark, sf_dir):
+    grid = requests.with_decoding_grid(_docs(spark, sf_dir), GRID)
+    names = ["temperature", "repetition_penalty", "top_k", "top_p"]
+    return grid.select("query_id", "config_id", *[F.col("decode_conf")[n].alias(n) for n in names])
+
+
+_REQ_SQL = (
+    f"{QUERIES_SQL}, runs AS (SELECT *, unnest([1, 2]) AS run_idx FROM qs), "
+    "cov AS (SELECT *, len(seq)::BIGINT AS full_len, unnest([0.5::DOUBLE, 1.0::DOUBLE]) AS coverage, unnest([0, 1]) AS coverage_no FROM runs), "
+    "sized AS (SELECT *, floor(coverage * full_len)::BIGINT AS chunk_len FROM cov WHERE floor(coverage * full_len) BETWEEN 1 AND full_len), "
+    f"st AS (SELECT *, floor({b.uniform_sql('query_id', 'coverage_no', 'run_idx')} * (full_len - chunk_len + 1))::BIGINT AS start FROM sized), "
+    "g AS (SELECT *, unnest(range(6)) AS config_id FROM st), g2 AS (SELECT *, unnest(range(2)) AS return_no FROM g), "
+    "req AS (SELECT *, unnest(range(2)) AS copy_no FROM g2)"
+)
+
+
+@query(
+    "JN5 SMP1 GEN1",
+    f"WITH {_REQ_SQL} SELECT query_id, run_idx, ((config_id * 2 + coverage_no) * 2 + return_no) * 2 + copy_no + 1 AS seq_idx, start, chunk_len FROM req",
+)
+def generation_requests(spark, sf_dir):
+    out = requests.generation_requests(_queries(spark, sf_dir), GRID, [0.5, 1.0], 2, 2, 2)
+    return out.select("query_id", "run_idx", "seq_idx", "start", "chunk_len")
+
+
+@query(
+    "JN6 FN5",
+    f"WITH {_REQ_SQL} SELECT query_id, run_idx, ((config_id * 2 + coverage_no) * 2 + return_no) * 2 + copy_no + 1 AS seq_idx, "
+    "md5(repeat('-', start) || reverse(substr(seq, start + 1, chunk_len)) || repeat('-', full_len - start - chunk_len)) AS seq FROM req",
+)
+def placed_candidates(spark, sf_dir):
+    """Results (here the reversed chunks) joined back to their requests and padded."""
+    req = requests.generation_requests(_queries(spark, sf_dir), GRID, [0.5, 1.0], 2, 2, 2)
+    keys = ["query_id", "run_idx", "seq_idx"]
+    results = req.select(*keys, F.reverse("chunk").alias("seq"))
+    return requests.placed_candidates(req, results, keys).select(*keys, F.md5("seq").alias("seq"))
+
+
+@query(
+    "JN7",
+    "SELECT doc_id AS query_id, unnest(['baseline', 'round_trip', '3di_perturb']) AS strategy FROM documents",
+)
+def strategy_jobs(spark, sf_dir):
+    """Unknown strategy names are skipped."""
+    return requests.job_table(_docs(spark, sf_dir).select("query_id"), ["baseline", "unknown", "round_trip", "3di_perturb"])
+
+
+_SIZES = {
+    "baseline": 100, "temperature_sweep": 140, "round_trip": 144, "3di_perturb": 144, "encoder_perturb": 136,
+    "embedding_walk_full": 125, "embedding_walk_encoder": 900, "encoder_only_3di_sub": 150, "cnn_3di_predict": 140,
+    "cnn_aa_predict": 128, "diverse_beam": 48,
+}
+
+
+@query(
+    "GEN2 GEN3 GEN4 GEN5 GEN6 GEN7 GEN8 GEN9 GEN10 GEN11 GEN12 GEN13",
+    "SELECT conv_id AS query_id, s.strategy, s.n::BIGINT AS n_requests FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES "
+    + ", ".join(f"('{k}', {v})" for k, v in _SIZES.items())
+    + ") s(strategy, n)",
+)
+def strategy_plan_sizes(spark, sf_dir):
+    q = b.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id")).distinct()
+    return jobs.strategy_plan_sizes(q, [*_SIZES, "single_sequence"])
+
+
+@query(
+    "GEN5",
+    "WITH a AS (SELECT doc_id AS query_id, unnest(range(4)) AS s FROM documents), r AS (SELECT *, unnest(range(6)) AS k, "
+    "unnest([0.05::DOUBLE, 0.10::DOUBLE, 0.15::DOUBLE, 0.20::DOUBLE, 0.30::DOUBLE, 0.40::DOUBLE]) AS rate FROM a), "
+    "q AS (SELECT *, unnest(range(6)) AS t FROM r) SELECT query_id, (s * 6 + k) * 6 + t AS request_no, rate FROM q",
+)
+def structure_token_requests(spark, sf_dir):
+    out = requests.strategy_requests(_docs(spark, sf_dir).select("query_id"), "3di_perturb")
+    return out.select("query_id", "request_no", F.col("params")["rate"].alias("rate"))
+
+
+_MODES_SQL = "m AS (SELECT doc_id, unnest([NULL, 'static']) AS cache_implementation, unnest([0, 1]) AS c FROM documents)"
+
+
+@query(
+    "GEN14 FN18",
+    f"WITH {_MODES_SQL}, g AS (SELECT *, unnest(range(52)) AS no FROM m) SELECT doc_id, cache_implementation, c * 52 + no AS variant_no, "
+    "CASE WHEN no < 48 THEN [0.3, 0.5, 0.7, 0.9][no // 12 + 1]::DOUBLE ELSE 0.5 END AS temperature, "
+    "CASE WHEN no < 48 THEN printf('temperature=%s,top_k=%s,top_p=%s', ['0.3', '0.5', '0.7', '0.9'][no // 12 + 1], ['1', '3', '5', '10'][no // 3 % 4 + 1], ['0.70', '0.80', '0.90'][no % 3 + 1]) "
+    "ELSE 'temperature=0.5,top_k=5,top_p=0.80,' || ['min_p=0.05', 'typical_p=0.8', 'eta_cutoff=0.0006', 'epsilon_cutoff=0.0006'][no - 47] END AS variant_param FROM g",
+)
+def temperature_variants(spark, sf_dir):
+    modes = cache_modes(F.array(F.lit(None).cast("string"), F.lit("static")))
+    docs = b.table(spark, sf_dir, "documents").select("doc_id")
+    out = requests.temperature_variants(docs, modes)
+    return out.select("doc_id", "cache_implementation", "variant_no", F.col("decode_conf")["temperature"].alias("temperature"), "variant_param")
+
+
+@query(
+    "GEN15",
+    f"WITH {_MODES_SQL} SELECT doc_id, cache_implementation, c * 7 + no AS variant_no, 'sigma=' || s AS variant_param, s::DOUBLE AS sigma FROM "
+    "(SELECT *, unnest(range(7)) AS no, unnest(['0.005', '0.01', '0.02', '0.03', '0.05', '0.07', '0.1']) AS s FROM m)",
+)
+def embedding_variants(spark, sf_dir):
+    modes = cache_modes(F.array(F.lit(None).cast("string"), F.lit("static")))
+    out = requests.embedding_variants(b.table(spark, sf_dir, "documents").select("doc_id"), modes)
+    return out.select("doc_id", "cache_implementation", "variant_no", "variant_param", F.col("extra")["sigma"].alias("sigma"))
+
+
+def _reverse_or_fail(pdf):
+    """A stand-in model that cannot handle some inputs."""
+    if pdf["chunk"].str.startswith("E").any():
+        raise ValueError("cannot start with E")
+    if pdf["chunk"].str.startswith("S").any():
+        raise MemoryError("out of memory")
+    return pdf.assign(seq=pdf["chunk"].str[::-1])
+
+
+@query(
+    "GEN0 GEN16",
+    f"WITH {b.READS} SELECT msa_id, seq_idx, CASE WHEN left(seq, 1) IN ('E', 'S') THEN NULL ELSE reverse(seq) END AS seq, "
+    "CASE left(seq, 1) WHEN 'E' THEN 'skipped' WHEN 'S' THEN 'oom' ELSE 'ok' END AS status, "
+    "CASE left(seq, 1) WHEN 'E' THEN 'cannot start with E' WHEN 'S' THEN 'out of memory' ELSE '' END AS error FROM reads",
+)
+def generator_run(spark, sf_dir):
+    req = b.reads(spark, sf_dir).select("msa_id", "seq_idx", F.col("seq").alias("chunk"))
+    return generate.run_generator(req, _reverse_or_fail).select("msa_id", "seq_idx", "seq", "status", "error")
+
+
+@query(
+    "GEN16",
+    "SELECT doc_id::VARCHAR AS protein_id, 16 AS target_n, 64 AS candidate_n_requested, 0 AS raw_candidates, 0.0::DOUBLE AS neff, 'pending' AS status, '' AS error FROM documents",
+)
+def pending_results(spark, sf_dir):
+    q = b.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("protein_id"))
+    out = generate.pending_results(q, 16, 64)
+    return out.select("protein_id", "target_n", "candidate_n_requested", "raw_candidates", "neff", "status", "error")
+
+
+def _first_rows(spark, sf_dir):
+    s = b.rows_only(b.seqs(spark, sf_dir))
+    return s.where(F.col("seq_idx") == 0).select(F.col("msa_id").cast("string").alias("protein_id"), F.col("seq").alias("query"))
+
+
+@query(
+    "GEN17 SEL8 FLT1",
+    f"WITH {b.SEQS}, kept AS (SELECT * FROM (SELECT msa_id, lang, seq_idx, seq, row_number() OVER (PARTITION BY msa_id ORDER BY "
+    f"{b.uniform_sql('msa_id', 'lang', 'seq_idx')}, seq_idx) AS place FROM seqs WHERE seq_idx > 0) WHERE place <= 24), "
+    "al AS (SELECT msa_id, lang, seq_idx, seq FROM kept UNION ALL SELECT msa_id, lang, -1, seq FROM seqs WHERE seq_idx = 0 AND msa_id IN (SELECT msa_id FROM kept)), "
+    "near AS (SELECT l.msa_id, l.lang, l.seq_idx, count(r.seq_idx) AS n FROM al l LEFT JOIN al r ON l.msa_id = r.msa_id AND l.seq_idx <> r.seq_idx "
+    "AND (60 - hamming(l.seq, r.seq)) / 60.0::DOUBLE >= 0.5 GROUP BY ALL), "
+    "nf AS (SELECT msa_id, count(*) AS n, sum(1.0::DOUBLE / (1 + n)) / sqrt(60) AS neff FROM near GROUP BY msa_id) "
+    "SELECT msa_id::VARCHAR AS protein_id, lang AS strategy, '' AS variant_param, coalesce(nf.n - 1, 0)::INT AS n_sequences, round(coalesce(neff, 0), 4) AS neff "
+    "FROM (SELECT * FROM seqs WHERE seq_idx = 0) LEFT JOIN nf USING (msa_id)",
+)
+def evaluated_strategies(spark, sf_dir):
+    """Each document's later rows as candidates for its first row; the language names the strategy."""
+    s = b.seqs(spark, sf_dir).select(F.col("msa_id").cast("string").alias("protein_id"), F.col("lang").alias("strategy"), "seq_idx", "seq")
+    jobs_table = s.where(F.col("seq_idx") == 0).select("protein_id", "strategy", F.lit("").alias("variant_param"), F.col("seq").alias("query"))
+    table, _ = jobs.evaluate_strategies(s.where(F.col("seq_idx") > 0), jobs_table, 24)
+    return table
+
+
+@query("GEN18 SEL7 FLT3 SNK7 JOB6")
+def sweep_results(spark, sf_dir):
+    """The sweep over all documents: candidates are the document's own later rows."""
+    ids = [F.col("lang").alias("strategy"), F.lit("v").alias("variant_param"), F.lit(None).cast("string").alias("cache_implementation")]
+    s = b.seqs(spark, sf_dir).withColumn("protein_id", F.col("msa_id").cast("string"))
+    job = s.where(F.col("seq_idx") == 0).select("protein_id", *ids, F.col("seq").alias("query"))
+    cand = s.where(F.col("seq_idx") > 0).select("protein_id", *ids, "seq_idx", "seq")
+    return jobs.sweep_job(cand, job, 8, 64).select(*SWEEP_FIELDS)
+
+
+def _mutations(spark, rate=30.0):
+    matrix = b.matrices(spark)
+
+    def candidates(r):
+        marked = r.withColumn("matrix", F.lit("close"))
+        return generate.mutation_candidates(marked, matrix, F.lit(rate), ["query_id", "run_idx", "seq_idx"])
+
+    return candidates
+
+
+@query("JOB1 GEN1 FLT4 SMP7 SET1 WIN1 SNK8")
+def built_alignments(spark, sf_dir):
+    """The monomer job over all rows of the corpus as queries, with the built-in mutation generator."""
+    q = b.seqs(spark, sf_dir).select(
+        F.concat_ws("_", F.col("msa_id").cast("string"), F.col("seq_idx").cast("string")).alias("query_id"), "seq"
+    )
+    rows = jobs.build_alignments(
+        q, _mutations(spark), b.matrices(spark), {"close": 10.0, "wide": 20.0}, 0.5, params={"base": {"top_p": 0.9}},
+        num_returns=2, multiplier=1,
+    )
+    return rows.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("msa_id").alias("n_alignments"), F.sum(F.length("seq")).alias("n_letters")
+    )
+
+
+@query("GEN4")
+def round_trip_rows(spark, sf_dir):
+    """Three rounds of mutation, each fed by the round before."""
+    matrix = b.matrices(spark)
+    seeds = b.rows_only(b.seqs(spark, sf_dir))
+
+    def step(rows, r):
+        from seqloom.operators.augment import mutate_rows, percent_changes
+
+        return mutate_rows(
+            rows.withColumn("matrix", F.lit("wide")), matrix, percent_changes(F.lit(10.0)), ["msa_id", "seq_idx"], seed=r
+        ).select("msa_id", "seq_idx", "seq")
+
+    return generate.round_trip(seeds, 3, step)

@@ -118,14 +118,10 @@ def _attach_matrix(df: DataFrame, matrix: DataFrame, alphabet: str) -> DataFrame
 
 def _mutated(keys: list[Column], n_change: Column, alphabet: str, seed: int) -> Column:
     """Draws distinct mutable positions (lowest hashes first) and one substitute for each."""
-    cells = F.transform(
-        letters(F.col("seq")),
-        lambda c, i: F.when(
-            F.instr(F.lit(alphabet), c) > 0,
-            F.struct(hash_uniform(*keys, i, F.lit("p"), seed=seed).alias("u"), i.alias("i")),
-        ),
-    )
-    lowest = F.slice(F.array_sort(F.array_compact(cells)), 1, F.greatest(n_change, F.lit(0)).cast("int"))
+
+    def ticket(c: Column, i: Column) -> Column:
+        own = F.struct(hash_uniform(*keys, i, F.lit("p"), seed=seed).alias("u"), i.alias("i"))
+        return F.when(F.instr(F.lit(alphabet), c) > 0, own)
 
     def draw(c: Column, pick: Column) -> Column:
         hit = F.filter(pick["options"], lambda o: pick["u"] < o["cum_hi"])
@@ -133,13 +129,17 @@ def _mutated(keys: list[Column], n_change: Column, alphabet: str, seed: int) ->
         last = F.element_at(pick["options"], -1)
         return F.coalesce(F.get(hit, F.lit(0))["to_aa"], last["to_aa"], c)
 
-    def cell(chosen: Column, c: Column, i: Column) -> Column:
+    def cell(highest: Column, c: Column, i: Column) -> Column:
         u = hash_uniform(*keys, i, F.lit("s"), seed=seed)
         options = F.struct(u.alias("u"), F.col("table")[c].alias("options"))
-        return F.when(F.array_contains(chosen, i), bind(options, lambda pick: draw(c, pick))).otherwise(c)
+        return F.when(ticket(c, i) <= highest, bind(options, lambda pick: draw(c, pick))).otherwise(c)
+
+    def changed(highest: Column) -> Column:
+        return F.array_join(F.transform(letters(F.col("seq")), lambda c, i: cell(highest, c, i)), "")
 
-    positions = F.transform(lowest, lambda s: s["i"])
-    return bind(positions, lambda ch: F.array_join(F.transform(letters(F.col("seq")), lambda c, i: cell(ch, c, i)), ""))
+    # The highest ticket drawn decides every position on its own, so long rows cost no more per letter.
+    tickets = F.slice(F.array_sort(F.array_compact(F.transform(letters(F.col("seq")), ticket))), 1, F.greatest(n_change, F.lit(0)).cast("int"))
+    return bind(F.array_max(tickets), changed)
 
 
 def mutate_rows(

@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 from seqloom.functions.scalar import chain_array, is_homo_oligomer
 from seqloom.functions.uniform import hash_index, hash_uniform
 from seqloom.operators.dedup import near_dedup
-from seqloom.operators.groups import first_n, index_bucket, row_numbers
+from seqloom.operators.groups import first_n, index_bucket, over_tasks, row_numbers
 from seqloom.operators.neff import neff
+from seqloom.session import cut_lineage
 
 ENUMERATE_FACTOR = 4  # products up to this many times k are enumerated, larger ones are drawn from
 
@@ -60,6 +61,7 @@ def sample_product(
         full = n_chains.select("complex_id", F.col("n").alias("__want"))
         sizes = sizes.join(full, "complex_id").where(F.size("sizes") == F.col("__want")).drop("__want")
     plan = sizes.select("complex_id", "sizes", F.explode(F.sequence(F.lit(0), F.lit(n_subsets - 1))).alias("subset_id"))
+    plan = over_tasks(plan, ["complex_id", "subset_id"])
     total = _product(F.col("sizes"))
     who = [F.col("complex_id"), F.col("subset_id")]
 
@@ -76,16 +78,20 @@ def sample_product(
         ),
         lambda s: _decode(s["i"], F.col("sizes")),
     )
-    draws = F.array_distinct(
+    # As text the draws are hashed when made distinct; arrays would be compared pair by pair.
+    texts = F.array_distinct(
         F.transform(
             F.sequence(F.lit(0), F.lit(ENUMERATE_FACTOR * k - 1)),
-            lambda d: F.transform(F.col("sizes"), lambda n, c: hash_index(n, *who, d, c, seed=seed)),
+            lambda d: F.array_join(
+                F.transform(F.col("sizes"), lambda n, c: hash_index(n, *who, d, c, seed=seed).cast("string")), ","
+            ),
         )
     )
+    draws = F.transform(F.slice(texts, 1, k), lambda t: F.split(t, ",").cast("array<bigint>"))
     combos = (
         F.when(total <= k, whole)
         .when(total <= ENUMERATE_FACTOR * k, F.slice(shuffled, 1, k))
-        .otherwise(F.slice(draws, 1, k))
+        .otherwise(draws)
     )
     picks = plan.select("complex_id", "subset_id", F.posexplode(combos).alias("draw", "rows")).select(
         "complex_id", "subset_id", "draw", F.posexplode("rows").alias("chain_idx", "row_idx")
@@ -102,7 +108,8 @@ def dense_rows(df: DataFrame) -> DataFrame:
 
 def subset_depths(rows: DataFrame, n_subsets: int, subset_size: int, threshold: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(sampled subsets, depth per subset)."""
-    sampled = sample_product(rows, subset_size, n_subsets, seed)
+    # Read twice, for the depths and for the merge.
+    sampled = cut_lineage(sample_product(rows, subset_size, n_subsets, seed))
     keyed = sampled.withColumn("seq_idx", F.col("draw").cast("long"))
     return sampled, neff(keyed, threshold, ["complex_id", "subset_id"])
 

@@ -21,6 +21,7 @@ from seqloom.operators.groups import index_bucket, row_numbers
 from seqloom.operators.neff import neff, neff_before_after, neff_table, rejects
 from seqloom.plans.requests import generation_requests, multimer_requests, strategy_requests
 from seqloom.schemas import RESULT_FIELDS, SWEEP_FIELDS
+from seqloom.session import cut_lineage
 from seqloom.sources import sinks
 from seqloom.sources.fasta import read_a3m, read_fasta, read_project
 
@@ -89,9 +90,10 @@ def build_alignments(
     Evolved rows are not filtered again, and rows that were not sampled for evolution appear in both
     parts. Result: msa_id, kind (0 filtered, 1 evolved), run_idx, seq_idx, label, seq.
     """
-    raw = candidate_alignments(queries, candidates, **request_options)
+    # Generator output is computed once: the filter, the numbering and the evolution all read it.
+    raw = cut_lineage(candidate_alignments(queries, candidates, **request_options))
     key = ["msa_id", "run_idx"]
-    kept = filters.filter_rows(raw, "full_len", key=key)
+    kept = cut_lineage(filters.filter_rows(raw, "full_len", key=key))
     labelled = sinks.positional_labels(kept, "filtered", key).drop("full_len")
     evolved = None
     if matrix is not None:
@@ -121,8 +123,8 @@ def build_complexes(
     # One text key per block: the complex, a separator that no id holds, the chain number.
     block_id = F.to_json(F.struct(F.col("complex_id").alias("c"), F.col("chain_idx").alias("i")))
     blocks = inputs.select(block_id.alias("query_id"), "seq")
-    raw = candidate_alignments(blocks, candidates, **request_options)
-    kept = filters.filter_rows(raw, "full_len", key=["msa_id", "run_idx"]).drop("full_len")
+    raw = cut_lineage(candidate_alignments(blocks, candidates, **request_options))
+    kept = cut_lineage(filters.filter_rows(raw, "full_len", key=["msa_id", "run_idx"]).drop("full_len"))
     rows = kept
     if matrix is not None:
         labelled = sinks.positional_labels(kept, "filtered", ["msa_id", "run_idx"])
@@ -223,7 +225,7 @@ def strategy_job(
 
     jobs = job_table(proteins, strategies).withColumn("variant_param", F.lit(""))
     wanted = all_strategy_requests(proteins, [s for s in strategies if s in STRATEGY_CONFIGS])
-    rows = generate(wanted).withColumn("seq_idx", F.col("request_no"))
+    rows = cut_lineage(generate(wanted)).withColumn("seq_idx", F.col("request_no"))
     table, _ = evaluate_strategies(rows, jobs, target_n)
     full = table.withColumns({c: F.lit(None).cast("double") for c in ("gen_time_s", "peak_vram_gb")})
     blank = proteins.select("protein_id", F.lit(None).cast("string").alias("strategy"), F.lit(None).cast("double").alias("ptm")).where(F.lit(False))

@@ -13,7 +13,7 @@ DONE_LINE = "_seed_\\d+\\s+took\\s+[\\d.]+s"
 
 
 def stream_neff(
-    spark: SparkSession, in_path: str, out_path: str, checkpoint: str, once: bool = True, files_per_batch: int = 10_000
+    spark: SparkSession, in_path: str, out_path: str, checkpoint: str, once: bool = True, files_per_batch: int = 10_000, glob: str = "*.a3m",
 ) -> StreamingQuery:
     """Appends the depth of every arriving A3M file to a Parquet table.
 
@@ -21,11 +21,10 @@ def stream_neff(
     partition it writes, so a repeated batch replaces itself.
     """
     files = (
-        spark.readStream.option("wholetext", "true")
-        .option("pathGlobFilter", "*.a3m")
+        spark.readStream.option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", str(files_per_batch))
-        .text(in_path)
+        .text(in_path, wholetext=True)
         .select(_decoded(F.col("_metadata.file_path")).alias("path"), "value")
     )
 
