@@ -80,7 +80,7 @@ def chain_rows_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def complexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complex queries: chains joined with ``:``."""
-    ordered = F.array_sort(F.collect_list(F.struct("chain_idx", "chain")))
+    ordered = F.sort_array(F.collect_list(F.struct("chain_idx", "chain")))
     joined = F.array_join(F.transform(ordered, lambda s: s["chain"]), ":")
     return chains(spark, sf_dir).groupBy("complex_id").agg(joined.alias("query"))
 

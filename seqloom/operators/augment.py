@@ -101,7 +101,7 @@ def _matrix_maps(matrix: DataFrame, alphabet: str) -> DataFrame:
     """One row per matrix: letter -> ordered (cumulative bound, substitute)."""
     probs = substitution_probs(matrix, alphabet).where(F.col("from_aa").isin(list(alphabet)))
     options = probs.groupBy("matrix", "from_aa").agg(
-        F.array_sort(F.collect_list(F.struct("cum_hi", "to_aa"))).alias("options")
+        F.sort_array(F.collect_list(F.struct("cum_hi", "to_aa"))).alias("options")
     )
     return options.groupBy("matrix").agg(
         F.map_from_entries(F.collect_list(F.struct("from_aa", "options"))).alias("table")
@@ -138,7 +138,7 @@ def _mutated(keys: list[Column], n_change: Column, alphabet: str, seed: int) ->
         return F.array_join(F.transform(letters(F.col("seq")), lambda c, i: cell(highest, c, i)), "")
 
     # The highest ticket drawn decides every position on its own, so long rows cost no more per letter.
-    tickets = F.slice(F.array_sort(F.array_compact(F.transform(letters(F.col("seq")), ticket))), 1, F.greatest(n_change, F.lit(0)).cast("int"))
+    tickets = F.slice(F.sort_array(F.array_compact(F.transform(letters(F.col("seq")), ticket))), 1, F.greatest(n_change, F.lit(0)).cast("int"))
     return bind(F.array_max(tickets), changed)
 
 

@@ -94,7 +94,7 @@ def over_tasks(df: DataFrame, key: list[str]) -> DataFrame:
 def pack_rows(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row per bounded group: ``rows``, an array of its records sorted by ``order``."""
     rest = [c for c in df.columns if c not in key and c not in order]
-    rows = F.array_sort(F.collect_list(F.struct(*order, *rest)))
+    rows = F.sort_array(F.collect_list(F.struct(*order, *rest)))
     return over_tasks(df, key).groupBy(*key).agg(rows.alias("rows"))
 
 

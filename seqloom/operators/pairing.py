@@ -27,7 +27,7 @@ def explode_chains(queries: DataFrame) -> DataFrame:
 def chain_sizes(rows: DataFrame) -> DataFrame:
     """Per complex, the number of rows of each chain in chain order."""
     counts = rows.groupBy("complex_id", "chain_idx").agg(F.count(F.lit(1)).alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("chain_idx", "n")))
+    ordered = F.sort_array(F.collect_list(F.struct("chain_idx", "n")))
     return counts.groupBy("complex_id").agg(F.transform(ordered, lambda s: s["n"]).alias("sizes"))
 
 
@@ -70,7 +70,7 @@ def sample_product(
 
     whole = in_order(total.cast("long"))
     shuffled = F.transform(
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 F.sequence(F.lit(0).cast("long"), total.cast("long") - 1),
                 lambda i: F.struct(hash_uniform(*who, i, seed=seed).alias("u"), i.alias("i")),
@@ -97,7 +97,7 @@ def sample_product(
         "complex_id", "subset_id", "draw", F.posexplode("rows").alias("chain_idx", "row_idx")
     )
     pieces = picks.join(rows.select("complex_id", "chain_idx", "row_idx", "seq"), ["complex_id", "chain_idx", "row_idx"])
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chain_idx", "seq"))), lambda s: s["seq"]), "")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chain_idx", "seq"))), lambda s: s["seq"]), "")
     return pieces.groupBy("complex_id", "subset_id", "draw").agg(text.alias("seq"))
 
 

@@ -17,7 +17,7 @@ from seqloom.alphabets import (
 )
 from seqloom.functions.scalar import pad_sequence
 from seqloom.operators import augment, filters, pairing, results, select
-from seqloom.operators.groups import index_bucket, row_numbers
+from seqloom.operators.groups import index_bucket, over_tasks, row_numbers
 from seqloom.operators.neff import neff, neff_before_after, neff_table, rejects
 from seqloom.plans.requests import generation_requests, multimer_requests, strategy_requests
 from seqloom.schemas import RESULT_FIELDS, SWEEP_FIELDS
@@ -46,7 +46,8 @@ def candidate_alignments(
     requests = generation_requests(
         queries, params or DEFAULT_DECODING, coverages or DEFAULT_COVERAGE, num_returns, multiplier, n_runs, seed
     )
-    padded = padded_rows(candidates(requests))
+    # A few queries fan out to many requests, and a request costs far more than its bytes.
+    padded = padded_rows(candidates(over_tasks(requests, ["query_id", "run_idx", "seq_idx"])))
     own = queries.select(
         F.col("query_id").alias("msa_id"),
         F.explode(F.sequence(F.lit(1), F.lit(n_runs))).alias("run_idx"),
