@@ -203,7 +203,7 @@ def evaluate_strategies(candidates: DataFrame, jobs: DataFrame, target_n: int =
     with the query; a job without rows has depth 0.
     """
     key = ["protein_id", "strategy"]
-    fits = candidates.join(jobs.select(*key, "query"), key).where(F.length("seq") == F.length("query"))
+    fits = candidates.select(*key, "seq_idx", "seq").join(jobs.select(*key, "query"), key).where(F.length("seq") == F.length("query"))
     kept = select.random_subset(fits.select(*key, "seq_idx", "seq"), target_n, key, seed)
     own = jobs.select(*key, F.lit(-1).cast("long").alias("seq_idx"), F.col("query").alias("seq"))
     filled = kept.select(*key).distinct()

@@ -171,3 +171,40 @@ def test_entry_is_consistent():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert not [q for q in entry.queries() if re.match(r"op\d|pipeline", q)]
+
+
+def test_benchmark_folder_and_strategy_job(spark, tmp_path):
+    put(tmp_path / "fasta" / "p1.fasta", ">x\nACDEFGHIKL\n>y\nAC\n")
+    put(tmp_path / "fasta" / "p2.fasta", ">z\nMNPQRSTVWY\n")
+    put(tmp_path / "pdb" / "p1.pdb", "END\n")
+    found = fasta.benchmark_queries(spark, str(tmp_path))
+    refs = {r["protein_id"]: (r["seq"], r["ref_pdb"]) for r in fasta.with_reference_pdb(found, str(tmp_path)).collect()}
+    assert refs["p1"][0] == "ACDEFGHIKL" and refs["p1"][1].endswith("/pdb/p1.pdb") and refs["p2"] == ("MNPQRSTVWY", None)
+    proteins = found.withColumnRenamed("seq", "query")
+    scores = spark.createDataFrame([("p1", "round_trip", 0.5)], "protein_id string, strategy string, ptm double")
+
+    def generate_rows(wanted):
+        return wanted.withColumn("seq", F.when(F.col("request_no") % 2 == 0, F.col("query")).otherwise(F.lit("AC")))
+
+    table, summary = jobs.strategy_job(proteins, generate_rows, ["round_trip", "single_sequence", "nope"], 10, scores)
+    got = {(r["protein_id"], r["strategy"]): (r["n_sequences"], r["neff"], r["ptm"]) for r in table.collect()}
+    one = round(10**-0.5, 4)
+    assert got == {
+        ("p1", "round_trip"): (10, one, 0.5), ("p2", "round_trip"): (10, one, None),
+        ("p1", "single_sequence"): (0, 0.0, None), ("p2", "single_sequence"): (0, 0.0, None),
+    }
+    shown = {r["strategy"]: (r["neff"], r["ptm"]) for r in summary.collect()}
+    assert shown == {"round_trip": ("0.316", "0.500"), "single_sequence": ("0.000", "—")}
+
+
+def test_sink_labels(spark, tmp_path):
+    df = spark.createDataFrame([("m", 0, None, "AC"), ("m", 1, "own", "AD")], "msa_id string, seq_idx long, label string, seq string")
+    sinks.append_records(df, str(tmp_path / "out"))
+    sinks.append_records(df.where("seq_idx = 1"), str(tmp_path / "out"))
+    folder = tmp_path / "out" / "msa_id=m"
+    text = sorted((folder / f).read_text() for f in os.listdir(folder) if f.startswith("part"))
+    assert text == [">appended_seq_0\nAC\n>own\nAD\n", ">own\nAD\n"]
+    assert [r["label"] for r in sinks.folder_headers(df).orderBy("seq_idx").collect()] == ["m", "own"]
+    sinks.write_csv(df, str(tmp_path / "csv"), ["seq", "missing"])
+    lines = [x for f in os.listdir(tmp_path / "csv") if f.endswith(".csv") for x in (tmp_path / "csv" / f).read_text().splitlines()]
+    assert sorted(set(lines)) == ["AC,", "AD,", "seq,missing"]
