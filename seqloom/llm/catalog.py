@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from seqloom.llm import mixing, rules
+from seqloom.llm import language, mixing, packing, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +33,24 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public vocabulary file; the package that holds them is on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op4_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @query()
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
     return out.select("doc_id", *rules.BASE, "base_failed", "kept", "score", "cutoff")
+
+
+@query()
+def op10_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(table(spark, sf_dir, "documents"))

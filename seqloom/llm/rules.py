@@ -152,7 +152,7 @@ def quality_rules(
     stratum: str = "lang",
     risk: float = 0.01,
     delta: float = 0.05,
-    cost: float = 20.0,
+    cost: float = 100.0,
 ) -> DataFrame:
     """Columns ``carry`` of ``docs`` with the base counts, ``base_failed``, ``score``, ``cutoff`` and ``kept``.
 
