@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import language, mixing, packing, rules
+from seqloom.llm import language, mixing, packing, rules, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_remove_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_passages(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 @query()
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -51,6 +56,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *rules.BASE, "base_failed", "kept", "score", "cutoff")
 
 
+@query()
+def op6_remove_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 @query()
 def op10_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(table(spark, sf_dir, "documents"))
