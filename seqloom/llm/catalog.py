@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import language, mixing, packing, rules, substrings, suffixes
+from seqloom.llm import language, mixing, packing, pages, rules, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,11 @@ def op6_remove_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+@query()
+def op7_extract_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_articles(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 @query()
 def op10_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(table(spark, sf_dir, "documents"))
