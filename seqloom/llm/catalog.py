@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqloom.llm import language, minhash, mixing, packing, pages, rules, substrings, suffixes
+from seqloom.llm import language, minhash, mixing, neighbours, packing, pages, rules, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +72,12 @@ def op7_extract_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_articles(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+@query()
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
 @query()
 def op10_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(table(spark, sf_dir, "documents"))
