@@ -1,12 +1,68 @@
-"""The corpus pipeline: quality rules, near-duplicates, repeated passages, source mix, packing."""
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, source mix, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next
+one's ``docs``. All but the last keep the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqloom.llm import catalog, minhash, mixing, packing, rules, substrings
+from seqloom.session import new_folder
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    labels = catalog.table(spark, sf_dir, "labels")
+    return rules.quality_rules(docs, labels, docs.columns).where("kept").select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the least doc_id."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document has; texts of which nothing is left go."""
+    columns = docs.columns
+    cut = substrings.remove_passages(docs.select(*columns), columns, with_text=True)
+    left = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    out = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).withColumn("text", left)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    mixed = mixing.mix_sources(docs, carry=tuple(docs.columns))
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).where(times > 0).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 4096 tokens."""
+    return packing.pack_documents(docs, catalog.tokenizer_path())
+
+
+STAGES = [
+    ("quality rules", keep_good),
+    ("near-duplicates", keep_one_of_near_copies),
+    ("repeated passages", cut_repeated_passages),
+    ("source mix", mix),
+    ("packing", pack),
+]
 
-STAGES = []
+#: No SQL states a tokenizer; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to ``documents``."""
+    docs = catalog.table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        folder = new_folder(spark)
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)
