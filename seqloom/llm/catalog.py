@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import language, licenses, minhash, mixing, neighbours, packing, pages, rules, substrings, suffixes
+from seqloom.llm import language, licenses, minhash, mixing, neighbours, packing, pages, rules, sql, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,17 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query()
+@query(sql.PASSAGES)
 def op1_remove_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_passages(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-@query()
+@query(sql.MIX)
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(sql.NEAR)
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,13 +56,13 @@ def op4_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-@query()
+@query(sql.RULES)
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
     return out.select("doc_id", *rules.BASE, "base_failed", "kept", "score", "cutoff")
 
 
-@query()
+@query(sql.SUFFIXES)
 def op6_remove_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -78,25 +78,7 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, F.col("vec_id") % 50 == 0)
 
 
-LICENSES_SQL = """
-WITH t(license_id, body) AS (VALUES {templates}),
-both_ AS (
-    SELECT 'd' AS kind, CAST(rowid AS VARCHAR) AS k, doc_id AS doc_id, text AS body FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents WHERE text IS NOT NULL)
-    UNION ALL SELECT 't', license_id, NULL, body FROM t
-),
-words AS (SELECT kind, k, doc_id, regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{{80}}-\\x{{10ffff}}]+') AS w FROM both_),
-grams AS (SELECT DISTINCT kind, k, doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT kind, k, doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)),
-sizes AS (SELECT k, count(*) AS n_template FROM grams WHERE kind = 't' GROUP BY k),
-hits AS (
-    SELECT d.k AS dk, any_value(d.doc_id) AS doc_id, x.k AS license_id, count(*) AS n_shared
-    FROM grams d JOIN grams x ON d.kind = 'd' AND x.kind = 't' AND d.g = x.g GROUP BY d.k, x.k
-)
-SELECT doc_id, license_id, n_shared, n_template, n_shared::DOUBLE / n_template AS containment
-FROM hits JOIN sizes ON license_id = sizes.k WHERE 100 * n_shared >= 80 * n_template
-""".format(templates=", ".join("('%s', '%s')" % (k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items()))
-
-
-@query(LICENSES_SQL)
+@query(sql.LICENSES)
 def op9_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_templates(spark), ["doc_id"])
 
