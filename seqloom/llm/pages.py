@@ -187,8 +187,8 @@ def measure(root: Node) -> None:
         node.total = sum(x.density for x in node.children if isinstance(x, Node) and not x.dropped and (x.name in BLOCK or x.name not in INLINE))
 
 
-def article_nodes(root: Node) -> set[int]:
-    """Identities of the nodes whose whole subtrees are the article."""
+def article_nodes(root: Node) -> tuple[set[int], bool]:
+    """Identities of the nodes whose subtrees are the article, and whether the page states it itself."""
     best, way, stack = root, [root], [(root, [root])]
     while stack:
         node, path = stack.pop()
@@ -198,11 +198,11 @@ def article_nodes(root: Node) -> set[int]:
             if isinstance(x, Node) and not x.dropped and x.chars:
                 stack.append((x, [*path, x]))
     if best is root:
-        return {id(root)}
+        return {id(root)}, False
     for x in reversed(way):
         if x.name in KEPT_HEADER:
             # The page itself says where its article ends.
-            return {id(x)}
+            return {id(x)}, True
     threshold = min(x.density for x in way)
     chosen, on_way, queue = {id(best)}, {id(x) for x in way}, [root]
     while queue:
@@ -213,7 +213,12 @@ def article_nodes(root: Node) -> set[int]:
                     chosen.add(id(x))
                 else:
                     queue.append(x)
-    return chosen
+    return chosen, False
+
+
+def is_menu(node: Node) -> bool:
+    """A block that is mostly links, and more than one."""
+    return node.name in BLOCK and node.link_tags > 1 and 3 * node.link_chars > 2 * node.chars
 
 
 def main_text(source: str | None) -> str:
@@ -222,7 +227,7 @@ def main_text(source: str | None) -> str:
         return ""
     root = parse(source)
     measure(root)
-    chosen = article_nodes(root)
+    chosen, stated = article_nodes(root)
     parts: list[str] = []
     stack: list[tuple[Node | str | None, bool]] = [(root, id(root) in chosen)]
     while stack:
@@ -232,7 +237,7 @@ def main_text(source: str | None) -> str:
         elif isinstance(x, str):
             if inside:
                 parts.append(html.unescape(x) if "&" in x else x)
-        elif not x.dropped:
+        elif not x.dropped and (stated or not is_menu(x)):
             inside = inside or id(x) in chosen
             edge = [(None, False)] if x.name in BLOCK else []
             stack += edge

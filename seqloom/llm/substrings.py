@@ -111,7 +111,7 @@ def _meet(table: pa.Table, width: int) -> pa.Table:
     """Of one bucket: which probes are index blocks of another batch, and which index blocks it probes."""
     parts = list(zip(table.column("batch").to_pylist(), table.column("kind").to_pylist(), table.column("bucket").to_pylist(), [X.unpack(k, width) for k in table.column("keys").to_pylist()], strict=True))
     index = [(b, k) for b, kind, _, k in parts if kind == INDEX]
-    none, top = np.zeros(0, np.int64), np.iinfo(np.int64).max
+    top = np.iinfo(np.int64).max
     known = np.unique(np.concatenate([np.zeros(0, np.uint64), *[k for _, k in index]]))
 
     def spread(sets: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +127,7 @@ def _meet(table: pa.Table, width: int) -> pa.Table:
             if what == kind:
                 place = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
                 hit = known[place] == keys if len(known) else np.zeros(len(keys), bool)
-                out.append((batch, bucket, place if len(known) else none, hit))
+                out.append((batch, bucket, place, hit))
         return out
 
     sides = {kind: locate(kind) for kind in (INDEX, PROBE)}
