@@ -10,6 +10,8 @@ from seqloom.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS, LEVEL_BITS, LEVELS = 60, 12, 2
+#: Up to so many sources the plan (some 50 bytes a source) goes to every task; beyond, the join is left to Spark.
+MOST_BROADCAST_SOURCES = 100_000
 
 
 def row_hash() -> Column:
@@ -114,6 +116,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
         .join(limits.select(F.col("source").alias("s"), "threshold"), F.col("b.source").eqNullSafe(F.col("s")), "left")
         .select(F.col("b.source").alias("of"), "source_size", "target", "rounds", "threshold")
     )
+    # A source may hold a third of all rows: sent to the rows, the plan does not gather them.
+    if targets.limit(MOST_BROADCAST_SOURCES + 1).count() <= MOST_BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
     once_more = F.coalesce((F.col("h") <= F.col("threshold")).cast("long"), F.lit(0))
     return sized.join(plan, F.col("src").eqNullSafe(F.col("of"))).select(
         "row.*", "size", "source_size", "target", (F.col("size") * (F.col("rounds") + once_more)).alias("taken")
