@@ -21,7 +21,7 @@ from seqloom.llm import kernels as K
 
 ORDER = 4
 #: Bounds of the fit: labelled texts per language, n-grams per language, slots and probes of the filter.
-SAMPLE_TEXTS, GRAMS, SLOT_BITS, PROBES = 2000, 20_000, 20, 3
+SAMPLE_TEXTS, GRAMS, SLOT_BITS, PROBES = 1000, 20_000, 20, 3
 #: With fewer hits than this share nothing is known of the text and all languages are equal.
 UNKNOWN = "und"
 
@@ -113,6 +113,7 @@ def learn_filters(labelled: DataFrame, texts_per_language: int = SAMPLE_TEXTS, g
     At most ``texts_per_language`` texts, those of least key hash, are read per language; rows with a null
     text or language are left out.
     """
+    # Up to 1000 (spark.sql.optimizer.windowGroupLimitThreshold) Spark cuts a language's rows before the shuffle.
     rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("key").alias("h"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     bounds = rows.select("lang", "h").withColumn("r", place).where(F.col("r") <= texts_per_language).groupBy("lang").agg(F.max("h").alias("upto"))
