@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seqloom.catalog import bindings as b
 from seqloom.catalog.augmentation import QUERIES_SQL, _queries
 from seqloom.catalog.registry import query
+from seqloom.catalog.selection import LOWEST_SQL
 from seqloom.functions.scalar import cache_modes
 from seqloom.plans import generate, jobs, requests
 from seqloom.schemas import SWEEP_FIELDS
@@ -182,7 +183,19 @@ def evaluated_strategies(spark, sf_dir):
     return table
 
 
-@query("GEN18 SEL7 FLT3 SNK7 JOB6")
+_SWEEP_SQL = (
+    LOWEST_SQL[: LOWEST_SQL.rindex(", depth AS (")]
+    + ", fin AS (SELECT msa_id, len(ids) AS k, list_sum(list_transform(extra, lambda c: 1.0::DOUBLE / (1 + c))) / sqrt(60) AS neff FROM final), "
+    "cnt AS (SELECT msa_id, count(*) AS n FROM seqs WHERE seq_idx > 0 GROUP BY msa_id) "
+    "SELECT s.msa_id::VARCHAR AS protein_id, lang AS strategy, 'v' AS variant_param, 'None' AS cache_implementation, 8::INT AS target_n, 64::INT AS candidate_n_requested, "
+    "coalesce(n, 0)::INT AS raw_candidates, coalesce(n, 0)::INT AS valid_candidates, coalesce(k, 0)::INT AS selected_sequences, "
+    "CASE WHEN coalesce(k, 0) > 0 THEN round(neff, 4) ELSE 0.0 END AS neff, NULL::DOUBLE AS gen_time_s, NULL::DOUBLE AS peak_vram_gb, NULL::DOUBLE AS selection_time_s, "
+    "NULL::DOUBLE AS ptm, NULL::DOUBLE AS mean_plddt, NULL::DOUBLE AS rmsd, NULL::DOUBLE AS tm_score, 'ok' AS status, '' AS error "
+    "FROM (SELECT * FROM seqs WHERE seq_idx = 0) s LEFT JOIN fin USING (msa_id) LEFT JOIN cnt USING (msa_id)"
+)
+
+
+@query("GEN18 SEL7 FLT3 SNK7 JOB6", _SWEEP_SQL)
 def sweep_results(spark, sf_dir):
     """The sweep over all documents: candidates are the document's own later rows."""
     ids = [F.col("lang").alias("strategy"), F.lit("v").alias("variant_param"), F.lit(None).cast("string").alias("cache_implementation")]

@@ -12,32 +12,44 @@ from seqloom.operators import columns, select
 N = 8
 
 
-def _greedy_sql(start: str, state: str, gain: str) -> str:
+def _greedy_sql(start: str, state: str, gain: str, rows: str = "seqs", first: str = "seq_idx = 0") -> str:
     """Step-by-step selection: ``state`` is carried, ``gain`` ranks the rows not yet picked."""
     return (
-        f"sel AS (SELECT msa_id, 0::BIGINT AS step, [seq_idx] AS ids, [seq] AS picked, {start} FROM seqs WHERE seq_idx = 0 UNION ALL "
+        f"sel AS (SELECT msa_id, 0::BIGINT AS step, [seq_idx] AS ids, [seq] AS picked, {start} FROM {rows} WHERE {first} UNION ALL "
         "SELECT msa_id, step + 1, list_append(ids, seq_idx), list_append(picked, seq), " + state + " FROM (SELECT s.*, r.seq_idx, r.seq, "
-        f"row_number() OVER (PARTITION BY s.msa_id ORDER BY {gain} DESC, r.seq_idx) AS place FROM sel s JOIN seqs r ON r.msa_id = s.msa_id "
+        f"row_number() OVER (PARTITION BY s.msa_id ORDER BY {gain} DESC, r.seq_idx) AS place FROM sel s JOIN {rows} r ON r.msa_id = s.msa_id "
         f"AND NOT list_contains(s.ids, r.seq_idx) WHERE s.step < {N} - 1) t WHERE place = 1), "
         "final AS (SELECT msa_id, arg_max(ids, step) AS ids FROM sel GROUP BY msa_id), "
         "chosen AS (SELECT msa_id, unnest(ids) AS seq_idx, unnest(range(len(ids)))::BIGINT AS rank FROM final)"
     )
 
 
-_FAR = _greedy_sql("0 AS extra", "0", "list_min(list_transform(s.picked, lambda x: hamming(x, r.seq)))")
-_COVER = _greedy_sql(
+_FAR_RULE = ("0 AS extra", "0", "list_min(list_transform(s.picked, lambda x: hamming(x, r.seq)))")
+_COVER_RULE = (
     "list_transform(string_split(seq, ''), lambda c: c <> '-') AS extra",
     "list_transform(range(1, 61), lambda p: extra[p] OR seq[p] <> '-')",
     "len(list_filter(range(1, 61), lambda p: r.seq[p] <> '-' AND NOT s.extra[p]))",
 )
 _NEAR = "list_transform(s.picked, lambda x: ((60 - hamming(x, r.seq)) / 60.0::DOUBLE >= 0.5)::INT)"
-_DEPTH = _greedy_sql(
+_DEPTH_RULE = (
     "[0] AS extra",
     "list_append(list_transform(range(1, len(extra) + 1), lambda k: extra[k] + ((60 - hamming(picked[k], seq)) / 60.0::DOUBLE >= 0.5)::INT), "
     "list_sum(list_transform(picked, lambda x: ((60 - hamming(x, seq)) / 60.0::DOUBLE >= 0.5)::INT))::INT)",
     f"round(1.0::DOUBLE / (1 + list_sum({_NEAR})) + list_sum(list_transform(range(1, len(s.extra) + 1), lambda k: "
     "((60 - hamming(s.picked[k], r.seq)) / 60.0::DOUBLE >= 0.5)::INT * (1.0::DOUBLE / (2 + s.extra[k]) - 1.0::DOUBLE / (1 + s.extra[k])))), 12)",
 )
+_FAR, _COVER, _DEPTH = (_greedy_sql(*rule) for rule in (_FAR_RULE, _COVER_RULE, _DEPTH_RULE))
+
+
+def _by_lang_sql(rule: tuple[str, str, str]) -> str:
+    first = "(msa_id, seq_idx) IN (SELECT (msa_id, min(seq_idx)) FROM corpus GROUP BY msa_id)"
+    return f"WITH RECURSIVE {b.BY_LANG}, {_greedy_sql(*rule, 'corpus', first)} SELECT * FROM chosen"
+
+
+def _select_by_lang(spark, sf_dir, strategy):
+    """One large alignment per language, its rows spread over many tasks."""
+    rows = b.by_lang(b.seqs(spark, sf_dir))
+    return select.select_subset(rows, N, strategy, max_group_rows=1000).select("msa_id", "seq_idx", "rank")
 
 
 def _select(spark, sf_dir, strategy, **kw):
@@ -145,8 +157,16 @@ def neff_by_depth(spark, sf_dir):
     return depth_ladder_job(b.rows_only(b.seqs(spark, sf_dir)), DEPTH_LADDER)
 
 
-@query("SEL1")
+@query("SEL1", _by_lang_sql(_FAR_RULE))
 def select_farthest_first_by_lang(spark, sf_dir):
-    """The same choice on one large alignment per language, one pass per pick."""
-    rows = b.by_lang(b.seqs(spark, sf_dir))
-    return select.select_subset(rows, 4, "farthest_first", max_group_rows=1000).select("msa_id", "seq_idx", "rank")
+    return _select_by_lang(spark, sf_dir, "farthest_first")
+
+
+@query("SEL2", _by_lang_sql(_COVER_RULE))
+def select_max_coverage_by_lang(spark, sf_dir):
+    return _select_by_lang(spark, sf_dir, "max_coverage")
+
+
+@query("SEL4", _by_lang_sql(_DEPTH_RULE))
+def select_neff_contribution_by_lang(spark, sf_dir):
+    return _select_by_lang(spark, sf_dir, "neff_contribution")

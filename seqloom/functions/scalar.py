@@ -138,9 +138,10 @@ def as_double(value: Column) -> Column:
 
 
 def generation_kwargs(conf: Column, cache: Column) -> Column:
-    """Decoding parameters plus the cache mode, unless that is null or ``default``."""
+    """Decoding parameters with the cache mode set, unless that is null or ``default``."""
     extra = F.create_map(F.lit("cache_implementation"), cache)
-    return F.when(cache.isNull() | (cache == "default"), conf).otherwise(F.map_concat(conf, extra))
+    others = F.map_filter(conf, lambda k, _: k != "cache_implementation")
+    return F.when(cache.isNull() | (cache == "default"), conf).otherwise(F.map_concat(others, extra))
 
 
 def cache_modes(modes: Column) -> Column:

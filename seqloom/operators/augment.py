@@ -179,20 +179,23 @@ def evolve(
     Each sampled row draws one of the matrices present in ``matrix``; its rate (percent) comes from
     ``rates``. Labels get the suffix ``_evolved_<matrix>``.
     """
-    names = sorted(r["matrix"] for r in matrix.select("matrix").distinct().limit(1000).collect())
+    names = matrix.select("matrix").distinct().withColumn("__at", F.row_number().over(Window.orderBy("matrix")) - 1)
+    n_names = names.count()
     keys = [F.col(k) for k in key] + [F.col("seq_idx")]
     size = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
     drawn = df.join(size, key).withColumn("__u", hash_uniform(*keys, F.lit("pick"), seed=seed))
     buckets = F.ceil(F.col("__n") / F.lit(65536))
     ranked = row_numbers(drawn, key, F.floor(F.col("__u") * buckets), [F.col("__u"), F.col("seq_idx")], "__rank")
     sampled = F.col("__rank") < F.greatest(F.lit(1), F.floor(F.col("__n") * F.lit(fraction)))
-    if not names:
+    if not n_names:
         return df
-    options = F.array(*[F.lit(m) for m in names])
-    pick = F.get(options, hash_index(F.lit(len(names)), *keys, F.lit("matrix"), seed=seed).cast("int"))
-    rate_of = F.create_map(*[F.lit(x) for m in names for x in (m, float(rates.get(m, FALLBACK_MUTATION_RATE)))])
-    marked = ranked.withColumn("matrix", F.when(sampled, pick)).withColumn(
-        "__k", F.when(sampled, percent_changes(rate_of[F.col("matrix")])).otherwise(F.lit(0))
+    draw = F.when(sampled, hash_index(F.lit(n_names), *keys, F.lit("matrix"), seed=seed).cast("int"))
+    if n_names <= MAX_MATRIX_ROWS:
+        names = F.broadcast(names)
+    rate_of = F.create_map(*[F.lit(x) for m, rate in rates.items() for x in (m, float(rate))]) if rates else F.create_map()
+    rate = F.coalesce(rate_of[F.col("matrix")], F.lit(float(FALLBACK_MUTATION_RATE))) if rates else F.lit(float(FALLBACK_MUTATION_RATE))
+    marked = ranked.withColumn("__at", draw).join(names, "__at", "left").withColumn(
+        "__k", F.when(F.col("matrix").isNotNull(), percent_changes(rate)).otherwise(F.lit(0))
     )
     changed = mutate_rows(marked, matrix, F.col("__k"), [*key, "seq_idx"], seed=seed)
     label = F.when(
@@ -264,15 +267,21 @@ def principal_walk(
 
     def walk(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                base = np.asarray(row[vector], dtype=float)
-                cloud = np.stack([np.asarray(v, dtype=float) for v in row["__draws"]])
-                cloud -= cloud.mean(axis=0)
-                _, _, directions = np.linalg.svd(cloud, full_matrices=False)
-                for c, d in enumerate(directions[:n_components]):
-                    d = d * np.sign(d[np.argmax(np.abs(d))])
-                    out += [{**{k: row[k] for k in keys}, "component": c, "step": s, vector: base + s * d} for s in steps]
-            yield pd.DataFrame(out, columns=[*keys, "component", "step", vector])
+            base = np.stack(pdf[vector].to_numpy()).astype(float) if len(pdf) else np.zeros((0, 1))
+            clouds = np.array([np.stack(draws) for draws in pdf["__draws"]], dtype=float).reshape(len(base), n_samples, -1)
+            # All rows of the batch at once: the right singular vectors of every centred cloud.
+            axes = np.linalg.svd(clouds - clouds.mean(axis=1, keepdims=True), full_matrices=False)[2][:, :n_components]
+            peak = np.take_along_axis(axes, np.abs(axes).argmax(axis=2)[..., None], axis=2)
+            moved = base[:, None, None, :] + np.asarray(steps)[None, None, :, None] * (axes * np.sign(peak))[:, :, None, :]
+            rows, found, _, _ = moved.shape
+            each = found * len(steps)
+            yield pd.DataFrame(
+                {k: np.repeat(pdf[k].to_numpy(), each) for k in keys}
+                | {
+                    "component": np.tile(np.repeat(np.arange(found), len(steps)), rows),
+                    "step": np.tile(np.asarray(steps, dtype=float), rows * found),
+                    vector: list(moved.reshape(rows * each, -1)),
+                }
+            )
 
     return df.select(*keys, vector).withColumn("__draws", draws).mapInPandas(walk, schema)

@@ -18,7 +18,6 @@ from seqloom.session import MAX_GROUP_ROWS
 
 KEY = ["msa_id"]
 N_LETTERS = len(COLUMN_ALPHABET)
-PROFILE_COPIES = 64
 MAX_COLUMNS = 400  # widest alignment whose (22 L)^2 system is solved in one task
 
 
@@ -77,7 +76,7 @@ def rarity_scores(df: DataFrame, key: list[str] = KEY) -> DataFrame:
     # A large alignment is split by stretches of seq_idx, each with its own copy of the profile, so
     # that its rows are scored in many tasks; a small one has a single copy. Size estimates do not see
     # how far texts fan out into rows: without the hint a small file's rows could be broadcast.
-    salted = df.withColumn("__salt", F.pmod(index_bucket(), F.lit(PROFILE_COPIES)))
+    salted = df.withColumn("__salt", index_bucket())
     copies = salted.select(*key, "__salt").distinct().join(profile, key)
     return salted.join(copies.hint("merge"), [*key, "__salt"]).withColumn("score", score).drop("profile", "__salt")
 

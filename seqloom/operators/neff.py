@@ -146,16 +146,19 @@ def neff(
     )
 
 
-def neff_before_after(before: DataFrame, after: DataFrame, threshold: float = 0.5) -> DataFrame:
+def neff_before_after(before: DataFrame, after: DataFrame, threshold: float = 0.5, key: list[str] = KEY) -> DataFrame:
     """Depth of every alignment before and after a selection."""
-    b = neff(before, threshold).select("msa_id", F.col("n_rows").alias("n_before"), F.col("neff").alias("neff_before"))
-    a = neff(after, threshold).select("msa_id", F.col("n_rows").alias("n_after"), F.col("neff").alias("neff_after"))
-    return b.join(a, "msa_id", "left")
+    b = neff(before, threshold, key).select(*key, F.col("n_rows").alias("n_before"), F.col("neff").alias("neff_before"))
+    a = neff(after, threshold, key).select(*key, F.col("n_rows").alias("n_after"), F.col("neff").alias("neff_after"))
+    return b.join(a, key, "left")
 
 
-def neff_table(df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The project report: one row per alignment, two decimals, ordered by name then value."""
-    raw = neff(df, threshold)
+def neff_table(df: DataFrame, threshold: float = 0.5, key: list[str] = KEY) -> DataFrame:
+    """The project report: one row per alignment, two decimals, ordered by name then value.
+
+    Alignments read from files are told apart by ``key=["path", "msa_id"]``: a folder may hold several.
+    """
+    raw = neff(df, threshold, key)
     return raw.select(
         F.col("msa_id").cast("string").alias("pdb"), F.col("neff").alias("__n")
     ).orderBy("pdb", "__n").select("pdb", F.format_string("%.2f", "__n").alias("NAD"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqloom.functions.text import matches_udf, to_matrix
+from seqloom.functions.text import matches_udf, pair_matches, to_matrix
 from seqloom.functions.uniform import hash_uniform
 from seqloom.operators.columns import query_rows, rarity_scores
 from seqloom.operators.dedup import distinct_ordered
@@ -20,91 +20,97 @@ from seqloom.session import MAX_GROUP_ROWS, cut_lineage
 KEY = ["msa_id"]
 TIE = 12  # decimals at which two gains count as equal
 
-# Each rule scores candidate rows against the rows already selected; the highest score wins and ties
-# go to the lowest seq_idx. ``width`` columns, ``near`` identity >= threshold.
+class Rule:
+    """A greedy rule as a running state: one number array per candidate row, changed by the last pick only.
 
+    ``begin`` gives the state before any pick, ``absorb`` adds a pick, ``value`` what the next pick
+    maximises (equal values go to the lowest seq_idx). The pick travels as its row and the part of its own
+    state that others need. Both the packed and the spread form of a selection run these three functions.
+    """
 
-def _gain_distance(cand: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    same = np.stack([(cand == c).mean(axis=1) for c in chosen])
-    return (1.0 - same).min(axis=0)
+    def begin(self, rows: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
 
+    def absorb(self, rows: np.ndarray, state: np.ndarray, row: np.ndarray, own: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
 
-def _gain_coverage(cand: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    gap = ord("-")
-    open_cols = ~(chosen != gap).any(axis=0)
-    return ((cand != gap) & open_cols).sum(axis=1).astype(float)
+    def value(self, rows: np.ndarray, state: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
 
 
-def _gain_depth(cand: np.ndarray, chosen: np.ndarray, threshold: float = 0.5) -> np.ndarray:
-    """Growth of the unscaled effective count when the candidate joins the selection."""
-    near_chosen = np.stack([(chosen == c).mean(axis=1) >= threshold for c in chosen])
-    counts = near_chosen.sum(axis=1) - 1.0
-    near = np.stack([(cand == c).mean(axis=1) >= threshold for c in chosen], axis=1)
-    own = 1.0 / (1.0 + near.sum(axis=1))
-    shift = 1.0 / (2.0 + counts) - 1.0 / (1.0 + counts)
-    return own + near @ shift
+class Farthest(Rule):
+    """State: the most columns in which the row equals any pick."""
 
+    def begin(self, rows):
+        return np.zeros((len(rows), 1))
 
-def _greedy_distance(m: np.ndarray, n: int) -> list[int]:
-    order, best = [0], 1.0 - (m == m[0]).mean(axis=1)
-    best[0] = -1.0
-    while len(order) < n:
-        nxt = int(np.argmax(best))
-        order.append(nxt)
-        best = np.minimum(best, 1.0 - (m == m[nxt]).mean(axis=1))
-        best[order] = -1.0
-    return order
+    def absorb(self, rows, state, row, own):
+        return np.maximum(state, (rows == row).sum(axis=1, keepdims=True))
 
+    def value(self, rows, state):
+        return -state[:, 0]
 
-def _greedy_coverage(m: np.ndarray, n: int) -> list[int]:
-    solid = m != ord("-")
-    covered, order = solid[0].copy(), [0]
-    free = np.ones(len(m), dtype=bool)
-    free[0] = False
-    while len(order) < n:
-        new = (solid & ~covered).sum(axis=1)
-        new[~free] = -1
-        nxt = int(np.argmax(new))
-        order.append(nxt)
-        free[nxt] = False
-        covered |= solid[nxt]
-    return order
 
+class Coverage(Rule):
+    """State: the columns that no pick has filled yet (the same for all rows of an alignment)."""
 
-def _greedy_depth(m: np.ndarray, n: int, threshold: float = 0.5) -> list[int]:
-    """Keeps, per candidate, its neighbour count and the shift its neighbours would suffer."""
-    order, counts = [0], [0]
-    near = [(m == m[0]).mean(axis=1) >= threshold]
-    free = np.ones(len(m), dtype=bool)
-    free[0] = False
-    while len(order) < n:
-        hits = np.stack(near, axis=1)
-        c = np.array(counts, dtype=float)
-        gain = 1.0 / (1.0 + hits.sum(axis=1)) + hits @ (1.0 / (2.0 + c) - 1.0 / (1.0 + c))
-        gain = np.where(free, np.round(gain, TIE), -np.inf)
-        nxt = int(np.argmax(gain))
-        own = hits[nxt]
-        counts = [k + int(h) for k, h in zip(counts, own)] + [int(own.sum())]
-        order.append(nxt)
-        free[nxt] = False
-        near.append((m == m[nxt]).mean(axis=1) >= threshold)
-    return order
+    def begin(self, rows):
+        return np.ones(rows.shape)
+
+    def absorb(self, rows, state, row, own):
+        return state * (row == ord("-"))
+
+    def value(self, rows, state):
+        return ((rows != ord("-")) * state).sum(axis=1)
+
+
+class Depth(Rule):
+    """State: how many picks are near each pick (shared), and which picks are near the row.
+
+    A candidate adds its own weight and lowers that of the picks near it. The two halves of the state grow
+    by one entry per pick.
+    """
+
+    def __init__(self, threshold: float = 0.5, sign: float = 1.0):
+        self.threshold, self.sign = threshold, sign
+
+    def begin(self, rows):
+        return np.zeros((len(rows), 0))
+
+    def absorb(self, rows, state, row, own):
+        half = state.shape[1] // 2
+        among, near = state[:, :half], state[:, half:]
+        before = own[half:]
+        close = ((rows == row).mean(axis=1) >= self.threshold)[:, None]
+        mine = np.full((len(rows), 1), before.sum())
+        return np.hstack([among + before, mine, near, close])
+
+    def value(self, rows, state):
+        half = state.shape[1] // 2
+        among, near = state[:, :half], state[:, half:]
+        loss = 1.0 / (2.0 + among) - 1.0 / (1.0 + among)
+        return self.sign * np.round(1.0 / (1.0 + near.sum(axis=1)) + (near * loss).sum(axis=1), TIE)
 
 
-_RULES: dict[str, tuple[Callable, Callable]] = {
-    "farthest_first": (_greedy_distance, _gain_distance),
-    "max_coverage": (_greedy_coverage, _gain_coverage),
-    "neff_contribution": (_greedy_depth, _gain_depth),
-}
+_RULES: dict[str, Rule] = {"farthest_first": Farthest(), "max_coverage": Coverage(), "neff_contribution": Depth()}
 STRATEGIES = [*_RULES, "column_entropy", "random"]
 
 
-def _greedy_udf(rule: str):
-    greedy = _RULES[rule][0]
+def greedy_order(rule: Rule, rows: np.ndarray, n: int, window: int | None = None) -> list[int]:
+    """Positions of row 0 and the picks after it; with a ``window`` each is one of so many first rows left."""
+    state, left, order = rule.begin(rows), np.arange(1, len(rows)), [0]
+    while len(order) < n and len(left):
+        state = rule.absorb(rows, state, rows[order[-1]], state[order[-1]])
+        open_ = left[:window]
+        order.append(int(open_[np.argmax(rule.value(rows[open_], state[open_]))]))
+        left = left[left != order[-1]]
+    return order
 
+
+def _greedy_udf(rule: str):
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def run(seqs: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([greedy(to_matrix(list(s)), min(int(k), len(s))) for s, k in zip(seqs, n)])
+        return pd.Series([greedy_order(_RULES[rule], to_matrix(list(s)), min(int(k), len(s))) for s, k in zip(seqs, n)])
 
     return run
 
@@ -118,51 +124,74 @@ def _small(df: DataFrame, key: list[str], rule: str, n: int) -> DataFrame:
     return picked_rows(packed, key, _greedy_udf(rule)(F.col("rows.seq"), limit), columns)
 
 
-def _large(df: DataFrame, key: list[str], gain: Callable, n: int) -> DataFrame:
-    """One pass per pick over alignments too large for a task.
+PICKS_PER_CHECKPOINT = 8
+ROW_BUCKET = 4096
 
-    Only the selection so far (at most ``n`` rows per alignment) travels to the rows; each pass is a
-    map plus a per-alignment maximum with partial aggregation.
-    """
 
-    @F.pandas_udf(T.DoubleType())
-    def score(seq: pd.Series, chosen: pd.Series) -> pd.Series:
-        out = np.empty(len(seq))
-        packed = chosen.map(lambda c: "".join(c))
-        for text, idx in packed.groupby(packed).groups.items():
-            cand = to_matrix(seq.loc[idx].tolist())
-            picked = to_matrix([text]).reshape(-1, cand.shape[1])
-            out[seq.index.get_indexer(idx)] = np.round(gain(cand, picked), TIE)
-        return pd.Series(out)
+def spread_order(base: DataFrame, first: DataFrame, rule: Rule, key: list[str], n: int, order: list[str], window: int | None = None) -> DataFrame:
+    """(key, rank, seq_idx) of greedy picks over alignments that no task holds.
 
+    ``base``: key, seq_idx, seq and the tie columns ``order``; ``first``: key, seq_idx, seq of what is picked
+    beforehand (seq_idx may be null). Every row keeps its state and takes in the last pick. The best row is
+    found per bucket of rows and then among buckets.
+    """
+    step = T.StructType([T.StructField("state", T.ArrayType(T.DoubleType())), T.StructField("value", T.DoubleType())])
+
+    @F.pandas_udf(step)
+    def advance(seq: pd.Series, state: pd.Series, row: pd.Series, own: pd.Series) -> pd.DataFrame:
+        states, values = np.empty(len(seq), object), np.zeros(len(seq))
+        # Rows that share the last pick (an alignment's rows) go through the rule together.
+        for _, at in row.groupby([row, seq.str.len()]).indices.items():
+            rows = to_matrix(seq.iloc[at].tolist())
+            held = [x for x in state.iloc[at]]
+            now = rule.begin(rows) if held[0] is None else np.stack(held)
+            mine = rule.begin(rows[:1])[0] if own.iloc[at[0]] is None else np.asarray(own.iloc[at[0]])
+            now = rule.absorb(rows, now, to_matrix([row.iloc[at[0]]])[0], mine)
+            values[at] = rule.value(rows, now)
+            for i, x in zip(at, now):
+                states[i] = x
+        return pd.DataFrame({"state": states, "value": values})
+
+    rows = base.select(*key, "seq_idx", "seq", *[c for c in order if c not in ("seq_idx", "seq")], F.lit(None).cast("array<double>").alias("state"))
+    last = first.select(*key, "seq_idx", F.col("seq").alias("row"), F.lit(None).cast("array<double>").alias("own"))
+    picked = [last.select(*key, F.lit(0).cast("long").alias("rank"), "seq_idx")]
+    bucket = F.pmod(F.xxhash64("seq_idx"), F.greatest(F.ceil(F.col("__n") / ROW_BUCKET), F.lit(1)))
+    rows = rows.join(base.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")), key).withColumn("__bucket", bucket).drop("__n")
+    ties = [c for c in order if c not in ("seq_idx", "seq")]
+    best_of = F.max_by(F.struct("seq_idx", "seq", F.col("state").alias("own"), "value", *ties), F.struct("value", *[_falling(c) for c in order]))
+    for rank in range(1, n):
+        met = rows.join(last.select(*key, F.col("seq_idx").alias("__gone"), "row", "own"), key)
+        met = met.where(~F.col("seq_idx").eqNullSafe(F.col("__gone")))
+        done = met.withColumn("__s", advance("seq", "state", "row", "own"))
+        scored = done.select(*[c for c in rows.columns if c != "state"], "__s.state", "__s.value")
+        rows = scored.drop("value")
+        if window is not None:
+            scored = first_n(scored, key, [F.col(c) for c in order], window, "__w")
+        per_bucket = scored.groupBy(*key, "__bucket").agg(best_of.alias("b"))
+        last = per_bucket.groupBy(*key).agg(F.max_by("b", F.struct("b.value", *[_falling(f"b.{c}") for c in order])).alias("b")).select(*key, "b.seq_idx", F.col("b.seq").alias("row"), "b.own")
+        last = cut_lineage(last)
+        picked.append(last.select(*key, F.lit(rank).cast("long").alias("rank"), "seq_idx"))
+        if rank % PICKS_PER_CHECKPOINT == 0:
+            rows = cut_lineage(rows)
+    out = picked[0]
+    for part in picked[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _falling(name: str):
+    """A value that grows as the tie column falls: numbers by sign, text by the complement of its code points."""
+    if name.split(".")[-1] == "seq":
+        return F.transform(F.split(F.col(name), ""), lambda c: -F.ascii(c))
+    return -F.col(name)
+
+
+def _large(df: DataFrame, key: list[str], rule: Rule, n: int) -> DataFrame:
     base = cut_lineage(df)
-    cap = base.groupBy(*key).agg(F.count(F.lit(1)).alias("__rows"), F.max("__cap").alias("__cap")).select(
-        *key, F.least("__rows", "__cap", F.lit(n)).alias("__want")
-    )
-    first = base.where("__first").select(*key, F.array("seq").alias("chosen"), F.array("seq_idx").alias("picked"))
-    state = cut_lineage(first.join(cap, key))
-    for _ in range(1, n):
-        active = state.where(F.size("picked") < F.col("__want"))
-        scored = (
-            base.select(*key, "seq_idx", "seq").join(active, key)
-            .where(~F.array_contains("picked", F.col("seq_idx")))
-            .withColumn("__score", score("seq", "chosen"))
-        )
-        best = scored.groupBy(*key).agg(
-            F.max_by(F.struct("seq", "seq_idx"), F.struct(F.col("__score"), -F.col("seq_idx"))).alias("b")
-        )
-        state = cut_lineage(
-            state.join(best, key, "left").select(
-                *key,
-                F.when(F.col("b").isNull(), F.col("chosen")).otherwise(F.concat("chosen", F.array("b.seq"))).alias("chosen"),
-                F.when(F.col("b").isNull(), F.col("picked")).otherwise(F.concat("picked", F.array("b.seq_idx"))).alias("picked"),
-                "__want",
-            )
-        )
-    order = state.select(*key, F.posexplode("picked").alias("rank", "seq_idx"))
-    return base.drop("__first", "__cap").join(
-        order.select(*key, "seq_idx", F.col("rank").cast("long").alias("rank")), [*key, "seq_idx"]
-    )
+    first = base.where("__first").select(*key, "seq_idx", "seq")
+    cap = base.groupBy(*key).agg(F.max("__cap").alias("__cap"))
+    order = spread_order(base, first, rule, key, n, ["seq_idx"]).join(cap, key).where(F.col("rank") < F.col("__cap"))
+    return base.drop("__first", "__cap").join(order.select(*key, "seq_idx", "rank"), [*key, "seq_idx"])
 
 
 def _with_query(df: DataFrame, key: list[str], query: DataFrame | None) -> DataFrame:
@@ -216,7 +245,7 @@ def select_subset(
             marked,
             key,
             lambda part: _small(part, key, strategy, limit),
-            lambda part: _large(part, key, _RULES[strategy][1], limit),
+            lambda part: _large(part, key, _RULES[strategy], limit),
             max_group_rows,
         )
     if strategy == "column_entropy":
@@ -248,26 +277,28 @@ def lowest_groups(df: DataFrame, key: list[str], value: str, tie: str, k: int) -
 # --- Lowest depth ----------------------------------------------------------------------------------
 
 
-def _depth(m: np.ndarray, threshold: float = 0.5) -> float:
-    near = np.stack([(m == r).mean(axis=1) >= threshold for r in m]).sum(axis=1)
-    return float((1.0 / near).sum()) / np.sqrt(m.shape[1])
+def set_depth(rows: np.ndarray, threshold: float = 0.5) -> float:
+    """Effective number of the rows of one small set."""
+    near = (pair_matches(rows, rows) >= threshold * rows.shape[1]).sum(axis=1)
+    return float((1.0 / near).sum()) / np.sqrt(rows.shape[1])
+
 
+class Measured(Rule):
+    """Any measure of the query and the picks: the state is the text of what is picked, kept by the caller."""
 
-def _lowest_picks(query: str, seqs: list[str], n: int, window: int | None, measure: Callable | None) -> tuple[list[int], float]:
-    """Positions chosen among ``seqs`` (sorted by distance, then text) and the final depth."""
-    rows, pool, chosen = to_matrix([query, *seqs]), list(range(len(seqs))), []
-    while pool and len(chosen) < n:
-        part = pool[: window or len(pool)]
-        if measure is None:
-            value = _gain_depth(rows[[i + 1 for i in part]], rows[[0, *[c + 1 for c in chosen]]])
-        else:
-            base = [query, *[seqs[c] for c in chosen]]
-            value = np.array([float(measure([*base, seqs[i]])) for i in part])
-        best = part[int(np.argmin(np.round(value, TIE)))]
-        chosen.append(best)
-        pool.remove(best)
-    picked = [query, *[seqs[c] for c in chosen]]
-    return chosen, float(measure(picked)) if measure else _depth(to_matrix(picked))
+    def __init__(self, measure: Callable, query: str, texts: list[str]):
+        self.measure, self.picked, self.texts = measure, [query], texts
+
+    def begin(self, rows):
+        return np.arange(len(rows))[:, None]
+
+    def absorb(self, rows, state, row, own):
+        if own[0]:
+            self.picked.append(self.texts[int(own[0])])
+        return state
+
+    def value(self, rows, state):
+        return -np.round([float(self.measure([*self.picked, self.texts[int(i)]])) for i in state[:, 0]], TIE)
 
 
 def _lowest_small(df: DataFrame, key: list[str], n: int, window: int | None, measure: Callable | None) -> DataFrame:
@@ -275,7 +306,13 @@ def _lowest_small(df: DataFrame, key: list[str], n: int, window: int | None, mea
 
     @F.pandas_udf(out)
     def run(query: pd.Series, seqs: pd.Series) -> pd.DataFrame:
-        done = [_lowest_picks(q, list(s), n, window, measure) for q, s in zip(query, seqs)]
+        done = []
+        for q, s in zip(query, seqs):
+            texts = [q, *s]
+            rows = to_matrix(texts)
+            order = greedy_order(Measured(measure, q, texts) if measure else LOWEST, rows, n + 1, window)
+            value = float(measure([texts[i] for i in order])) if measure else set_depth(rows[order])
+            done.append(([i - 1 for i in order[1:]], value))
         return pd.DataFrame(done, columns=["picks", "neff"])
 
     columns = [c for c in df.columns if c not in ("distance", "query")]
@@ -284,49 +321,25 @@ def _lowest_small(df: DataFrame, key: list[str], n: int, window: int | None, mea
     return picked_rows(with_depth, key, F.col("o.picks"), [*columns, "neff"])
 
 
-def _lowest_large(df: DataFrame, key: list[str], n: int, window: int | None, measure: Callable | None) -> DataFrame:
-    """The same greedy choice, one pass per pick."""
+LOWEST = Depth(sign=-1.0)
 
-    @F.pandas_udf(T.DoubleType())
-    def score(seq: pd.Series, chosen: pd.Series) -> pd.Series:
-        out = []
-        for s, c in zip(seq, chosen):
-            if measure is None:
-                out.append(round(float(_gain_depth(to_matrix([s]), to_matrix(list(c)))[0]), TIE))
-            else:
-                out.append(round(float(measure([*c, s])), TIE))
-        return pd.Series(out, dtype="float64")
 
+def _lowest_large(df: DataFrame, key: list[str], n: int, window: int | None, measure: Callable | None) -> DataFrame:
+    """The same greedy choice by passes over the spread rows. A measure of the caller's needs the packed form."""
+    if measure is not None:
+        return _lowest_small(df, key, n, window, measure)
     base = cut_lineage(df)
-    start = F.array(F.max("query")).alias("chosen")
-    state = cut_lineage(base.groupBy(*key).agg(start).withColumn("picked", F.array().cast("array<bigint>")))
-    rank = [F.col("distance"), F.col("seq"), F.col("seq_idx")]
-    for _ in range(n):
-        left = base.select(*key, "seq_idx", "seq", "distance").join(state, key).where(
-            ~F.array_contains("picked", F.col("seq_idx"))
-        )
-        part = left if window is None else first_n(left, key, rank, window, "__w")
-        best = (
-            part.withColumn("__score", score("seq", "chosen"))
-            .groupBy(*key)
-            .agg(F.min(F.struct("__score", "distance", "seq", "seq_idx")).alias("b"))
-        )
-        state = cut_lineage(
-            state.join(best, key, "left").select(
-                *key,
-                F.when(F.col("b").isNull(), F.col("chosen")).otherwise(F.concat("chosen", F.array("b.seq"))).alias("chosen"),
-                F.when(F.col("b").isNull(), F.col("picked")).otherwise(F.concat("picked", F.array("b.seq_idx"))).alias("picked"),
-            )
-        )
+    first = base.groupBy(*key).agg(F.max("query").alias("seq")).select(*key, F.lit(None).cast("long").alias("seq_idx"), "seq")
+    order = spread_order(base.drop("query"), first, LOWEST, key, n + 1, ["distance", "seq", "seq_idx"], window)
+    joined = base.join(order.where("rank > 0"), [*key, "seq_idx"])
 
     @F.pandas_udf(T.DoubleType())
-    def value(chosen: pd.Series) -> pd.Series:
-        return pd.Series([float(measure(list(c))) if measure else _depth(to_matrix(list(c))) for c in chosen], dtype="float64")
+    def value(rows: pd.Series) -> pd.Series:
+        return pd.Series([set_depth(to_matrix(list(c))) for c in rows], dtype="float64")
 
-    done = state.withColumn("neff", value("chosen"))
-    order = done.select(*key, "neff", F.posexplode("picked").alias("__k", "seq_idx"))
-    joined = base.drop("distance", "query").join(order, [*key, "seq_idx"])
-    return joined.withColumn("rank", F.col("__k").cast("long")).drop("__k")
+    sets = joined.groupBy(*key).agg(F.concat(F.array(F.max("query")), F.collect_list("seq")).alias("rows"))
+    chosen = sets.select(*key, value("rows").alias("neff"))
+    return joined.drop("distance", "query").join(chosen, key).withColumn("rank", F.col("rank") - 1)
 
 
 def lowest_neff(

@@ -23,7 +23,7 @@ from seqloom.plans.requests import generation_requests, multimer_requests, strat
 from seqloom.schemas import RESULT_FIELDS, SWEEP_FIELDS
 from seqloom.session import cut_lineage
 from seqloom.sources import sinks
-from seqloom.sources.fasta import read_a3m, read_fasta, read_project
+from seqloom.sources.fasta import FILE_KEY, named_by_file, read_a3m, read_fasta, read_project
 
 # candidates(requests) -> requests with ``seq`` (the generated text for ``chunk``)
 Candidates = Callable[[DataFrame], DataFrame]
@@ -168,21 +168,21 @@ def msa_job(spark: SparkSession, fasta_path: str, out_path: str, candidates: Can
 def neff_job(spark: SparkSession, root: str, out_path: str) -> DataFrame:
     """Depth of every alignment of a project as a CSV report; returns the alignments left out."""
     rows = read_project(spark, root)
-    sinks.write_csv(neff_table(rows), out_path, ["pdb", "NAD"], mode="overwrite")
-    return rejects(rows)
+    sinks.write_csv(neff_table(rows, key=FILE_KEY), out_path, ["pdb", "NAD"], mode="overwrite")
+    return rejects(rows, FILE_KEY)
 
 
-def mask_job(spark: SparkSession, in_path: str, out_path: str, fraction: float, seed: int = 0) -> None:
+def mask_job(spark: SparkSession, in_path: str, out_path: str, fraction: float, seed: int = 0, glob: str = "*.a3m") -> None:
     """Masked copies of alignments."""
-    rows = read_a3m(spark, in_path, raw=True)
+    rows = named_by_file(read_a3m(spark, in_path, glob, raw=True))
     sinks.write_records(augment.mask_rows(rows, fraction, seed=seed), out_path)
 
 
 def subsample_job(
-    spark: SparkSession, in_path: str, out_path: str, n: int, strategy: str = "farthest_first", include_query: bool = True
+    spark: SparkSession, in_path: str, out_path: str, n: int, strategy: str = "farthest_first", include_query: bool = True, glob: str = "*.a3m"
 ) -> DataFrame:
     """Thinned alignments with generic labels; returns the depth before and after."""
-    rows = read_a3m(spark, in_path)
+    rows = named_by_file(read_a3m(spark, in_path, glob))
     picked = select.select_subset(rows, n, strategy)
     sinks.write_records(sinks.subset_labels(picked, include_query), out_path, order="rank")
     return neff_before_after(rows, picked)
@@ -218,46 +218,95 @@ def evaluate_strategies(candidates: DataFrame, jobs: DataFrame, target_n: int =
 
 
 def strategy_job(
-    proteins: DataFrame, generate: Callable[[DataFrame], DataFrame], strategies: list[str], target_n: int = 128,
+    proteins: DataFrame,
+    generate: Callable[[DataFrame], DataFrame],
+    strategies: list[str],
+    target_n: int = 128,
     scores: DataFrame | None = None,
+    configs: dict[str, dict] | None = None,
+    structures: tuple[DataFrame, DataFrame] | None = None,
+    out_path: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(results with scores, summary per strategy). ``proteins``: protein_id, query."""
-    from seqloom.plans.requests import STRATEGY_CONFIGS, all_strategy_requests, job_table
+    """(results with scores, summary per strategy). ``proteins``: protein_id, query.
 
-    jobs = job_table(proteins, strategies).withColumn("variant_param", F.lit(""))
-    wanted = all_strategy_requests(proteins, [s for s in strategies if s in STRATEGY_CONFIGS])
-    rows = cut_lineage(generate(wanted)).withColumn("seq_idx", F.col("request_no"))
-    table, _ = evaluate_strategies(rows, jobs, target_n)
-    full = table.withColumns({c: F.lit(None).cast("double") for c in ("gen_time_s", "peak_vram_gb")})
-    blank = proteins.select("protein_id", F.lit(None).cast("string").alias("strategy"), F.lit(None).cast("double").alias("ptm")).where(F.lit(False))
-    scored = results.with_scores(full, scores if scores is not None else blank)
-    return scored.select(*RESULT_FIELDS), results.strategy_summary(scored)
+    ``configs`` overrides settings per strategy. ``scores`` holds protein_id, strategy and fold scores;
+    ``structures`` is (pairs, atoms) as for ``structure_metrics`` with pair_id ``<protein_id>__<strategy>``.
+    Generated rows may carry gen_time_s and peak_vram_gb, of which the sum and the maximum are
+    reported. With ``out_path`` the alignments, ``results`` and ``summary`` are written below it.
+    """
+    from seqloom.operators.structure import structure_metrics
+    from seqloom.plans.requests import STRATEGY_CONFIGS, job_table, registered_requests, strategy_labels
+
+    key = ["protein_id", "strategy"]
+    jobs = strategy_labels(job_table(proteins, strategies), configs or {})
+    wanted = registered_requests(proteins, [s for s in strategies if s in STRATEGY_CONFIGS], configs or {})
+    made = cut_lineage(generate(wanted))
+    # A request may give several rows, so rows are numbered per job.
+    extra = [F.col(c) for c in ("request_no", "seq") if c in made.columns]
+    rows = row_numbers(made.where(F.col("seq").isNotNull()), key, index_bucket("request_no"), extra, "seq_idx")
+    table, alignments = evaluate_strategies(rows, jobs, target_n)
+    costs = [
+        (F.sum("gen_time_s") if "gen_time_s" in made.columns else F.lit(None)).cast("double").alias("gen_time_s"),
+        (F.max("peak_vram_gb") if "peak_vram_gb" in made.columns else F.lit(None)).cast("double").alias("peak_vram_gb"),
+    ]
+    full = table.join(made.groupBy(*key).agg(*costs), key, "left")
+    if scores is None:
+        scores = proteins.select("protein_id", F.lit(None).cast("string").alias("strategy"), F.lit(None).cast("double").alias("ptm")).where(F.lit(False))
+    if structures is not None:
+        compared = structure_metrics(*structures).join(jobs.select(*key, F.concat_ws("__", *key).alias("pair_id")), "pair_id").drop("pair_id")
+        scores = scores.drop("rmsd", "tm_score").join(compared, key, "full")
+    scored = results.with_scores(full, scores).select(*RESULT_FIELDS)
+    summary = results.strategy_summary(scored)
+    if out_path is not None:
+        named = alignments.withColumn("msa_id", F.concat_ws("__", *key)).withColumn("seq_idx", F.col("seq_idx") + 1)
+        sinks.write_records(sinks.generated_labels(named, F.col("protein_id")), f"{out_path}/msa")
+        sinks.write_csv(scored, f"{out_path}/results", RESULT_FIELDS)
+        sinks.write_csv(summary, f"{out_path}/summary", summary.columns)
+    return scored, summary
+
+
+SWEEP_IDS = ["protein_id", "strategy", "variant_param", "cache_implementation"]
 
 
 def sweep_job(
     candidates: DataFrame, jobs: DataFrame, target_n: int, candidate_n: int, mode: str = "lowest_neff", dedupe: bool = True
 ) -> DataFrame:
-    """Result rows of the low-depth sweep.
+    """Result rows of the low-depth sweep; see :func:`sweep_parts`."""
+    return sweep_parts(candidates, jobs, target_n, candidate_n, mode, dedupe)[0]
+
+
+def sweep_parts(
+    candidates: DataFrame, jobs: DataFrame, target_n: int, candidate_n: int, mode: str = "lowest_neff", dedupe: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """(result rows, alignments) of the low-depth sweep.
 
     ``jobs``: protein_id, strategy, variant_param, cache_implementation, query. ``candidates`` carry
-    the same ids, seq_idx and seq; the first ``candidate_n`` per job count.
+    the same ids, seq_idx and seq, and may carry status and error as the generator runner gives them. All
+    candidates count; ``candidate_n`` is how many were asked for. A job's status is the worst of its
+    requests (oom, then skipped).
     """
-    ids = ["protein_id", "strategy", "variant_param", "cache_implementation"]
+    ids = SWEEP_IDS
     # A missing cache mode is a mode of its own; joins need a value for it.
     named = [*ids[:3], F.coalesce("cache_implementation", F.lit("None")).alias("cache_implementation")]
     jobs = jobs.select(*named, "query")
-    pool = select.first_valid(candidates.select(*named, "seq_idx", "seq"), candidate_n, ids).drop("rank")
+    given = {c: F.col(c) if c in candidates.columns else F.lit(v) for c, v in (("status", "ok"), ("error", ""))}
+    every = candidates.select(*named, "seq_idx", "seq", *[x.alias(c) for c, x in given.items()])
+    severity = F.when(F.col("status") == "oom", 2).when(F.col("status") == "ok", 0).otherwise(1)
+    worst = every.groupBy(*ids).agg(F.max(F.struct(severity.alias("k"), "status", "error")).alias("w"))
+    outcome = worst.select(*ids, "w.status", "w.error")
+    pool = every.where(F.col("seq").isNotNull()).select(*ids, "seq_idx", "seq")
     sized = pool.join(jobs, ids)
     counts = filters.exact_length_counts(sized, F.length("query"), ids)
     valid = filters.exact_length_rows(sized, F.length("query"), dedupe, ids).select(*ids, "seq_idx", "seq")
     if mode == "first_valid":
-        picked = select.first_valid(valid, target_n, ids).select(*ids, "seq_idx", "seq")
+        picked = select.first_valid(valid, target_n, ids).select(*ids, "seq_idx", "seq", "rank")
     else:
-        picked = select.lowest_neff(valid, jobs, target_n, dedupe=dedupe, key=ids).select(*ids, "seq_idx", "seq")
+        picked = select.lowest_neff(valid, jobs, target_n, dedupe=dedupe, key=ids).select(*ids, "seq_idx", "seq", "rank")
     chosen = picked.groupBy(*ids).agg(F.count(F.lit(1)).cast("int").alias("selected_sequences"))
     own = jobs.join(chosen.select(*ids), ids, "left_semi").select(*ids, F.lit(-1).cast("long").alias("seq_idx"), F.col("query").alias("seq"))
-    depth = neff(own.unionByName(picked), key=ids).select(*ids, F.round("neff", 4).alias("neff"))
-    table = jobs.join(counts, ids, "left").join(chosen, ids, "left").join(depth, ids, "left")
+    whole = own.withColumn("rank", F.lit(-1).cast("long")).unionByName(picked)
+    depth = neff(whole.drop("rank"), key=ids).select(*ids, F.round("neff", 4).alias("neff"))
+    table = jobs.join(counts, ids, "left").join(chosen, ids, "left").join(depth, ids, "left").join(outcome, ids, "left")
     filled = table.select(
         *ids,
         F.lit(target_n).alias("target_n"),
@@ -266,11 +315,32 @@ def sweep_job(
         F.coalesce("valid_count", F.lit(0)).cast("int").alias("valid_candidates"),
         F.coalesce("selected_sequences", F.lit(0)).alias("selected_sequences"),
         F.coalesce("neff", F.lit(0.0)).alias("neff"),
-        F.lit("ok").alias("status"),
-        F.lit("").alias("error"),
+        F.coalesce("status", F.lit("ok")).alias("status"),
+        F.coalesce("error", F.lit("")).alias("error"),
     )
     missing = [F.lit(None).cast("double").alias(c) for c in SWEEP_FIELDS if c not in filled.columns]
-    return filled.select("*", *missing).select(*SWEEP_FIELDS)
+    return filled.select("*", *missing).select(*SWEEP_FIELDS), whole
+
+
+def sweep_files_job(
+    candidates: DataFrame, jobs: DataFrame, out_path: str, target_n: int, candidate_n: int, mode: str = "lowest_neff", **limits
+) -> tuple[DataFrame, DataFrame]:
+    """The sweep with its files: one alignment per variant, all result rows, the best row per objective.
+
+    ``limits`` are those of ``results.best_rows``. Returns (result rows, best rows) as written.
+    """
+    from seqloom.functions.scalar import safe_variant_key
+    from seqloom.operators.results import best_rows
+
+    table, alignments = sweep_parts(candidates, jobs, target_n, candidate_n, mode)
+    table = cut_lineage(table)
+    variant = safe_variant_key(F.col("strategy"), F.col("variant_param"), F.col("cache_implementation"))
+    named = alignments.withColumn("msa_id", F.concat_ws("__", "protein_id", variant)).withColumn("seq_idx", F.col("rank") + 1)
+    sinks.write_records(sinks.generated_labels(named, F.col("protein_id")), f"{out_path}/msa")
+    sinks.write_csv(table, f"{out_path}/results", SWEEP_FIELDS)
+    best = best_rows(table.where(F.col("status") == "ok"), **limits)
+    sinks.write_csv(best, f"{out_path}/summary", best.columns)
+    return table, best
 
 
 def strategy_plan_sizes(queries: DataFrame, strategies: list[str]) -> DataFrame:

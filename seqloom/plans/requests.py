@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.functions.scalar import pad_sequence
+from seqloom.functions.scalar import pad_sequence, variant_label
 from seqloom.operators.augment import coverage_chunks
 
 
@@ -161,6 +161,25 @@ def all_strategy_requests(queries: DataFrame, strategies: list[str]) -> DataFram
     return out
 
 
+def registered_requests(queries: DataFrame, strategies: list[str], configs: dict[str, dict]) -> DataFrame:
+    """Requests of registered strategies with settings of the caller's."""
+    out = strategy_requests(queries, "single_sequence")
+    for s in strategies:
+        out = out.unionByName(strategy_requests(queries, s, configs.get(s)))
+    return out
+
+
+def strategy_labels(jobs: DataFrame, configs: dict[str, dict]) -> DataFrame:
+    """Adds ``variant_param``, the label of each strategy's settings."""
+    label = F.lit("")
+    for s, own in STRATEGY_CONFIGS.items():
+        settings = {k: str(v) for k, v in {**own, **configs.get(s, {})}.items()}
+        if settings:
+            conf = F.create_map(*[F.lit(x) for pair in settings.items() for x in pair])
+            label = F.when(F.col("strategy") == s, variant_label(F.lit(s), conf)).otherwise(label)
+    return jobs.withColumn("variant_param", label)
+
+
 def job_table(proteins: DataFrame, strategies: list[str]) -> DataFrame:
     """Protein x registered strategy."""
     known = [s for s in strategies if s in STRATEGY_CONFIGS]
