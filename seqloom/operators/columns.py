@@ -18,7 +18,7 @@ from seqloom.session import MAX_GROUP_ROWS
 
 KEY = ["msa_id"]
 N_LETTERS = len(COLUMN_ALPHABET)
-MAX_COLUMNS = 400  # widest alignment whose (22 L)^2 system is solved in one task
+MAX_COLUMNS = 400  # widest deep alignment whose (22 L)^2 system is solved in one task
 
 
 def cells(df: DataFrame, key: list[str] = KEY) -> DataFrame:
@@ -271,14 +271,15 @@ def coevolution(
     """APC-corrected coupling of every column pair, as ``(i, j, score)`` rows.
 
     One-hot covariance, shrinkage 4.5 / sqrt(N), inverse, normalised 20 x 20 block norms, average
-    product correction. Large alignments are reduced to joint counts first; what one task then holds
-    depends on the width only, and widths above ``max_columns`` raise.
+    product correction. Alignments of up to ``max_group_rows`` rows may have any width: with fewer rows than
+    states the system is solved on the side of the rows. Deeper ones are reduced to joint counts first;
+    what one task then holds depends on the width only, and there widths above ``max_columns`` raise.
     """
     too_wide = F.raise_error(F.lit(f"coevolution is limited to {max_columns} columns")).cast("boolean")
     shape = alignment_shape(df, key).where(
         (F.col("min_len") == F.col("max_len")) & (F.col("n_rows") >= 2) & (F.col("min_len") > 0)
     )
-    fit = shape.where(F.when(F.col("max_len") <= max_columns, F.lit(True)).otherwise(too_wide)).select(
+    fit = shape.where(F.when((F.col("max_len") <= max_columns) | (F.col("n_rows") <= max_group_rows), F.lit(True)).otherwise(too_wide)).select(
         *key, "n_rows", F.col("max_len").alias("width")
     )
     usable = df.join(fit.select(*key), key, "left_semi")

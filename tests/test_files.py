@@ -1,7 +1,6 @@
 """Readers, writers, jobs and streams on small files."""
 
 import os
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,7 +187,9 @@ def test_benchmark_folder_and_strategy_job(spark, tmp_path):
     def generate_rows(wanted):
         return wanted.withColumn("seq", F.when(F.col("request_no") % 2 == 0, F.col("query")).otherwise(F.lit("AC")))
 
-    table, summary = jobs.strategy_job(proteins, generate_rows, ["round_trip", "single_sequence", "nope"], 10, scores)
+    table, summary = jobs.strategy_job(proteins, generate_rows, ["round_trip", "single_sequence", "nope"], 10, scores, out_path=str(tmp_path / "out"))
+    assert {r["variant_param"] for r in table.collect()} == {"rounds=9,seeds=16", ""}
+    assert os.path.isdir(tmp_path / "out" / "msa") and os.path.isdir(tmp_path / "out" / "results")
     got = {(r["protein_id"], r["strategy"]): (r["n_sequences"], r["neff"], r["ptm"]) for r in table.collect()}
     one = round(10**-0.5, 4)
     assert got == {
@@ -210,3 +211,34 @@ def test_sink_labels(spark, tmp_path):
     sinks.write_csv(df, str(tmp_path / "csv"), ["seq", "missing"])
     lines = [x for f in os.listdir(tmp_path / "csv") if f.endswith(".csv") for x in (tmp_path / "csv" / f).read_text().splitlines()]
     assert sorted(set(lines)) == ["AC,", "AD,", "seq,missing"]
+
+
+def test_equal_folder_names_stay_apart(spark, tmp_path):
+    for top, ptm in (("runA", 0.25), ("runB", 0.75)):
+        put(tmp_path / top / "x" / "a_scores_rank_001.json", '{"ptm": %s, "plddt": [50.0]}' % ptm)
+        put(tmp_path / top / "x" / "a_relaxed_rank_001.pdb", "END\n")
+    got = structures.read_best_scores(spark, str(tmp_path)).collect()
+    assert sorted((r["prediction"], r["ptm"]) for r in got) == [("x", 0.25), ("x", 0.75)]
+    assert all(f"/{'runA' if r['ptm'] < 0.5 else 'runB'}/x/" in r["best_pdb"] for r in got)
+
+
+def test_files_of_one_folder_are_alignments_of_their_own(spark, tmp_path):
+    for name in ("a", "b"):
+        put(tmp_path / "msa" / "p1" / f"{name}.a3m", ">q\nACDE\n>r\nACDE\n")
+    jobs.neff_job(spark, str(tmp_path), str(tmp_path / "report"))
+    report = spark.read.option("header", "true").csv(str(tmp_path / "report")).collect()
+    assert [(r["pdb"], r["NAD"]) for r in report] == [("p1", "0.50"), ("p1", "0.50")]
+    jobs.mask_job(spark, f"{tmp_path}/msa/*", str(tmp_path / "masked"), 0.0)
+    assert len([f for f in os.listdir(tmp_path / "masked") if f.startswith("msa_id=")]) == 2
+
+
+def test_sweep_keeps_status_and_all_candidates(spark, tmp_path):
+    ids = "protein_id string, strategy string, variant_param string, cache_implementation string"
+    work = spark.createDataFrame([("p", "s", "v", None, "ACDE"), ("p", "s", "w", "static", "ACDE")], f"{ids}, query string")
+    rows = [("p", "s", "v", None, i, "ACD" + "EFGH"[i % 4], "ok", "") for i in range(9)]
+    rows += [("p", "s", "v", None, 9, None, "skipped", "bad input"), ("p", "s", "w", "static", 0, None, "oom", "out of memory"), ("p", "s", "w", "static", 1, None, "skipped", "z")]
+    made = spark.createDataFrame(rows, f"{ids}, seq_idx long, seq string, status string, error string")
+    table, best = jobs.sweep_files_job(made, work, str(tmp_path / "out"), 2, 4)
+    got = {r["variant_param"]: (r["raw_candidates"], r["selected_sequences"], r["status"], r["error"]) for r in table.collect()}
+    assert got == {"v": (9, 2, "skipped", "bad input"), "w": (0, 0, "oom", "out of memory")}
+    assert best.collect() == [] and len([f for f in os.listdir(tmp_path / "out" / "msa") if f.startswith("msa_id=")]) == 1

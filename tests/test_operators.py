@@ -240,7 +240,42 @@ def test_coevolution_paths_agree(msa):
             got[r["i"], r["j"]] = r["score"]
         assert got == pytest.approx(expected, abs=1e-8)
     with pytest.raises(Exception):
-        columns.coevolution(msa(rows), max_columns=3).collect()
+        columns.coevolution(msa(rows), max_columns=3, max_group_rows=5).collect()
+
+
+def test_wide_coevolution(msa):
+    rows = random_rows(4, 600, "ACDEFGHIKL", seed=8)
+    out = columns.coevolution(msa(rows))
+    assert out.count() == 360_000
+    assert out.where("i = j and score <> 0").count() == 0
+
+
+def test_evolution_draws_from_all_matrices(spark, msa):
+    names = [f"m{k:04d}" for k in range(1100)]
+    table = spark.createDataFrame([(m, a, b, 1.0) for m in names for a in "AC" for b in "AC"], "matrix string, from_aa string, to_aa string, score double")
+    df = spark.range(8000).select(F.lit("m").alias("msa_id"), F.col("id").alias("seq_idx"), F.lit("r").alias("label"), F.lit("ACAC").alias("seq"))
+    used = {r["label"] for r in augment.evolve(df, table, {}, 1.0).select("label").distinct().collect()}
+    assert len(used) > 1050 and used <= {f"r_evolved_{m}" for m in names}
+
+
+def test_generation_settings_overwrite_the_cache_mode(spark):
+    row = spark.sql("SELECT map('cache_implementation', 'old', 'top_k', '5') AS c, 'static' AS m")
+    got = row.select(fn.generation_kwargs(F.col("c"), F.col("m")).alias("k")).collect()[0]["k"]
+    assert got == {"cache_implementation": "static", "top_k": "5"}
+
+
+def test_ragged_scan_equals_pairwise_ratios(msa):
+
+    rows = [r[: 8 + i % 5] for i, r in enumerate(random_rows(60, 14, "ACD", seed=9, near=0.2))] + ["", "", "ACD"]
+    kept = []
+    for i, r in enumerate(rows):
+        def close(k, r=r):
+            if len(r) == len(rows[k]):
+                return bool(r) and same(r, rows[k]) > 0.7
+            return SequenceMatcher(None, r, rows[k]).ratio() > 0.7
+        if not any(close(k) for k in kept):
+            kept.append(i)
+    assert picks(dedup.near_dedup(msa(rows), 0.7)) == kept
 
 
 def test_mask(msa):
