@@ -44,11 +44,14 @@ P_SCOPE = frozenset("td th table button caption article section div body html".s
 DROPPED = RAW | frozenset("nav aside footer form button select input head menu dialog canvas audio video label fieldset".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
 DROPPED_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar side widget menu nav navbar navigation "
+    "ad ads advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored promo promotion banner sidebar side widget menu nav navbar navigation "
     "breadcrumb breadcrumbs footer foot masthead topbar comment comments commentlist disqus respond replies reply cookie cookies consent gdpr notice notices alert "
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended pagination pager toc copyright legal disclaimer".split()
 )
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: First words of names that speak of what a box has around it, and words of an article's own head.
+SAID_OF = frozenset("has no with without is".split())
+ARTICLE_WORDS = frozenset("article post entry story content text".split())
 KEPT_HEADER = frozenset({"article", "main"})
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
@@ -82,11 +85,14 @@ def _unwanted(name: str, attributes: str, path: list[Node]) -> bool:
         if key == "role" and value.lower() in DROPPED_ROLES:
             return True
         if key in ("class", "id"):
-            words = [w.lower() for w in WORD.findall(CAMEL.sub(" ", value))]
-            if not DROPPED_WORDS.isdisjoint(words):
-                return True
-            if "header" in words and not any(n.name in KEPT_HEADER for n in path):
-                return True
+            for name_ in value.split():
+                words = [w.lower() for w in WORD.findall(CAMEL.sub(" ", name_))]
+                if not words or words[0] in SAID_OF:
+                    continue
+                if not DROPPED_WORDS.isdisjoint(words):
+                    return True
+                if "header" in words and ARTICLE_WORDS.isdisjoint(words) and not any(n.name in KEPT_HEADER for n in path):
+                    return True
     return False
 
 

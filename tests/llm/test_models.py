@@ -65,12 +65,23 @@ def test_near_duplicates(spark):
     assert got == want
 
 
-def test_bucket_blocks_lose_no_pair(spark, monkeypatch):
+def test_bucket_blocks_lose_no_member(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
-    rows = [(1, 50, i, i % 3, [0] * 5) for i in range(50)] + [(2, 3, 100 + i, i, [i * 7919] * 5) for i in range(3)]
-    members = spark.createDataFrame(rows, "key long, n long, node long, component long, bits array<long>")
-    got = {(r["a"], r["b"]) for r in minhash._cross_pairs(members, 140).collect()}
-    assert got == {(a, b) for a in range(50) for b in range(a + 1, 50) if a % 3 != b % 3}
+    same, far = [0] * 5, [2**62 - 1] * 5
+    rows = [(1, 50, i, i % 3, same if i % 5 else far, [1] * 24) for i in range(50)] + [(2, 3, 100 + i, i, [i * 7919**4] * 5, [2] * 24) for i in range(3)]
+    rows += [(3, 4, 200 + i, i, same, [9 + (i < 2), 3] + [i] * 22) for i in range(4)]
+    members = spark.createDataFrame(rows, "key long, n long, node long, component long, bits array<long>, bands array<long>")
+    got = {r["node"] for r in minhash._open_members(members, 140).collect()}
+    # Of bucket 3 the pairs that share an earlier bucket are left to that one.
+    assert got == {*range(50), *range(200, 204)}
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 9000, n)).astype(np.uint64) for n in (0, 1, 50, 4000, 6000, 6000)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    got = minhash.shared_counts(sets)
+    assert all(got[i][j] == want[i][j] for i in range(6) for j in range(i + 1, 6))
 
 
 def test_components(spark):
@@ -159,6 +170,11 @@ PAGES = [
         + "I like this very much. " * 9 + '</p></div><aside>More</aside><form><input><p>Write to us</p></form><div class="cookie-notice">We use them</div>',
         "Title " + "Long text of some words. " * 8 + "Short end.",
     ),
+    (
+        '<div class="wrap has-sidebar"><div class="page-header">Site</div><div class="post"><div class="post-header"><h1>Own title</h1></div><p>' + "Some text of the post. " * 6
+        + '</p></div><div class="sidebar"><p>' + "Other things to read here. " * 9 + "</p></div></div>",
+        "Own title " + "Some text of the post. " * 6,
+    ),
     ("", ""),
     (None, ""),
     ("<script>var a = '<p>no</p>';</script><style>p{}</style>", ""),
