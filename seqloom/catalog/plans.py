@@ -90,6 +90,37 @@ def strategy_plan_sizes(spark, sf_dir):
     return jobs.strategy_plan_sizes(q, [*_SIZES, "single_sequence"])
 
 
+# Repeats before, values, repeats after: the loops of each strategy.
+_LOOPS = {
+    "baseline": (1, "[1.0]", 100),
+    "temperature_sweep": (1, "[0.5, 0.8, 1.0, 1.2, 1.5, 1.8, 2.0]", 20),
+    "round_trip": (9, "[NULL]", 16),
+    "3di_perturb": (4, "[0.05, 0.10, 0.15, 0.20, 0.30, 0.40]", 6),
+    "encoder_perturb": (1, "[0.03, 0.07, 0.12, 0.18, 0.25, 0.35, 0.50, 0.70]", 17),
+    "embedding_walk_full": (1, "[0.03, 0.07, 0.12, 0.20, 0.35]", 25),
+    "embedding_walk_encoder": (10, "[-2.0, -1.0, -0.5, 0.5, 1.0, 2.0]", 15),
+    "encoder_only_3di_sub": (1, "[0.05, 0.10, 0.20, 0.30, 0.40]", 30),
+    "cnn_3di_predict": (1, "[0.05, 0.10, 0.20, 0.30, 0.40]", 28),
+    "cnn_aa_predict": (128, "[NULL]", 1),
+    "diverse_beam": (48, "[NULL]", 1),
+}
+_LOOPS_SQL = " UNION ALL ".join(
+    f"SELECT query_id, '{s}' AS strategy, (o * {v.count(',') + 1} + k) * {n} + r AS request_no, CAST({v} AS DOUBLE[])[k + 1] AS value FROM q, range({m}) a(o), range({v.count(',') + 1}) b(k), range({n}) c(r)"
+    for s, (m, v, n) in _LOOPS.items()
+)
+
+
+@query("GEN2 GEN3 GEN4 GEN5 GEN6 GEN7 GEN8 GEN9 GEN10 GEN11 GEN12 GEN13", f"WITH q AS (SELECT DISTINCT conv_id AS query_id FROM conversations) {_LOOPS_SQL}")
+def strategy_plan_values(spark, sf_dir):
+    """Every request of every strategy with the value that its setting takes there."""
+    q = b.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id")).distinct()
+    out = requests.strategy_requests(q, "single_sequence")
+    for s in _LOOPS:
+        out = out.unionByName(requests.strategy_requests(q, s))
+    setting = F.coalesce(*[F.col("params")[a] for a in ("coverage", "temperature", "rate", "sigma", "step")])
+    return out.select("query_id", "strategy", "request_no", setting.alias("value"))
+
+
 @query(
     "GEN5",
     "WITH a AS (SELECT doc_id AS query_id, unnest(range(4)) AS s FROM documents), r AS (SELECT *, unnest(range(6)) AS k, "
