@@ -10,7 +10,7 @@ another component than a bucket-mate are then compared with the rest of the buck
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +138,18 @@ def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(fits & (_agreeing("xa", "xb") >= agreement_floor(percent / 100))).select("a", "b")
 
 
+def node_sets(rows: pa.Table, nodes: set[int]) -> dict[int, np.ndarray]:
+    """Shingle sets of the nodes that are among a batch's texts."""
+    kept = rows.filter(pa.array([x in nodes for x in rows.column("node").to_pylist()], pa.bool_()))
+    out = {}
+    for at in range(0, kept.num_rows, 256):
+        part = kept.slice(at, 256)
+        shingles, first, _, _ = shingle_prints(K.Texts(part.column("text")))
+        for i, node in enumerate(part.column("node").to_pylist()):
+            out[node] = shingles[first[i] : first[i + 1]]
+    return out
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, batches: int, percent: int) -> DataFrame:
     """Pairs whose full shingle sets meet the bound.
 
@@ -147,19 +159,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, batches: int, percent: int) -
     home = lambda c: F.pmod(F.xxhash64(c), F.lit(batches)).cast("int")
     wanted = pairs.select(home("a").alias("batch"), "a", "b", home("b").alias("to"))
 
-    def sets_of(rows: pa.Table, nodes: set[int]) -> dict[int, np.ndarray]:
-        kept = rows.filter(pa.array([x in nodes for x in rows.column("node").to_pylist()], pa.bool_()))
-        out = {}
-        for at in range(0, kept.num_rows, 256):
-            part = kept.slice(at, 256)
-            shingles, first, _, _ = shingle_prints(K.Texts(part.column("text")))
-            for i, node in enumerate(part.column("node").to_pylist()):
-                out[node] = shingles[first[i] : first[i + 1]]
-        return out
-
     def send(rows: pa.Table, asked: pa.Table) -> pa.Table:
         a, b, to = (asked.column(c).to_pylist() for c in ("a", "b", "to"))
-        sets = sets_of(rows, set(a))
+        sets = node_sets(rows, set(a))
         partners: dict[tuple[int, int], list[int]] = {}
         for x, y, t in zip(a, b, to, strict=True):
             partners.setdefault((t, x), []).append(y)
@@ -174,7 +176,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, batches: int, percent: int) -
 
     def compare(rows: pa.Table, sent: pa.Table) -> pa.Table:
         partners = sent.column("b").to_pylist()
-        sets = sets_of(rows, {y for p in partners for y in p})
+        sets = node_sets(rows, {y for p in partners for y in p})
         left, right = [], []
         for x, ys, body in zip(sent.column("a").to_pylist(), partners, sent.column("shingles").to_pylist(), strict=True):
             mine = np.frombuffer(body, np.uint64)
@@ -191,61 +193,142 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, batches: int, percent: int) -
     return texts.groupBy("batch").cogroup(sent.groupBy("batch")).applyInArrow(compare, "a long, b long")
 
 
-def _cross_pairs(members: DataFrame, floor: int) -> DataFrame:
-    """Pairs (a < b) of one bucket in different components whose signatures allow the similarity.
+def _by_group(batches: Iterator[pa.RecordBatch], run: Callable[[pa.Table], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
+    """Runs whole groups of rows sorted by ``group``; a group may go on over batches."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if not table.num_rows:
+            continue
+        group = table.column("group").to_numpy()
+        cut = int(np.searchsorted(group, group[-1], side="left"))
+        if cut:
+            out = run(table.slice(0, cut).combine_chunks())
+            if out is not None:
+                yield out
+        rest = table.slice(cut)
+    if rest is not None and rest.num_rows:
+        out = run(rest.combine_chunks())
+        if out is not None:
+            yield out
+
+
+def _matrix(table: pa.Table, name: str) -> np.ndarray:
+    column = table.column(name).combine_chunks()
+    return np.asarray(column.flatten()).view(np.uint64).reshape(len(column), -1)
 
-    ``members`` has (key, n, node, component, bits). A bucket is dealt to blocks by node, and pairs of blocks meet in
-    tasks, so that no task holds a large bucket; pairs that are linked already are passed over.
+
+def _group_ends(group: np.ndarray) -> np.ndarray:
+    return np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))
+
+
+def _open_members(members: DataFrame, floor: int) -> DataFrame:
+    """(group, side, node, component) of members with a plausible partner in another component.
+
+    ``members`` has (key, n, node, component, bits, bands). A bucket is dealt to blocks by node, and pairs of
+    blocks meet in tasks, so that no task holds a large bucket. Of the buckets that two nodes share
+    only the first counts.
     """
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
+    side = F.when(F.col("at.i") == F.col("at.j"), F.lit(-1)).otherwise((F.col("mine") == F.col("at.i")).cast("int"))
     dealt = (
         members.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("at", F.explode(meets))
-        .select(F.xxhash64("key", "at.i", "at.j").alias("group"), F.when(F.col("at.i") == F.col("at.j"), F.lit(-1)).otherwise((F.col("mine") == F.col("at.i")).cast("int")).alias("side"), "node", "component", F.col("bits"))
+        .select(F.xxhash64("key", "at.i", "at.j").alias("group"), side.alias("side"), "key", "node", "component", "bits", "bands")
     )
     low = np.uint64(0x5555555555555555)
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def pairs(table: pa.Table) -> pa.RecordBatch:
-            table = table.combine_chunks()
-            group, side, node, comp = (table.column(c).to_numpy() for c in ("group", "side", "node", "component"))
-            bits = np.asarray(table.column("bits").combine_chunks().flatten()).view(np.uint64).reshape(len(group), -1)
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))
-            end = np.repeat(ends, np.diff(np.concatenate(([0], ends))))
-            at = np.arange(len(group))
-            step = 1
-            while len(at):
-                at = at[at + step < end[at]]
-                other = at + step
-                ok = (comp[at] != comp[other]) & ((side[at] < 0) | (side[at] != side[other]))
-                x, y = at[ok], other[ok]
-                d = bits[x] ^ bits[y]
-                differing = np.bitwise_count((d | (d >> np.uint64(1))) & low).sum(1)
-                close = BANDS * ROWS - differing >= floor
-                left.append(np.minimum(node[x], node[y])[close])
-                right.append(np.maximum(node[x], node[y])[close])
-                step += 1
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            group = table.column("group").to_numpy()
-            if not len(group):
-                continue
-            # The last group may go on in the next batch.
-            cut = int(np.searchsorted(group, group[-1], side="left"))
-            if cut:
-                yield pairs(table.slice(0, cut))
-            rest = table.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield pairs(rest)
+    def flag(table: pa.Table) -> pa.RecordBatch:
+        group, side, node, comp = (table.column(c).to_numpy() for c in ("group", "side", "node", "component"))
+        key = table.column("key").to_numpy().view(np.uint64)
+        bits, bands = _matrix(table, "bits"), _matrix(table, "bands")
+        ends = _group_ends(group)
+        end = np.repeat(ends, np.diff(np.concatenate(([0], ends))))
+        hit, at, step = np.zeros(len(group), bool), np.arange(len(group)), 1
+        while len(at):
+            at = at[at + step < end[at]]
+            other = at + step
+            ok = (comp[at] != comp[other]) & ((side[at] < 0) | (side[at] != side[other]))
+            x, y = at[ok], other[ok]
+            d = bits[x] ^ bits[y]
+            near = BANDS * ROWS - np.bitwise_count((d | (d >> np.uint64(1))) & low).sum(1) >= floor
+            x, y = x[near], y[near]
+            same = bands[x] == bands[y]
+            mine = bands[x, same.argmax(1)] == key[x]
+            hit[x[mine]] = True
+            hit[y[mine]] = True
+            step += 1
+        return pa.RecordBatch.from_arrays([pa.array(v[hit]) for v in (group, side, node, comp)], ["group", "side", "node", "component"])
 
     spread = dealt.repartition("group").sortWithinPartitions("group")
-    return spread.mapInArrow(pair, "a long, b long").distinct()
+    return spread.mapInArrow(lambda batches: _by_group(batches, flag), "group long, side int, node long, component long")
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections of a block's sets, by products of slices of its incidence matrix."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    row = np.repeat(np.arange(len(sets)), size)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = count > 1
+    keep = several[column]
+    row, column = row[keep], (np.cumsum(several) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out, width = np.zeros((len(sets), len(sets)), np.float64), 4096
+    for at in range(0, int(several.sum()), width):
+        a, b = np.searchsorted(column, (at, at + width))
+        part = np.zeros((len(sets), width), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def _cross_links(members: DataFrame, texts: DataFrame, batches: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components within some bucket; the full sets meet in blocks.
+
+    Of the links of a block only those are given that join components not yet joined by others of it,
+    so a dense bucket gives about as many rows as it has members.
+    """
+    members = cut_lineage(_open_members(members, agreement_floor(percent / 100)))
+    wanted = members.select("node").distinct().select(F.pmod(F.xxhash64("node"), F.lit(batches)).cast("int").alias("batch"), "node")
+
+    def sets_of_nodes(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        sets = node_sets(rows, set(asked.column("node").to_pylist()))
+        return pa.table({"node": pa.array(list(sets), pa.int64()), "shingles": pa.array([x.tobytes() for x in sets.values()], pa.binary())})
+
+    sets = texts.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(sets_of_nodes, "node long, shingles binary")
+
+    def link(table: pa.Table) -> pa.RecordBatch | None:
+        group, side, node, comp = (table.column(c).to_numpy() for c in ("group", "side", "node", "component"))
+        bodies = table.column("shingles").to_pylist()
+        left, right, begin = [], [], 0
+        for end in _group_ends(group).tolist():
+            block = [np.frombuffer(x, np.uint64) for x in bodies[begin:end]]
+            shared = shared_counts(block)
+            size = np.fromiter(map(len, block), np.int64, len(block))
+            c, s, ids = comp[begin:end], side[begin:end], node[begin:end]
+            linked = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+            linked &= (c[:, None] != c[None, :]) & ((s[:, None] < 0) | (s[:, None] != s[None, :]))
+            root = {x: x for x in c.tolist()}
+
+            def find(x: int, root: dict = root) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+                p, q = find(int(c[i])), find(int(c[j]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    left.append(int(ids[i]))
+                    right.append(int(ids[j]))
+            begin = end
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    met = members.join(sets, "node").repartition("group").sortWithinPartitions("group")
+    return met.mapInArrow(lambda batches: _by_group(batches, link), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -282,10 +365,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # Buckets whose members are not all of one component yet.
     placed = shared.select("key", "n", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-    members = placed.join(split, "key", "left_semi").join(reps.select("node", "bits"), "node")
-    more = _cross_pairs(members, agreement_floor(percent / 100)).join(tested, ["a", "b"], "left_anti")
-    more = cut_lineage(_plausible(more, reps, percent))
-    links = links.unionByName(cut_lineage(_confirmed(more, texts, batches, percent)))
+    members = placed.join(split, "key", "left_semi").join(reps.select("node", "bits", "bands"), "node")
+    links = links.unionByName(cut_lineage(_cross_links(members, texts, batches, percent)))
     found = components(links, "a", "b").withColumnRenamed("node", "class")
     joined = named.join(found, "class", "left")
     least = F.coalesce("component", "class", "node")
