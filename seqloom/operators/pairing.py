@@ -53,7 +53,7 @@ def sample_product(
     ``rows`` has ``complex_id, chain_idx, row_idx, seq`` with ``row_idx`` dense from 0. Combinations are
     drawn as row numbers, never by walking the product: a product of at most ``k`` is returned whole
     and in product order, one up to four times ``k`` is put in hash order, and from a larger one
-    ``4 k`` draws leave at least ``k`` distinct ones. ``n_chains`` (complex_id, n) leaves out complexes
+    the first ``k`` distinct of ``4 k`` draws are taken. ``n_chains`` (complex_id, n) leaves out complexes
     where a chain has no row.
     """
     sizes = chain_sizes(rows)
@@ -78,15 +78,16 @@ def sample_product(
         ),
         lambda s: _decode(s["i"], F.col("sizes")),
     )
-    # As text the draws are hashed when made distinct; arrays would be compared pair by pair.
-    texts = F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(ENUMERATE_FACTOR * k - 1)),
-            lambda d: F.array_join(
-                F.transform(F.col("sizes"), lambda n, c: hash_index(n, *who, d, c, seed=seed).cast("string")), ","
-            ),
-        )
+    # As text the draws are hashed when made distinct; arrays would be compared pair by pair. Should
+    # the draws ever leave fewer than k, the first combinations in product order fill up the rest.
+    drawn = F.transform(
+        F.sequence(F.lit(0), F.lit(ENUMERATE_FACTOR * k - 1)),
+        lambda d: F.array_join(
+            F.transform(F.col("sizes"), lambda n, c: hash_index(n, *who, d, c, seed=seed).cast("string")), ","
+        ),
     )
+    spare = F.transform(in_order(F.lit(k).cast("long")), lambda x: F.array_join(x.cast("array<string>"), ","))
+    texts = F.array_distinct(F.concat(drawn, spare))
     draws = F.transform(F.slice(texts, 1, k), lambda t: F.split(t, ",").cast("array<bigint>"))
     combos = (
         F.when(total <= k, whole)
