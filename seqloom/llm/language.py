@@ -141,11 +141,12 @@ def identify(docs: DataFrame, filters: Filters, carry: list[str]) -> DataFrame:
     ``und`` with score 0 is given where the text is null or has no letters, and everywhere if no language was
     learned. A text none of whose n-grams are known gets the first language with score 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    # Plain arrays: a broadcast is read back by module name, and workers need not have this package.
+    shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.slots, filters.false_rate))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), "lang_pred string, score double"])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
+        f = Filters(*shared.value)
         for batch in K.chunks(batches, "__text"):
             texts = [t or "" for t in batch.column("__text").to_pylist()]
             known = np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts)) & bool(f.languages)

@@ -9,6 +9,7 @@ half-width steps cut off no more), which meet in 9,999 of 10,000 cases in one wi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -88,26 +89,13 @@ def _minima(shingles: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterato
         yield np.minimum.reduceat(np.append(shingles * factor, np.uint64((1 << 64) - 1)), edges)[::2]
 
 
+@dataclass
 class Index:
-    """Band keys of all template windows, per width, and the templates' shingle sets."""
-
-    def __init__(self, names: list[str], texts: list[str]):
-        shingles, first = _shingles(K.Texts(pa.array(texts, pa.string())))
-        self.sets = [np.unique(shingles[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-        self.names = names
-        self.tables: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        size = np.diff(first)
-        widths = np.array([max((w for w in WIDTHS if w <= n + SHINGLE - 1), default=WIDTHS[0]) for n in size])
-        for width in sorted(set(widths[size > 0].tolist())):
-            begin, end, owner = _windows(first, width, 1)
-            use = (widths[owner] == width) & ((end - begin == width - SHINGLE + 1) | (begin == first[owner]))
-            begin, end, owner = begin[use], end[use], owner[use]
-            self.tables[width] = []
-            for keys in _minima(shingles, begin, end):
-                order = np.argsort(keys, kind="stable")
-                quick = np.zeros(1 << 16, bool)
-                quick[(keys >> np.uint64(20)).astype(np.int64) & 0xFFFF] = True
-                self.tables[width].append((quick, keys[order], owner[order]))
+    """The templates' names and shingle sets, and per window width the band keys of all their windows."""
+
+    names: list[str]
+    sets: list[np.ndarray]
+    tables: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
     def candidates(self, shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Distinct (text, template) pairs of which some windows meet in a band."""
@@ -123,6 +111,24 @@ class Index:
         return np.unique(np.concatenate(pairs), axis=0)
 
 
+def build_index(names: list[str], texts: list[str]) -> Index:
+    shingles, first = _shingles(K.Texts(pa.array(texts, pa.string())))
+    size = np.diff(first)
+    widths = np.array([max((w for w in WIDTHS if w <= n + SHINGLE - 1), default=WIDTHS[0]) for n in size])
+    tables: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for width in sorted(set(widths[size > 0].tolist())):
+        begin, end, owner = _windows(first, width, 1)
+        use = (widths[owner] == width) & ((end - begin == width - SHINGLE + 1) | (begin == first[owner]))
+        begin, end, owner = begin[use], end[use], owner[use]
+        tables[width] = []
+        for keys in _minima(shingles, begin, end):
+            order = np.argsort(keys, kind="stable")
+            quick = np.zeros(1 << 16, bool)
+            quick[(keys >> np.uint64(20)).astype(np.int64) & 0xFFFF] = True
+            tables[width].append((quick, keys[order], owner[order]))
+    return Index(names, [np.unique(shingles[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)], tables)
+
+
 def scan_licenses(docs: DataFrame, templates: DataFrame, carry: list[str], percent: int = 80) -> DataFrame:
     """``carry`` with license_id, n_shared, n_template, containment: one row per text and template found in it.
 
@@ -136,12 +142,13 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, carry: list[str], perce
     if len(given) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
     given.sort(key=lambda r: (r["license_id"] or "", r["text"]))
-    index = Index([r["license_id"] for r in given], [r["text"] for r in given])
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    index = build_index([r["license_id"] for r in given], [r["text"] for r in given])
+    # Plain arrays: a broadcast is read back by module name, and workers need not have this package.
+    shared = docs.sparkSession.sparkContext.broadcast((index.names, index.sets, index.tables))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), "license_id string, n_shared long, n_template long, containment double"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = Index(*shared.value)
         for batch in K.chunks(batches, "__text"):
             shingles, first = _shingles(K.Texts(batch.column("__text")))
             rows, names, hits, sizes = [], [], [], []
