@@ -60,7 +60,8 @@ def batched(docs: DataFrame, carry: list[str]) -> Texts:
     batches = max(1, -(-total // BATCH_BYTES))
     batch = F.pmod(F.col("rk"), F.lit(batches)).cast("int").alias("batch")
     groups = small.where("size > 0").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("least"), F.min_by("rk", "doc").alias("first")).where("n > 1")
-    pairs = small.join(groups.drop("n"), "digest").select(batch, F.struct("rk", "doc", "least", "first").alias("p"))
+    # Cut off from its aggregate, the join stands on two plain exchanges, and Spark can split a digest with many rows.
+    pairs = small.join(cut_lineage(groups.drop("n")), "digest").select(batch, F.struct("rk", "doc", "least", "first").alias("p"))
     packed = pairs.groupBy("batch").agg(F.collect_list("p").alias("p"))
     copies = packed.select("batch", F.lit(COPY).alias("kind"), F.lit(0).alias("bucket"), F.array_join(F.transform("p", lambda p: F.concat_ws(",", p.rk, p.doc, p.least, p.first)), ";").cast("binary").alias("bits"))
     bits = max(LEAST_BUCKETS.bit_length() - 1, (total // BUCKET_BYTES).bit_length())

@@ -346,14 +346,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     batches = max(1, -(-total // BATCH_BYTES))
     filled = rows.where("n_shingles > 0")
     classes = filled.groupBy("key1", "key2").agg(F.min("node").alias("class"), F.count(F.lit(1)).alias("copies"))
-    copied = classes.where("copies > 1").drop("copies")
+    # Aggregates are cut off before they are joined: on two plain exchanges Spark can split a hot key.
+    copied = cut_lineage(classes.where("copies > 1").drop("copies"))
     named = rows.select("node", "doc_id", "n_shingles", "key1", "key2").join(copied, ["key1", "key2"], "left")
     named = cut_lineage(named.select("node", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("class", "node")).alias("class")))
     reps = filled.join(classes.select(F.col("class").alias("node")), "node", "left_semi").select("node", "n_shingles", "bands", "bits").dropDuplicates(["node"])
     reps = cut_lineage(reps)
     banded = reps.select("node", F.explode("bands").alias("key"))
     heads = banded.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut_lineage(banded.join(heads, "key"))
+    shared = cut_lineage(banded.join(cut_lineage(heads), "key"))
     texts = (
         docs.select(node_key().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
         .select(F.pmod(F.xxhash64("node"), F.lit(batches)).cast("int").alias("batch"), "node", "text")
@@ -365,7 +366,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # Buckets whose members are not all of one component yet.
     placed = shared.select("key", "n", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-    members = placed.join(split, "key", "left_semi").join(reps.select("node", "bits", "bands"), "node")
+    members = placed.join(cut_lineage(split), "key", "left_semi").join(reps.select("node", "bits", "bands"), "node")
     links = links.unionByName(cut_lineage(_cross_links(members, texts, batches, percent)))
     found = components(links, "a", "b").withColumnRenamed("node", "class")
     joined = named.join(found, "class", "left")
