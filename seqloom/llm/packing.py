@@ -22,8 +22,8 @@ from seqloom.llm import kernels as K
 from seqloom.session import cut_lineage
 
 CAPACITY = 4096
-#: Units kept in a worker's table of encoded units before it is begun anew, and slots of that table.
-KNOWN_UNITS, SLOT_BITS = 1 << 20, 21
+#: Units kept in a task's table of encoded units before it is begun anew, and slots of that table.
+KNOWN_UNITS, SLOT_BITS = 1 << 19, 20
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -74,13 +74,13 @@ def text_units(texts: K.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 class UnitIds:
-    """Token ids of units, each encoded once per worker and found again by fingerprint."""
+    """Token ids of units, each encoded once per task and found again by fingerprint."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.full = Tokenizer.from_file(path)
+        self.path, self.full = path, None
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -130,6 +130,10 @@ class UnitIds:
         self.n += len(prints)
 
     def learn(self, prints: np.ndarray, units: list[bytes], whole: np.ndarray) -> None:
+        if self.full is None and whole.any():
+            from tokenizers import Tokenizer
+
+            self.full = Tokenizer.from_file(self.path)
         found = [(self.full if w else self.bare).encode(u.decode("utf-8"), add_special_tokens=False).ids for u, w in zip(units, whole.tolist(), strict=True)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
@@ -173,10 +177,8 @@ def token_pieces(docs: DataFrame, carry: list[str], tokenizer: str, capacity: in
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), PIECE_SCHEMA] + ["ids array<int>"] * with_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = K.worker_cache()
-        encoder = cache.get(tokenizer)
-        if encoder is None:
-            encoder = cache[tokenizer] = UnitIds(tokenizer)
+        # Of a task's life: a worker that goes on to other work does not keep the tables.
+        encoder = UnitIds(tokenizer)
         for batch in K.chunks(batches, "__text"):
             ids, first = encoder.encode(K.Texts(batch.column("__text")))
             n = batch.num_rows
