@@ -40,14 +40,29 @@ ENDED_BY = {
 ENDS_P = BLOCK - {"body", "html", "br", "td", "th", "tr", "tbody", "thead", "tfoot", "legend"}
 P_SCOPE = frozenset("td th table button caption article section div body html".split())
 
-#: What is never part of an article, by element, by role and by the words of class and id.
-DROPPED = RAW | frozenset("nav aside footer form button select input head menu dialog canvas audio video label fieldset".split())
+#: What is never part of an article: controls and the like always, the others by element, by role and by the
+#: words of class and id unless the article stands in them (see ``judge``).
+DROPPED = RAW | frozenset("button select input head canvas audio video label".split())
+MARKED = frozenset("nav aside footer form menu dialog fieldset".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored promo promotion banner sidebar side widget menu nav navbar navigation "
     "breadcrumb breadcrumbs footer foot masthead topbar comment comments commentlist disqus respond replies reply cookie cookies consent gdpr notice notices alert "
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended pagination pager toc copyright legal disclaimer".split()
 )
+#: Of these words a longer name may speak without being such a box (content-sidebar-wrap), and these are of other texts.
+LAYOUT_WORDS = frozenset(
+    "ad ads sidebar side widget menu nav navbar navigation banner header footer foot masthead topbar breadcrumb breadcrumbs "
+    "overlay modal popup toc share sharing social notice notices alert".split()
+)
+OTHER_TEXTS = frozenset("comment comments commentlist disqus respond replies reply related recommended".split())
+BOX_WORDS = DROPPED_WORDS | {"header"}
+#: Marks of an element that may well be around a whole page.
+AROUND = frozenset({("<form>",), ("<fieldset>",), ("role", "form")})
+#: A name is taken back if this many times the other unlinked text stands under it; a plain one if hardly any other is left.
+MOST, ALL, LITTLE = 3, 20, 200
+#: What can stand in a head; anything else ends it.
+IN_HEAD = frozenset("title meta link style script noscript base template".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: First words of names that speak of what a box has around it, and words of an article's own head.
 SAID_OF = frozenset("has no with without is".split())
@@ -62,38 +77,140 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("name", "children", "dropped", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("name", "children", "dropped", "marks", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
-    def __init__(self, name: str, dropped: bool = False):
-        self.name, self.dropped = name, dropped
+    def __init__(self, name: str, dropped: bool = False, marks: tuple[tuple[str, ...], ...] = ()):
+        self.name, self.dropped, self.marks = name, dropped, marks
         self.children: list[Node | str] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _unwanted(name: str, attributes: str, path: list[Node]) -> bool:
-    if name in DROPPED:
-        return True
+def _marks(name: str, attributes: str, path: list[Node]) -> tuple[tuple[str, ...], ...]:
+    """Why an element looks like no part of an article: its element, its role, and names in words."""
+    out = []
+    if name in MARKED:
+        out.append((f"<{name}>",))
     if name == "header":
-        return not any(n.name in KEPT_HEADER for n in path)
+        return () if any(n.name in KEPT_HEADER for n in path) else (("<header>",),)
     if not attributes or name in ("body", "html", "article", "main"):
-        return False
+        return tuple(out)
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            out.append(("hidden",))
         if key == "role" and value.lower() in DROPPED_ROLES:
-            return True
+            out.append(("role", value.lower()))
         if key in ("class", "id"):
             for name_ in value.split():
-                words = [w.lower() for w in WORD.findall(CAMEL.sub(" ", name_))]
+                words = tuple(w.lower() for w in WORD.findall(CAMEL.sub(" ", name_)))
                 if not words or words[0] in SAID_OF:
                     continue
                 if not DROPPED_WORDS.isdisjoint(words):
-                    return True
-                if "header" in words and ARTICLE_WORDS.isdisjoint(words) and not any(n.name in KEPT_HEADER for n in path):
-                    return True
-    return False
+                    out.append(words)
+                elif "header" in words and ARTICLE_WORDS.isdisjoint(words) and not any(n.name in KEPT_HEADER for n in path):
+                    out.append(words)
+    return tuple(dict.fromkeys(out))
+
+
+def _speaks_of(mark: tuple[str, ...]) -> bool:
+    """A mark that a box around an article may have."""
+    boxes = BOX_WORDS.intersection(mark)
+    return mark in AROUND or (bool(boxes) and boxes <= LAYOUT_WORDS and len(boxes) < len(set(mark)))
+
+
+def judge(root: Node) -> None:
+    """Decides on the marked elements: those are dropped that the article does not stand in.
+
+    Marks are taken back from the elements around a ``main``; around an ``article`` with more unlinked text than
+    is left otherwise, where none is left; and, for all elements of that name (and of longer names that
+    begin with it), where most of the unlinked text stands under the name. Elements within are judged likewise.
+    Names of other texts, as comments, only give way to a ``main``.
+    """
+    order, stack = [], [(root, None, False)]
+    while stack:
+        node, parent, linked = stack.pop()
+        order.append((node, parent, linked))
+        stack += [(x, node, linked or x.name == "a") for x in node.children if isinstance(x, Node) and not x.dropped]
+    if not any(node.marks for node, _, _ in order):
+        return
+    plain: dict[int, int] = {}
+    article: dict[int, int] = {}
+    around: set[int] = set()
+    for node, parent, linked in reversed(order):
+        me = id(node)
+        plain[me] = plain.get(me, 0) + (0 if linked else sum(len(x.strip()) for x in node.children if isinstance(x, str)))
+        if node.name == "article":
+            article[me] = max(article.get(me, 0), plain[me])
+        if ("hidden",) in node.marks:
+            around.discard(me)
+        if parent is not None:
+            up = id(parent)
+            plain[up] = plain.get(up, 0) + plain[me]
+            if me in article:
+                article[up] = max(article.get(up, 0), article[me])
+            if node.name == "main" or me in around:
+                around.add(up)
+
+    left, stated = 0, False
+    excused: set[tuple[str, ...]] = set()
+    edge: dict[int, Node] = {}
+    under: dict[tuple[str, ...], dict[int, Node]] = {}
+    amount: dict[tuple[str, ...], int] = {}
+
+    def live(node: Node) -> bool:
+        for mark in node.marks:
+            if not any(mark[:k] in excused and BOX_WORDS.isdisjoint(mark[k:]) for k in range(1, len(mark) + 1)):
+                return True
+        return False
+
+    def enter(start: Node) -> None:
+        """Takes a subtree in, up to the marked elements in it."""
+        nonlocal left, stated
+        todo = [(start, False)]
+        while todo:
+            node, linked = todo.pop()
+            if node.marks and id(node) not in around and node is not start and live(node):
+                edge[id(node)] = node
+                for mark in node.marks:
+                    if plain[id(node)]:
+                        amount[mark] = amount.get(mark, 0) + plain[id(node)]
+                    for k in range(1, len(mark) + 1):
+                        under.setdefault(mark[:k], {})[id(node)] = node
+                continue
+            stated |= node.name in KEPT_HEADER
+            if not linked:
+                left += sum(len(x.strip()) for x in node.children if isinstance(x, str))
+            todo += [(x, linked or x.name == "a") for x in node.children if isinstance(x, Node) and not x.dropped]
+
+    def release(node: Node) -> None:
+        del edge[id(node)]
+        for mark in node.marks:
+            if plain[id(node)]:
+                amount[mark] -= plain[id(node)]
+                if not amount[mark]:
+                    del amount[mark]
+        enter(node)
+
+    enter(root)
+    while edge:
+        if not stated:
+            held = [x for x in edge.values() if article.get(id(x), 0) > left and not any(OTHER_TEXTS.intersection(m) for m in x.marks)]
+            if held:
+                release(max(held, key=lambda x: article[id(x)]))
+                continue
+        open_ = [(n, m) for m, n in amount.items() if n > 0 and m not in excused and not OTHER_TEXTS.intersection(m)]
+        found = max(((n, m) for n, m in open_ if n >= (ALL if stated else MOST) * left and _speaks_of(m)), default=None)
+        if found is None and left < LITTLE:
+            found = max(((n, m) for n, m in open_ if n > ALL * left), default=None)
+        if found is None:
+            break
+        excused.add(found[1])
+        for node in list(under.get(found[1], {}).values()):
+            if id(node) in edge and not live(node):
+                release(node)
+    for node in edge.values():
+        node.dropped = True
 
 
 def parse(source: str) -> Node:
@@ -131,6 +248,9 @@ def parse(source: str) -> Node:
                 if name == "p":
                     path[-1].children.append(Node("p"))
             continue
+        if path[-1].name == "head" and name not in IN_HEAD:
+            # The end tag of a head may be left out.
+            path.pop()
         if name in ("html", "body"):
             continue
         if name in ENDS_P:
@@ -151,7 +271,7 @@ def parse(source: str) -> Node:
             if cut:
                 del path[cut:]
         attributes = found.group(3)
-        node = Node(name, _unwanted(name, attributes, path))
+        node = Node(name, True) if name in DROPPED else Node(name, False, _marks(name, attributes, path))
         path[-1].children.append(node)
         if name in RAW:
             if not attributes.endswith("/") or name in ("script", "style", "title", "textarea"):
@@ -232,6 +352,7 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     root = parse(source)
+    judge(root)
     measure(root)
     chosen, stated = article_nodes(root)
     parts: list[str] = []

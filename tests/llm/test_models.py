@@ -188,6 +188,33 @@ def test_pages(source, text):
     assert pages.main_text(source).split() == text.split()
 
 
+TEXT = "Here is the text itself, without links. " * 5
+WRAPPED = [
+    # A form around the page: only its controls go.
+    (f'<form id="aspnetForm"><nav><a href=1>One</a></nav><div><h1>Title</h1><p>{TEXT}</p></div><input><button>Send</button><select><option>x</select></form>', f"Title {TEXT}"),
+    (f'<p>Site</p><form id="aspnetForm"><div class="sidebar">Other things</div><main><p>{TEXT}</p></main><label>Search</label></form>', TEXT),
+    # Wrappers whose names only speak of a box.
+    *((f'<div class="{name}"><article><p>{TEXT}</p></article><div class="sidebar">Other things</div></div>', TEXT) for name in ("content-sidebar-wrap", "layout-with-sidebar", "main-content sidebar-right")),
+    *((f'<div class="site-header">Site</div><div class="{name}"><div><p>{TEXT}</p></div><div class="sidebar">Other things</div></div>', TEXT) for name in ("content-sidebar-wrap", "layout-with-sidebar")),
+    ("".join(f'<div class="elementor-widget elementor-widget-{k}"><div class="elementor-widget-container">{x}</div></div>' for k, x in (("nav-menu", "Menu"), ("heading", "<h1>Title</h1>"), ("text-editor", f"<p>{TEXT}</p>"), ("text-editor", f"<p>{TEXT}</p>"))), f"Title {TEXT} {TEXT}"),
+    # What is no wrapper stays dropped, longer or not.
+    (f'<div><p>{TEXT}</p></div><div class="comments-area"><article class="comment-body"><p>{"I like this. " * 200}</p></article></div><form><p>Write to us</p></form>', TEXT),
+    (f'<article><p>{TEXT}</p></article><div class="footer-widgets"><p>{"We sell many things. " * 50}</p></div>', TEXT),
+    (f'<main><p>{TEXT}</p><div class="related"><article>{"Another one. " * 50}</article></div></main>', TEXT),
+    # A head without end tag.
+    (f"<html><head><title>T</title><meta charset=utf-8><body><p>{TEXT}", TEXT),
+]
+
+
+@pytest.mark.parametrize(("source", "text"), WRAPPED)
+def test_wrapped_pages(source, text):
+    assert pages.main_text(source).split() == text.split()
+
+
+def test_marked_at_every_depth():
+    assert pages.main_text("".join(f'<div class="x{"abcdefghij"[k % 10] * (k // 10 + 1)}-sidebar">' for k in range(2000)) + "deep text") == "deep text"
+
+
 def test_very_deep_page():
     assert pages.main_text("<div>" * 20_000 + "deep text" + "</div>" * 20_000) == "deep text"
 
