@@ -68,6 +68,8 @@ INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img
 SAID_OF = frozenset("has no with without is".split())
 ARTICLE_WORDS = frozenset("article post entry story content text".split())
 KEPT_HEADER = frozenset({"article", "main"})
+#: Text in these does not end the run of menus at an edge of the article.
+NO_EDGE = frozenset("a h1 h2 h3 h4 h5 h6".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -313,8 +315,8 @@ def measure(root: Node) -> None:
         node.total = sum(x.density for x in node.children if isinstance(x, Node) and not x.dropped and (x.name in BLOCK or x.name not in INLINE))
 
 
-def article_nodes(root: Node) -> tuple[set[int], bool]:
-    """Identities of the nodes whose subtrees are the article, and whether the page states it itself."""
+def article_nodes(root: Node) -> tuple[set[int], list[Node] | None]:
+    """Identities of the nodes whose subtrees are the article, and the way to the densest one (None: the page states it itself)."""
     best, way, stack = root, [root], [(root, [root])]
     while stack:
         node, path = stack.pop()
@@ -324,11 +326,11 @@ def article_nodes(root: Node) -> tuple[set[int], bool]:
             if isinstance(x, Node) and not x.dropped and x.chars:
                 stack.append((x, [*path, x]))
     if best is root:
-        return {id(root)}, False
+        return {id(root)}, way
     for x in reversed(way):
         if x.name in KEPT_HEADER:
             # The page itself says where its article ends.
-            return {id(x)}, True
+            return {id(x)}, None
     threshold = min(x.density for x in way)
     chosen, on_way, queue = {id(best)}, {id(x) for x in way}, [root]
     while queue:
@@ -339,7 +341,7 @@ def article_nodes(root: Node) -> tuple[set[int], bool]:
                     chosen.add(id(x))
                 else:
                     queue.append(x)
-    return chosen, False
+    return chosen, way
 
 
 def is_menu(node: Node) -> bool:
@@ -347,31 +349,63 @@ def is_menu(node: Node) -> bool:
     return node.name in BLOCK and node.link_tags > 1 and 3 * node.link_chars > 2 * node.chars
 
 
+def numbered(node: Node) -> bool:
+    """A numbered list or a block with one: of references, rather than a menu."""
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        if x.name == "ol":
+            return True
+        stack += [y for y in x.children if isinstance(y, Node) and not y.dropped]
+    return False
+
+
 def main_text(source: str | None) -> str:
-    """The article of a page: blocks in page order joined by one space, character references decoded."""
+    """The article of a page: blocks in page order joined by one space, character references decoded.
+
+    Menus are left out beside the densest subtree and where they begin or end it; within it they are text.
+    """
     if not source:
         return ""
     root = parse(source)
     judge(root)
     measure(root)
-    chosen, stated = article_nodes(root)
+    chosen, way = article_nodes(root)
+    core, on_way = (way[-1], {id(x) for x in way}) if way else (None, set())
     parts: list[str] = []
-    stack: list[tuple[Node | str | None, bool]] = [(root, id(root) in chosen)]
+    # Of the core: places of its own text, and of menus with whether they are numbered.
+    own: list[int] = []
+    menus: list[tuple[int, bool]] = []
+    # Per node: whether it is part of the article, of the core, of text for its edges, and of which menu.
+    stack: list[tuple[Node | str | None, bool, bool, bool, bool | None]] = [(root, False, False, True, None)]
     while stack:
-        x, inside = stack.pop()
+        x, inside, within, plain, menu = stack.pop()
         if x is None:
             parts.append(" ")
         elif isinstance(x, str):
             if inside:
+                if within and menu is not None:
+                    menus.append((len(parts), menu))
+                elif within and plain and not x.isspace():
+                    own.append(len(parts))
                 parts.append(html.unescape(x) if "&" in x else x)
-        elif not x.dropped and (stated or not is_menu(x)):
-            inside = inside or id(x) in chosen
-            edge = [(None, False)] if x.name in BLOCK else []
+        elif not x.dropped and (way is None or within or id(x) in on_way or not is_menu(x)):
+            if within and menu is None and is_menu(x):
+                menu = numbered(x)
+            inside, within = inside or id(x) in chosen, within or x is core
+            plain = plain and x.name not in NO_EDGE
+            edge = [(None, False, False, False, None)] if x.name in BLOCK else []
             stack += edge
-            stack += [(y, inside) for y in reversed(x.children)]
+            stack += [(y, inside, within, plain, menu) for y in reversed(x.children)]
             stack += edge
         elif x.name in BLOCK:
             parts.append(" ")
+    if menus:
+        first = own[0] if own else len(parts)
+        last = max([*own[-1:], *(k for k, listed in menus if listed and k > first)], default=0)
+        for k, _ in menus:
+            if not first < k <= last:
+                parts[k] = " "
     return " ".join("".join(parts).split())
 
 

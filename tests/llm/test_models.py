@@ -211,6 +211,23 @@ def test_wrapped_pages(source, text):
     assert pages.main_text(source).split() == text.split()
 
 
+LINKS = "".join(f"<li><a href={k}>Author and title number {k} of the list</a></li>" for k in range(4))
+LISTED = " ".join(f"Author and title number {k} of the list" for k in range(4))
+LINKED = [
+    # Link-heavy parts within the article are its text; menus at its edges are not.
+    (f"<div><p>{TEXT}</p><p>See <a href=1>the first source here</a> and <a href=2>the second source</a></p><ul>{LINKS}</ul><p>{TEXT}</p></div>", f"{TEXT} See the first source here and the second source {LISTED} {TEXT}"),
+    (f"<div><h1>Title</h1><ul>{LINKS}</ul><p>{TEXT}</p><p>{TEXT}</p><ul>{LINKS}</ul></div>", f"Title {TEXT} {TEXT}"),
+    (f"<div><p>{TEXT}</p><p>{TEXT}</p><h2>References</h2><ol>{LINKS}</ol><ul>{LINKS}</ul></div>", f"{TEXT} {TEXT} References {LISTED}"),
+    # Many links elsewhere do not take the article along.
+    (f"<div><ul>{LINKS * 20}</ul><div><p>{TEXT}</p><p>{TEXT}</p></div></div>", f"{TEXT} {TEXT}"),
+]
+
+
+@pytest.mark.parametrize(("source", "text"), LINKED)
+def test_linked_text(source, text):
+    assert pages.main_text(source).split() == text.split()
+
+
 def test_marked_at_every_depth():
     assert pages.main_text("".join(f'<div class="x{"abcdefghij"[k % 10] * (k // 10 + 1)}-sidebar">' for k in range(2000)) + "deep text") == "deep text"
 
