@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.llm import kernels as K
+from seqloom.session import cut_lineage
 
 ORDER = 4
 #: Bounds of the fit: labelled texts per language, n-grams per language, slots and probes of the filter.
-SAMPLE_TEXTS, GRAMS, SLOT_BITS, PROBES = 1000, 20_000, 20, 3
+SAMPLE_TEXTS, GRAMS, SLOT_BITS, PROBES = 2000, 20_000, 20, 3
 #: With fewer hits than this share nothing is known of the text and all languages are equal.
 UNKNOWN = "und"
 
@@ -107,19 +108,42 @@ def build_filters(grams: dict[str, np.ndarray]) -> Filters:
     return Filters(languages, slots, np.array(fill) ** PROBES)
 
 
+def least_hashed(rows: DataFrame, n: int) -> DataFrame:
+    """(lang, text) of the ``n`` rows of least (h, length of text) per language, from (lang, text, h).
+
+    Counts per 12 bits, then per 12 more bits of the hash say which rows can be among them; only those meet.
+    """
+    hashes = cut_lineage(rows.select("lang", "h"))
+    near, full = hashes, None
+    for bits in (12, 24):
+        bucket = F.shiftright("h", 64 - bits)
+        counts = near.groupBy("lang", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
+        if full is not None:
+            counts = counts.join(F.broadcast(full.select("lang", "before")), "lang")
+        else:
+            counts = counts.withColumn("before", F.lit(0).cast("long"))
+        upto = F.col("before") + F.sum("c").over(Window.partitionBy("lang").orderBy("bucket"))
+        # The bucket that fills the sample; languages of fewer rows have none.
+        full = counts.withColumn("upto", upto).where((F.col("upto") >= n) & (F.col("upto") - F.col("c") < n))
+        full = cut_lineage(full.select("lang", F.col("bucket").alias("last"), (F.col("upto") - F.col("c")).alias("before")))
+        near = hashes.join(F.broadcast(full), "lang").where(bucket == F.col("last")).select("lang", "h")
+    within = hashes.join(F.broadcast(full), "lang", "left").where(F.col("last").isNull() | (F.shiftright("h", 40) <= F.col("last"))).select("lang", "h")
+    placed = within.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= n)
+    end = placed.groupBy("lang").agg(F.max(F.struct("h", -F.col("r"))).alias("end"), F.max("r").alias("all"))
+    # Rows that share the last hash (copies of a row) have so many places left.
+    bounds = end.select("lang", F.col("end.h").alias("upto"), (F.col("all") + F.col("end.col2") + 1).alias("places"))
+    found = rows.join(F.broadcast(bounds), "lang").where("h <= upto")
+    found = found.withColumn("r", F.row_number().over(Window.partitionBy("lang", "h").orderBy(F.length("text"))))
+    return found.where("h < upto or r <= places").select("lang", "text")
+
+
 def learn_filters(labelled: DataFrame, texts_per_language: int = SAMPLE_TEXTS, grams_per_language: int = GRAMS) -> Filters:
     """Filters of the most frequent n-grams per language, from (key, text, lang).
 
     At most ``texts_per_language`` texts, those of least key hash, are read per language; rows with a null
     text or language are left out.
     """
-    # Up to 1000 (spark.sql.optimizer.windowGroupLimitThreshold) Spark cuts a language's rows before the shuffle.
-    rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("key").alias("h"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    bounds = rows.select("lang", "h").withColumn("r", place).where(F.col("r") <= texts_per_language).groupBy("lang").agg(F.max("h").alias("upto"))
-    # Rows that share the last hash (copies of a row) are cut by the second count.
-    sample = rows.join(F.broadcast(bounds), "lang").where("h <= upto").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", F.length("text"))))
-    sample = sample.where(F.col("r") <= texts_per_language).select("lang", "text")
+    sample = least_hashed(labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("key").alias("h")), texts_per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.chunks(batches, "text"):

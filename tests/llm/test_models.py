@@ -163,6 +163,29 @@ def test_languages(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_language_sample(spark):
+    from pyspark.sql import functions as F
+
+    # Many copies of some keys, so that several rows share a last hash.
+    rows = [(i if i % 7 else i // 70, "abc"[i * i % 4 % 3], "x" * (i % 50)) for i in range(3000)] + [(i, "few", f"y{i}") for i in range(9)]
+    table = spark.createDataFrame(rows, "key long, lang string, text string").select("lang", "text", F.xxhash64("key").alias("h"))
+    for n in (1, 10, 333, 2000):
+        want = collections.Counter()
+        for lang in ("a", "b", "c", "few"):
+            mine = sorted((r["h"], len(r["text"]), r["text"]) for r in table.collect() if r["lang"] == lang)
+            want.update((lang, t) for _, _, t in mine[:n])
+        assert collections.Counter(map(tuple, language.least_hashed(table, n).collect())) == want
+
+
+def test_languages_read_two_thousand_texts(spark):
+    letters = "abcdefghijklmnopqrst"
+    # Each text has n-grams of its own.
+    texts = ["".join(letters[k // 20**j % 20] for j in (2, 1, 0)) + "zz" for k in range(1900)]
+    filters = language.learn_filters(spark.createDataFrame([(k, t, "xa") for k, t in enumerate(texts)], "key long, text string, lang string"))
+    grams, first = language.text_grams(texts)
+    assert (filters.shares(grams, first)[:, 0] > 0.99).all()
+
+
 PAGES = [
     ("<html><body><nav><a href=x>Menu</a></nav><article><h1>Top &amp; title</h1><p>First <b>bo</b>ld\n text.<p>Second.<br>line</article><footer>f</footer>", "Top & title First bold text. Second. line"),
     (
