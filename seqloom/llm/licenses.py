@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ SHINGLE, BANDS, WIDTHS = 5, 32, (8, 32, 128)
 #: Most rows of a template table: it goes to every task.
 MOST_TEMPLATES = 10_000
 
-#: Usual notices of public licenses (fixed values).
+#: Usual notices and short statements of public licenses (fixed values).
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": (
@@ -47,7 +48,58 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
     ),
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    # Notices that differ in a version only are cut to the words around it, so that one is not found in the other.
+    "gpl-2.0": "GNU General Public License, version 2",
+    "gpl-2.0-notice": "Free Software Foundation; either version 2 of the License",
+    "lgpl": "terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "lgpl-2.1": "GNU Lesser General Public License, version 2.1",
+    "lgpl-2.1-notice": "Free Software Foundation; either version 2.1 of the License",
+    "lgpl-3.0": "GNU Lesser General Public License, version 3",
+    "agpl": "terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "agpl-3.0": "GNU Affero General Public License, version 3",
+    "gfdl": "copy, distribute and/or modify this document under the terms of the GNU Free Documentation License",
+    "bsd": "Released under the BSD License.",
+    "bsd-3-clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+        "from this software without specific prior written permission"
+    ),
+    "bsd-disclaimer": (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"
+    ),
+    "isc-notice": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies"
+    ),
+    "isc": "Licensed under the ISC License.",
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "zlib": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions"
+    ),
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "epl-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "epl-1.0": "made available under the terms of the Eclipse Public License v1.0",
+    "cc0-1.0": "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights",
+    "cc0-1.0-short": "Licensed under CC0 1.0 Universal.",
+    "cc-by-4.0-short": "Licensed under CC BY 4.0.",
+    "cc-by-nd-4.0-short": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-4.0-short": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-4.0-short": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-sa-4.0-notice": "Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nd-4.0": "Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "cc-by-nc-4.0-notice": "Creative Commons Attribution-NonCommercial 4.0 International License",
+    "cc-by-nc-sa-4.0": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "cc-by-nc-nd-4.0": "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
 }
+#: Full texts of licenses, a file each.
+TEMPLATES |= {f"{p.stem}-text": p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
 
 def _plain(data: np.ndarray) -> np.ndarray:

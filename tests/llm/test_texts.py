@@ -234,3 +234,20 @@ def test_licenses(spark, docs):
     ]
     got = licenses.scan_licenses(docs(rows), licenses.known_templates(spark), ["doc_id"]).collect()
     assert collections.Counter((r["doc_id"], r["license_id"]) for r in got) == {(1, "cc-by-nc-4.0"): 1, (2, "apache-2.0-notice"): 1, (2, "apache-2.0"): 1, (5, "mit"): 2}
+
+
+def test_usual_licenses_are_known(spark, docs):
+    texts = licenses.TEMPLATES
+    stated = ["lgpl", "lgpl-2.1-notice", "agpl", "isc-notice", "cc0-1.0", "unlicense", "epl-2.0", "cc-by-nd-4.0", "gpl-2.0-notice", "bsd-3-clause", "gpl-3.0-text", "apache-2.0-text"]
+    rows = [(i, f"{passage(i, 90)} {texts[k]} {passage(i + 50, 90)}", None, None) for i, k in enumerate(stated)]
+    got = {(r["doc_id"], r["license_id"]) for r in licenses.scan_licenses(docs(rows), licenses.known_templates(spark), ["doc_id"]).collect()}
+    assert {(i, k) for i, k in enumerate(stated)} <= got
+
+
+def test_templates_tell_licenses_apart():
+    index = licenses.build_index(list(licenses.TEMPLATES), list(licenses.TEMPLATES.values()))
+    assert 128 in index.tables
+    sets = {k: set(x.tolist()) for k, x in zip(index.names, index.sets, strict=True)}
+    found = {(a, b) for a in sets for b in sets if a != b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a])}
+    # Statements stand in full texts; no license is found in another's statement.
+    assert {(a, b) for a, b in found if not b.endswith("-text")} == {("apache-2.0", "apache-2.0-notice")}
