@@ -150,47 +150,45 @@ def node_sets(rows: pa.Table, nodes: set[int]) -> dict[int, np.ndarray]:
     return out
 
 
+def _home(node: str, batches: int) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(batches)).cast("int")
+
+
+def _sendings(pairs: DataFrame, batches: int) -> DataFrame:
+    """(batch, a, to): once per node ``a`` and batch ``to`` that holds partners of it, however many they are."""
+    return pairs.select(_home("a", batches).alias("batch"), "a", _home("b", batches).alias("to")).distinct()
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, batches: int, percent: int) -> DataFrame:
     """Pairs whose full shingle sets meet the bound.
 
-    The set of ``a`` travels once to each batch that holds partners of it, where the partners' sets are made
-    from their texts.
+    The set of ``a`` travels once to each batch that holds partners of it. The pairs wait in the batch of ``b``,
+    where a text has no more of them than bands, and the partners' sets are made from their texts.
     """
-    home = lambda c: F.pmod(F.xxhash64(c), F.lit(batches)).cast("int")
-    wanted = pairs.select(home("a").alias("batch"), "a", "b", home("b").alias("to"))
 
     def send(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        a, b, to = (asked.column(c).to_pylist() for c in ("a", "b", "to"))
+        a = asked.column("a").to_pylist()
         sets = node_sets(rows, set(a))
-        partners: dict[tuple[int, int], list[int]] = {}
-        for x, y, t in zip(a, b, to, strict=True):
-            partners.setdefault((t, x), []).append(y)
-        return pa.table(
-            {
-                "batch": pa.array([t for t, _ in partners], pa.int32()),
-                "a": pa.array([x for _, x in partners], pa.int64()),
-                "b": pa.array(list(partners.values()), pa.list_(pa.int64())),
-                "shingles": pa.array([sets[x].tobytes() for _, x in partners], pa.binary()),
-            }
-        )
-
-    def compare(rows: pa.Table, sent: pa.Table) -> pa.Table:
-        partners = sent.column("b").to_pylist()
-        sets = node_sets(rows, {y for p in partners for y in p})
+        return pa.table({"batch": asked.column("to"), "a": asked.column("a"), "b": pa.nulls(len(a), pa.int64()), "shingles": pa.array([sets[x].tobytes() for x in a], pa.binary())})
+
+    def compare(rows: pa.Table, met: pa.Table) -> pa.Table:
+        sent, asked = met.filter(met.column("b").is_null()), met.filter(met.column("b").is_valid())
+        heads = {x: np.frombuffer(body, np.uint64) for x, body in zip(sent.column("a").to_pylist(), sent.column("shingles").to_pylist(), strict=True)}
+        partners = asked.column("b").to_pylist()
+        sets = node_sets(rows, set(partners))
         left, right = [], []
-        for x, ys, body in zip(sent.column("a").to_pylist(), partners, sent.column("shingles").to_pylist(), strict=True):
-            mine = np.frombuffer(body, np.uint64)
-            for y in ys:
-                both = np.concatenate((mine, sets[y]))
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(both) - shared):
-                    left.append(x)
-                    right.append(y)
+        for x, y in zip(asked.column("a").to_pylist(), partners, strict=True):
+            both = np.concatenate((heads[x], sets[y]))
+            both.sort()
+            shared = int((both[1:] == both[:-1]).sum())
+            if 100 * shared >= percent * (len(both) - shared):
+                left.append(x)
+                right.append(y)
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    sent = texts.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(send, "batch int, a long, b array<long>, shingles binary")
-    return texts.groupBy("batch").cogroup(sent.groupBy("batch")).applyInArrow(compare, "a long, b long")
+    sent = texts.groupBy("batch").cogroup(_sendings(pairs, batches).groupBy("batch")).applyInArrow(send, "batch int, a long, b long, shingles binary")
+    waiting = pairs.select(_home("b", batches).alias("batch"), "a", "b", F.lit(None).cast("binary").alias("shingles"))
+    return texts.groupBy("batch").cogroup(sent.unionByName(waiting).groupBy("batch")).applyInArrow(compare, "a long, b long")
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], run: Callable[[pa.Table], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:

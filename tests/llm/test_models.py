@@ -65,6 +65,17 @@ def test_near_duplicates(spark):
     assert got == want
 
 
+def test_head_is_sent_once_per_batch(spark):
+    base = words(1, 200)
+    rows = [(0, " ".join(base))] + [(k, " ".join(base[: 200 - k])) for k in range(1, 100)]
+    texts = spark.createDataFrame([(i, t) for i, t in rows], "node long, text string").select(minhash._home("node", 3).alias("batch"), "node", "text")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 100)] + [(5, k) for k in range(6, 60)], "a long, b long")
+    # However many partners a node has, its batch is asked once for each batch that holds some.
+    assert minhash._sendings(pairs, 3).groupBy("a").count().agg({"count": "max"}).first()[0] == 3
+    got = {tuple(r) for r in minhash._confirmed(pairs, texts, 3, 85).collect()}
+    assert got == {(a, b) for a, b in map(tuple, pairs.collect()) if 100 * (196 - b) >= 85 * (196 - a)}
+
+
 def test_bucket_blocks_lose_no_member(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
     same, far = [0] * 5, [2**62 - 1] * 5
