@@ -50,3 +50,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder, so lost executors cost no replay."""
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` written to a table in the shared folder and read again: computed once, and lost executors cost no replay."""
+    spark = df.sparkSession
+    folder = new_folder(spark) if folder is None else folder
+    df.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder below the shared one, by the file system that holds it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
