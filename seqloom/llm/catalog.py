@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import language, licenses, minhash, mixing, neighbours, packing, pages, rules, sql, substrings, suffixes
+from seqloom.llm import exact, language, licenses, minhash, mixing, neighbours, packing, pages, phrases, ranked, rules, sql, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,3 +86,18 @@ def op9_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(table(spark, sf_dir, "documents"))
+
+
+@query(sql.PHRASES)
+def op11_mine_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+@query(sql.EXACT)
+def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(sql.RANKED)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

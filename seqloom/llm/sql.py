@@ -150,3 +150,51 @@ hits AS (
 SELECT doc_id, license_id, n_shared, n_template, n_shared::DOUBLE / n_template AS containment
 FROM hits JOIN sizes ON license_id = sizes.k WHERE 100 * n_shared >= 80 * n_template
 """
+
+PHRASES = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT r, lang, row_number() OVER () AS i, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT r, lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[j : j + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM p CROSS JOIN (VALUES (1), (2), (3), (4)) s(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT * , string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+x AS (SELECT lang, a, k, unnest(range(1, k)) AS j, w, phrase FROM c),
+s AS (
+    SELECT x.lang, x.phrase, x.a, j, l.a AS l, r.a AS r, CAST((2000000::HUGEINT * x.a) // (l.a + r.a) AS BIGINT) AS score
+    FROM x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(w[1 : j], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(w[j + 1 :], ' ')
+),
+b AS (SELECT lang, phrase, a, l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS z FROM s) WHERE z = 1),
+sub AS (
+    SELECT lang, phrase, max(a) AS longest FROM (
+        SELECT lang, a, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM (
+            SELECT lang, a, w, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, a, w, k, unnest(range(2, k)) AS m FROM c)
+        )
+    ) GROUP BY lang, phrase
+),
+kept AS (SELECT b.* FROM b LEFT JOIN sub ON b.lang = sub.lang AND b.phrase = sub.phrase WHERE longest IS NULL OR 100 * longest < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept
+) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+EXACT = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
+"""
+
+RANKED = r"""
+WITH t AS (
+    SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)
+),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+len AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY r),
+tot AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM len),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term) CROSS JOIN tot),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+m AS (SELECT r, 50 + (50 * n * nn) // ll AS m FROM len CROSS JOIN tot),
+s AS (SELECT item_id, tf.r, tf.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m ON m.r = tf.r GROUP BY item_id, tf.r, tf.doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+"""
