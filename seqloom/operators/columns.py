@@ -12,13 +12,15 @@ from pyspark.sql.window import Window
 from seqloom.alphabets import COLUMN_ALPHABET, RESIDUES_ONLY
 from seqloom.functions.scalar import column_letter, letters, strip_gaps
 from seqloom.functions.text import matches_udf, to_matrix
-from seqloom.operators.groups import NUMBERING_BUCKET, by_size, index_bucket, key_fields, over_tasks, row_numbers
+from seqloom.operators.groups import NUMBERING_BUCKET, index_bucket, key_fields, over_tasks, row_numbers
 from seqloom.operators.neff import alignment_shape
-from seqloom.session import MAX_GROUP_ROWS
+from seqloom.operators.tiles import N_LETTERS, count_tiles, coupling_norms, covariance_tiles, letter_codes, negative_inverse, one_hot, product_corrected
+from seqloom.session import MAX_GROUP_ROWS, written
 
 KEY = ["msa_id"]
-N_LETTERS = len(COLUMN_ALPHABET)
-MAX_COLUMNS = 400  # widest deep alignment whose (22 L)^2 system is solved in one task
+# A system is solved in one task up to so many columns (39 MB), or on the side of the rows up to so many cells (256 MB).
+TASK_COLUMNS = 100
+TASK_CELLS = 1 << 25
 
 
 def cells(df: DataFrame, key: list[str] = KEY) -> DataFrame:
@@ -126,25 +128,9 @@ def coverage_cells(df: DataFrame, key: list[str] = KEY) -> DataFrame:
 # --- Column-pair covariance -------------------------------------------------------------------------
 
 
-def _letter_codes(seqs: list[str]) -> np.ndarray:
-    """(N, L) codes 0..21; anything outside the alphabet is X."""
-    table = np.full(256, N_LETTERS - 1, dtype=np.int64)
-    for i, c in enumerate(COLUMN_ALPHABET):
-        table[ord(c)] = i
-    raw = to_matrix(seqs)
-    return table[np.minimum(raw, 255)]
-
-
-def _one_hot(codes: np.ndarray) -> np.ndarray:
-    n, width = codes.shape
-    flat = np.zeros((n, width * N_LETTERS), dtype=np.float64)
-    flat[np.arange(n)[:, None], np.arange(width)[None, :] * N_LETTERS + codes] = 1.0
-    return flat
-
-
 def _joint_kernel(key: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = _one_hot(_letter_codes(pdf["seq"].tolist())).astype(np.float32)
+        y = one_hot(letter_codes(pdf["seq"].tolist()), np.float32)
         both = np.triu(y.T @ y)
         a, b = np.nonzero(both)
         head = {k: pdf[k].iloc[0] for k in key}
@@ -217,7 +203,7 @@ def _block_norms(inverse_rows, diag: np.ndarray, width: int) -> np.ndarray:
 
 
 def _coevolution_from_rows(seqs: list[str]) -> np.ndarray:
-    y = _one_hot(_letter_codes(seqs))
+    y = one_hot(letter_codes(seqs))
     n, size = y.shape
     width = size // N_LETTERS
     x = (y - y.mean(axis=0)) / np.sqrt(n - 1)
@@ -266,23 +252,25 @@ def _long(matrix: np.ndarray, head: dict) -> pd.DataFrame:
 
 
 def coevolution(
-    df: DataFrame, key: list[str] = KEY, max_group_rows: int = MAX_GROUP_ROWS, max_columns: int = MAX_COLUMNS
+    df: DataFrame,
+    key: list[str] = KEY,
+    max_group_rows: int = MAX_GROUP_ROWS,
+    task_columns: int = TASK_COLUMNS,
+    task_cells: int = TASK_CELLS,
 ) -> DataFrame:
     """APC-corrected coupling of every column pair, as ``(i, j, score)`` rows.
 
     One-hot covariance, shrinkage 4.5 / sqrt(N), inverse, normalised 20 x 20 block norms, average
-    product correction. Alignments of up to ``max_group_rows`` rows may have any width: with fewer rows than
-    states the system is solved on the side of the rows. Deeper ones are reduced to joint counts first;
-    what one task then holds depends on the width only, and there widths above ``max_columns`` raise.
+    product correction. Ragged, zero-width and one-row alignments are left out. Alignments of up to ``max_group_rows`` rows
+    and ``task_cells`` one-hot cells are solved on the side of the rows, deeper ones of up to ``task_columns`` columns
+    from joint counts, each in one task; all others as tiles over many tasks, whatever their depth and width.
     """
-    too_wide = F.raise_error(F.lit(f"coevolution is limited to {max_columns} columns")).cast("boolean")
     shape = alignment_shape(df, key).where(
         (F.col("min_len") == F.col("max_len")) & (F.col("n_rows") >= 2) & (F.col("min_len") > 0)
     )
-    fit = shape.where(F.when((F.col("max_len") <= max_columns) | (F.col("n_rows") <= max_group_rows), F.lit(True)).otherwise(too_wide)).select(
-        *key, "n_rows", F.col("max_len").alias("width")
-    )
-    usable = df.join(fit.select(*key), key, "left_semi")
+    way = F.when((F.col("n_rows") <= max_group_rows) & (F.col("n_rows") * F.col("max_len") * N_LETTERS <= task_cells), "rows")
+    way = way.when(F.col("max_len") <= task_columns, "counts").otherwise("tiles")
+    fit = written(shape.select(*key, "n_rows", F.col("max_len").cast("long").alias("width"), way.alias("way")))
     schema = T.StructType(
         key_fields(df, key)
         + [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("score", T.DoubleType())]
@@ -292,14 +280,24 @@ def coevolution(
         matrix = _coevolution_from_counts(pdf, int(pdf["width"].iloc[0]), int(pdf["n_rows"].iloc[0]))
         return _long(matrix, {k: pdf[k].iloc[0] for k in key})
 
-    def small(part: DataFrame) -> DataFrame:
+    def from_rows(part: DataFrame, sizes: DataFrame) -> DataFrame:
         packed = over_tasks(part, key).groupBy(*key).agg(F.collect_list("seq").alias("seqs"))
         solved = packed.select(*key, F.length(F.col("seqs")[0]).alias("width"), F.posexplode(_solve("seqs")).alias("at", "score"))
         return solved.select(
             *key, F.floor(F.col("at") / F.col("width")).cast("int").alias("i"), (F.col("at") % F.col("width")).alias("j"), "score"
         )
 
-    def large(part: DataFrame) -> DataFrame:
-        return over_tasks(joint_counts(part, key).join(fit, key), key).groupBy(*key).applyInPandas(solve_counts, schema)
+    def from_counts(part: DataFrame, sizes: DataFrame) -> DataFrame:
+        return over_tasks(joint_counts(part, key).join(sizes, key), key).groupBy(*key).applyInPandas(solve_counts, schema)
+
+    def from_tiles(part: DataFrame, sizes: DataFrame) -> DataFrame:
+        inverse, _ = negative_inverse(covariance_tiles(count_tiles(part, sizes, key), key), key)
+        return product_corrected(written(coupling_norms(inverse, key)), sizes, key)
 
-    return by_size(usable, key, small, large, max_group_rows)
+    ways = {"rows": from_rows, "counts": from_counts, "tiles": from_tiles}
+    out = None
+    for name in [r["way"] for r in fit.select("way").distinct().collect()] or ["rows"]:
+        sizes = fit.where(F.col("way") == name).select(*key, "n_rows", "width")
+        part = ways[name](df.join(sizes.select(*key), key, "left_semi"), sizes)
+        out = part if out is None else out.unionByName(part)
+    return out
