@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import golomb
+from seqloom.llm import kernels as K
 from seqloom.session import cut_lineage, written
 
 #: Rows per batch and fingerprints per owner; messages are (rows / 2^22)^2 beyond 64 of each.
@@ -66,8 +67,8 @@ def _suspects(prints: DataFrame, n: int) -> DataFrame:
             hit[a:b] |= np.unpackbits(np.frombuffer(bodies[owner], np.uint8), count=b - a).astype(bool)
         return rows.filter(pa.array(hit[which])).drop_columns(["batch"])
 
-    answers = dealt.select("batch", "print").groupBy("batch").applyInArrow(send, golomb.MESSAGE).groupBy("bucket").applyInArrow(reply, ANSWER)
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(mark, prints.schema)
+    answers = dealt.select("batch", "print").groupBy("batch").applyInArrow(K.tidy_groups(send), golomb.MESSAGE).groupBy("bucket").applyInArrow(K.tidy_groups(reply), ANSWER)
+    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(K.tidy_groups(mark), prints.schema)
 
 
 def _among(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:

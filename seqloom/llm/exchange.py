@@ -156,12 +156,12 @@ def seen_by_others(requests: DataFrame, kind: int, width: int) -> DataFrame:
         meta = zip(table.column("batch").to_pylist(), table.column("bucket").to_pylist(), np.split(flags, cuts), strict=True)
         return answer([(batch, kind, bucket, f) for batch, bucket, f in meta])
 
-    return requests.groupBy("bucket").applyInArrow(reply, ANSWER)
+    return requests.groupBy("bucket").applyInArrow(K.tidy_groups(reply), ANSWER)
 
 
 def ask(texts: Texts, answers: DataFrame, step: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """Runs ``step(rows, answers)`` for every batch."""
-    return texts.rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(step, schema)
+    return texts.rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(K.tidy_groups(step), schema)
 
 
 def text_chunks(rows: pa.Table, limit: int = K.CHUNK_BYTES) -> list[tuple[int, int]]:

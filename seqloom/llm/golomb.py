@@ -58,7 +58,8 @@ def owners(keys: np.ndarray, width: int, bits: int) -> Iterator[tuple[int, int,
     """(owner, from, to): the ranges of sorted keys below 2^width that go to each of 2^bits owners, empty ones left out."""
     owner = (keys >> np.uint64(width - bits)).astype(np.int64)
     begin = np.flatnonzero(np.diff(owner, prepend=-1))
-    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True):
+    ends = np.append(begin, len(keys))[1:]
+    for a, b in zip(begin.tolist(), ends.tolist(), strict=True):
         yield int(owner[a]), a, b
 
 

@@ -7,9 +7,11 @@ Working memory is about 60 bytes per byte of a chunk; a chunk holds at least one
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,40 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("seqloom_worker_cache", types.ModuleType("seqloom_worker_cache")).__dict__
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker stays when its task is done, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """The kernel of a mapInArrow, after which the worker's memory is released."""
+
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(given)
+        release()
+
+    return batches
+
+
+def tidy_groups(run: Callable) -> Callable:
+    """The kernel of one group or of two cogroups, likewise."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = run(table)
+        release()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        release()
+        return out
+
+    return one if len(inspect.signature(run).parameters) == 1 else two
+
+
 def is_space() -> np.ndarray:
     table = np.zeros(256, bool)
     table[[9, 10, 11, 12, 13, 32]] = True
@@ -42,41 +78,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    cache = worker_cache()
-    if len(cache.get("powers", ((),))[0]) < n:
-        size = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 2))
-        pair = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, np.uint64(base & _MASK))
-            p[0] = 1
-            pair.append(np.cumprod(p, dtype=np.uint64))
-        cache["powers"] = tuple(pair)
-    return cache["powers"]
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(high, low): base^i is high[i >> 10] * low[i & 1023] for i < n."""
+    out = []
+    for step, size in ((pow(base, 1024, 1 << 64), (n >> 10) + 1), (base, 1024)):
+        p = np.full(size, np.uint64(step))
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def _lowered(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """x / base^start."""
+    high, low = _powers(pow(_BASE, -1, 1 << 64), int(start.max()) + 1 if len(start) else 1)
+    return x * high[start >> 10] * low[start & 1023]
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
-    up, _ = _powers(len(values) + 1)
+    high, low = _powers(_BASE, len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
+    np.cumsum(values * np.multiply.outer(high, low).ravel()[: len(values)], out=sums[1:])
     return sums
 
 
 def span_prints(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Fingerprints of the value runs [start, end)."""
-    _, down = _powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start])
+    return mix(_lowered(sums[end] - sums[start], start))
 
 
 def window_prints(sums: np.ndarray, width: int) -> np.ndarray:
     """Fingerprints of every run of ``width`` values."""
-    _, down = _powers(len(sums))
     n = len(sums) - width
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = sums[width:] - sums[:n]
-    out *= down[:n]
-    return mix(out)
+    return mix(_lowered(sums[width:] - sums[:n], np.arange(n)))
 
 
 def byte_values(data: np.ndarray, seed: int = 0) -> np.ndarray:

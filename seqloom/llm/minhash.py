@@ -103,6 +103,7 @@ def _agreeing(a: str, b: str) -> Column:
 
 
 def node_key() -> Column:
+    """Number of a row's document: its doc_id, or one of its text."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("text"), 2))
 
 
@@ -127,7 +128,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 ["node", "doc_id", "n_bytes", "n_shingles", "key1", "key2", "bands", "bits"],
             )
 
-    return rows.mapInArrow(run, "node long, doc_id long, n_bytes long, n_shingles long, key1 long, key2 long, bands array<long>, bits array<long>")
+    return rows.mapInArrow(K.tidy(run), "node long, doc_id long, n_bytes long, n_shingles long, key1 long, key2 long, bands array<long>, bits array<long>")
 
 
 def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -186,9 +187,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, batches: int, percent: int) -
                 right.append(y)
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    sent = texts.groupBy("batch").cogroup(_sendings(pairs, batches).groupBy("batch")).applyInArrow(send, "batch int, a long, b long, shingles binary")
+    sent = texts.groupBy("batch").cogroup(_sendings(pairs, batches).groupBy("batch")).applyInArrow(K.tidy_groups(send), "batch int, a long, b long, shingles binary")
     waiting = pairs.select(_home("b", batches).alias("batch"), "a", "b", F.lit(None).cast("binary").alias("shingles"))
-    return texts.groupBy("batch").cogroup(sent.unionByName(waiting).groupBy("batch")).applyInArrow(compare, "a long, b long")
+    return texts.groupBy("batch").cogroup(sent.unionByName(waiting).groupBy("batch")).applyInArrow(K.tidy_groups(compare), "a long, b long")
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], run: Callable[[pa.Table], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +261,7 @@ def _open_members(members: DataFrame, floor: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(v[hit]) for v in (group, side, node, comp)], ["group", "side", "node", "component"])
 
     spread = dealt.repartition("group").sortWithinPartitions("group")
-    return spread.mapInArrow(lambda batches: _by_group(batches, flag), "group long, side int, node long, component long")
+    return spread.mapInArrow(K.tidy(lambda batches: _by_group(batches, flag)), "group long, side int, node long, component long")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -295,7 +296,7 @@ def _cross_links(members: DataFrame, texts: DataFrame, batches: int, percent: in
         sets = node_sets(rows, set(asked.column("node").to_pylist()))
         return pa.table({"node": pa.array(list(sets), pa.int64()), "shingles": pa.array([x.tobytes() for x in sets.values()], pa.binary())})
 
-    sets = texts.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(sets_of_nodes, "node long, shingles binary")
+    sets = texts.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(K.tidy_groups(sets_of_nodes), "node long, shingles binary")
 
     def link(table: pa.Table) -> pa.RecordBatch | None:
         group, side, node, comp = (table.column(c).to_numpy() for c in ("group", "side", "node", "component"))
@@ -326,11 +327,11 @@ def _cross_links(members: DataFrame, texts: DataFrame, batches: int, percent: in
         return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     met = members.join(sets, "node").repartition("group").sortWithinPartitions("group")
-    return met.mapInArrow(lambda batches: _by_group(batches, link), "a long, b long").distinct()
+    return met.mapInArrow(K.tidy(lambda batches: _by_group(batches, link)), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text).
+def near_duplicates(docs: DataFrame, percent: int = 85, with_node: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text), and if asked for its :func:`node_key`.
 
     Texts are linked whose sets of distinct 5-word shingles (ASCII letters lower-cased; fewer words: the
     sequence as one shingle) have 100 * intersection >= percent * union. Texts of equal word sequence are one
@@ -370,4 +371,5 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     joined = named.join(found, "class", "left")
     least = F.coalesce("component", "class", "node")
     component = F.when(least < NAMELESS, least)
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, component.isNull())
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *["node"] * with_node)

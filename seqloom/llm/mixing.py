@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqloom.session import cut_lineage
+from seqloom.session import cut_lineage, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS, LEVEL_BITS, LEVELS = 60, 12, 2
@@ -98,15 +98,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
     more. Rows that share doc_id (or, without one, the text) share the hash, hence are taken alike. An
     empty table gives no rows; a source without words has the target 0. Further columns play no part.
     """
-    sized = cut_lineage(
-        docs.select(
-            F.struct(*carry).alias("row"),
-            F.col("source").alias("src"),
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            row_hash().alias("h"),
-        )
+    sized = docs.select(
+        F.struct(*carry).alias("row"),
+        F.col("source").alias("src"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        row_hash().alias("h"),
     )
-    plain = sized.select(F.col("src").alias("source"), "size", "h")
+    # Sources, sizes and hashes are written; the rows themselves are read again at the end.
+    plain = written(sized.select(F.col("src").alias("source"), "size", "h"))
     targets = cut_lineage(source_targets(plain.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats))
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     budgets = targets.withColumn("rounds", rounds.cast("long")).withColumn("budget", F.col("target") - F.col("rounds") * F.col("source_size"))

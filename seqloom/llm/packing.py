@@ -201,7 +201,7 @@ def token_pieces(docs: DataFrame, carry: list[str], tokenizer: str, capacity: in
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(K.tidy(cut), schema)
 
 
 class CapacityTree:
@@ -298,7 +298,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             columns = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(row[:, 2] + k // row[:, 3]), pa.array(row[:, 4] + k % row[:, 3] * length)], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(K.tidy(place), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, carry: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:

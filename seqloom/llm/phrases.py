@@ -125,7 +125,7 @@ def first_relation(docs: DataFrame) -> DataFrame:
         if waiting:
             yield flush()
 
-    return docs.mapInArrow(run, RELATION)
+    return docs.mapInArrow(K.tidy(run), RELATION)
 
 
 class Relation:
@@ -175,7 +175,7 @@ def _ask(relation: DataFrame, k: int, bits: int) -> DataFrame:
                 if len(mine.found):
                     yield from golomb.messages(mine.batch, mine.found, BITS, bits, mine.counts()).to_batches()
 
-    return relation.select("batch", "keys", "runs").mapInArrow(run, golomb.MESSAGE)
+    return relation.select("batch", "keys", "runs").mapInArrow(K.tidy(run), golomb.MESSAGE)
 
 
 def _answers(messages: DataFrame, least: int) -> DataFrame:
@@ -207,7 +207,7 @@ def _answers(messages: DataFrame, least: int) -> DataFrame:
             }
         )
 
-    return messages.groupBy("bucket").applyInArrow(reply, ANSWER)
+    return messages.groupBy("bucket").applyInArrow(K.tidy_groups(reply), ANSWER)
 
 
 def _next(relation: DataFrame, answers: DataFrame, k: int, bits: int) -> DataFrame:
@@ -258,7 +258,7 @@ def _next(relation: DataFrame, answers: DataFrame, k: int, bits: int) -> DataFra
             phrases["lang"] = [row["names"][lang[i]] for i in words[:, 0].tolist()]
         return pa.concat_tables([table(out, 1), table(phrases, len(give))])
 
-    return relation.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(step, schema)
+    return relation.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(K.tidy_groups(step), schema)
 
 
 def mine_levels(docs: DataFrame, most_words: int, least: int) -> tuple[DataFrame, list[DataFrame], list[str]]:
@@ -295,7 +295,7 @@ def _with_parts(phrases: DataFrame, k: int) -> DataFrame:
 
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("parts"), batch.column("a"), lists(left), lists(right), lists(inner)], ["key", "parts", "a", "left", "right", "inner"])
 
-    return phrases.select("key", "parts", "a").mapInArrow(run, "key long, parts array<long>, a long, left array<long>, right array<long>, inner array<long>")
+    return phrases.select("key", "parts", "a").mapInArrow(K.tidy(run), "key long, parts array<long>, a long, left array<long>, right array<long>, inner array<long>")
 
 
 def mine_phrases(docs: DataFrame, most_words: int = 4, least: int = 30, top: int = 2000, percent: int = 80) -> DataFrame:

@@ -55,7 +55,7 @@ def item_terms(items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(K.owner(first))), pa.array(prints.view(np.int64))], ["item_id", "print"])
 
     kind = items.schema["item_id"].dataType.simpleString()
-    return items.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, f"item_id {kind}, print long").distinct()
+    return items.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(K.tidy(run), f"item_id {kind}, print long").distinct()
 
 
 def term_vectors(docs: DataFrame, prints: np.ndarray) -> DataFrame:
@@ -79,7 +79,7 @@ def term_vectors(docs: DataFrame, prints: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), pa.array(np.diff(first)), *lists], ["uid", "doc_id", "n", "terms", "tfs"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, VECTOR)
+    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(K.tidy(run), VECTOR)
 
 
 def share(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -243,7 +243,7 @@ def _search(vectors: DataFrame, items: list[np.ndarray], prints: np.ndarray, tot
             out = [np.append(x, y) for x, y in zip(out, (np.full(len(docs), number), trie.order[docs], scores), strict=True)]
         return pa.table({"item": pa.array(out[0], pa.int32()), "doc_id": doc_id.take(pa.array(out[1])), "uid": uid[out[1]], "score": out[2]})
 
-    return filled.withColumn("trie", F.pmod(F.xxhash64("uid"), F.lit(tries))).groupBy("trie").applyInArrow(search, FOUND)
+    return filled.withColumn("trie", F.pmod(F.xxhash64("uid"), F.lit(tries))).groupBy("trie").applyInArrow(K.tidy_groups(search), FOUND)
 
 
 def ranked_search(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:

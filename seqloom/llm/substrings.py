@@ -158,9 +158,11 @@ def _least_elsewhere(table: pa.Table) -> pa.Table:
     return X.answer([(b, WINDOWS, bucket, f) for b, bucket, f in zip(table.column("batch").to_pylist(), table.column("bucket").to_pylist(), np.split(flags, cuts), strict=True)])
 
 
-def remove_passages(docs: DataFrame, carry: list[str], window: int = 13, with_text: bool = False) -> DataFrame:
+def remove_passages(docs: DataFrame, carry: list[str], window: int = 13, with_text: bool = False, untouched: bool = False) -> DataFrame:
     """``carry`` with n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept words joined by blanks).
 
+    With ``untouched`` kept_text is the text as it was where nothing is removed.
+
     A word goes if some run of ``window`` words over it also begins in a document with a smaller doc_id; runs
     are judged on the input. Null texts have no words; texts of fewer words than a window stay whole. A row
     without doc_id counts as later than all others. Rows that share their doc_id take nothing from each
@@ -205,14 +207,16 @@ def remove_passages(docs: DataFrame, carry: list[str], window: int = 13, with_te
             parts = [joined[x : max(x, y - 1)] for x, y in zip(at[:-1], at[1:], strict=True)]
             sha += [hashlib.sha256(p).hexdigest() for p in parts]
             if with_text:
-                kept_text += [p.decode("utf-8") for p in parts]
+                same = upto[batch.first[a + 1 : b + 1]] == upto[batch.first[a:b]] if untouched else np.zeros(b - a, bool)
+                whole = batch.rows.column("text")
+                kept_text += [whole[a + i].as_py() if same[i] else p.decode("utf-8") for i, p in enumerate(parts)]
         columns = dict(zip(schema.names, batch.rows.column("row").combine_chunks().flatten(), strict=True))
         columns |= {"n_words": batch.n_words, "n_removed": np.diff(upto[batch.first]), "kept_sha256": pa.array(sha, pa.string())}
         if with_text:
             columns["kept_text"] = pa.array(kept_text, pa.string())
         return pa.table(columns)
 
-    anchors = X.ask(texts, texts.copies, ask_blocks, X.REQUEST).groupBy("bucket").applyInArrow(lambda t: _meet(t, width), X.ANSWER)
+    anchors = X.ask(texts, texts.copies, ask_blocks, X.REQUEST).groupBy("bucket").applyInArrow(K.tidy_groups(lambda t: _meet(t, width)), X.ANSWER)
     known = texts.copies.unionByName(anchors)
-    windows = X.ask(texts, known, ask_windows, X.REQUEST).groupBy("bucket").applyInArrow(_least_elsewhere, X.ANSWER)
+    windows = X.ask(texts, known, ask_windows, X.REQUEST).groupBy("bucket").applyInArrow(K.tidy_groups(_least_elsewhere), X.ANSWER)
     return X.ask(texts, known.unionByName(windows), cut, fields)

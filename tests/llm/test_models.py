@@ -295,3 +295,38 @@ def test_pipeline_stages(spark, tmp_path):
     once = spark.read.parquet(f"{tmp_path}/4").drop("sequence_id", "offset")
     again = corpus_pipeline.run(spark, str(tmp_path)).drop("sequence_id", "offset")
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, again.collect()))
+
+
+CLASHES = "score double, n_words int, kept string, size int, taken int, __row int, __row_ string, node long, copy int, none int, row string, stratum int, cutoff int, h int, rk int, body string"
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    """Extra columns named like the stages' own pass through; rows without doc_id are told apart by their text."""
+    good = [" ".join(f"{w}{k}{i}" for i in range(60)) for k, w in enumerate(("alpha", "beta", "gamma", "delta"))]
+    extra = (0.5, 1, "x", 2, 3, 4, "y", 5, 6, 7, "z", 8, 9, 10, 11, "b")
+    texts = [(1, good[0]), (2, good[1]), (None, good[0]), (None, good[2]), (None, good[3] + " end"), (5, None), (None, None)]
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHES}"
+    docs = spark.createDataFrame([(i, t, "en", None, 7, *extra) for i, t in texts], schema)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = [(1, good[0]), (2, good[1]), (None, good[2]), (None, good[3] + " end")]
+    wanted = [[*left, (None, good[0])], left, left]
+    for (_, stage), want in zip(corpus_pipeline.STAGES, wanted, strict=False):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        rows = docs.collect()
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in rows) == sorted((i or 0, t) for i, t in want)
+        assert all(tuple(r)[5:] == extra for r in rows)
+        folder = str(tmp_path / f"s{len(want)}{_[:3]}")
+        docs.write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    mixed = corpus_pipeline.mix(spark, docs, str(tmp_path)).collect()
+    assert {r["text"] for r in mixed} == {t for _, t in left} and all(tuple(r)[5:] == extra for r in mixed)
+
+
+def test_run_removes_the_tables_between(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(corpus_pipeline, "new_folder", lambda _: made.append(tmp_path / f"stage{len(made)}") or str(made[-1]))
+    spark.createDataFrame([(i, f"word{i} " * 30 + "end", "en", "a", 1) for i in range(5)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(made) == 4 and [p.exists() for p in made] == [False] * 3 + [True]
