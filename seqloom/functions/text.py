@@ -48,19 +48,26 @@ def matches_udf(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def ratio_udf(left: pd.Series, right: pd.Series) -> pd.Series:
-    """``difflib`` similarity ratio, for pairs of unequal length only (it has no SQL form)."""
-    return pd.Series(
-        [SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right)], dtype="float64"
-    )
-
-
-def similarity(left: Column, right: Column) -> Column:
-    """Identity in [0, 1] for equal lengths, the difflib ratio otherwise."""
+def ratio_udf(left: pd.Series, right: pd.Series, floor: pd.Series) -> pd.Series:
+    """``difflib`` similarity ratio, for pairs of unequal length only (it has no SQL form).
+
+    Where the letters that both have in common keep the ratio from exceeding ``floor``, that bound is the result.
+    """
+    matcher, out = SequenceMatcher(None, "", ""), []
+    for a, b, least in zip(left, right, floor):
+        if not a or not b:
+            out.append(0.0)
+            continue
+        matcher.set_seqs(a, b)
+        bound = matcher.quick_ratio()
+        out.append(matcher.ratio() if bound > least else bound)
+    return pd.Series(out, dtype="float64")
+
+
+def similarity(left: Column, right: Column, floor: float = -1.0) -> Column:
+    """Identity in [0, 1] for equal lengths, the difflib ratio otherwise (a bound up to ``floor`` where it cannot exceed that)."""
     same = F.length(left) == F.length(right)
     blank = F.lit("")
     fast = matches_udf(F.when(same, left).otherwise(blank), F.when(same, right).otherwise(blank))
-    slow = ratio_udf(F.when(same, blank).otherwise(left), F.when(same, blank).otherwise(right))
+    slow = ratio_udf(F.when(same, blank).otherwise(left), F.when(same, blank).otherwise(right), F.lit(floor))
     return F.when(same, F.try_divide(fast.cast("double"), F.length(left))).otherwise(slow)
-
-

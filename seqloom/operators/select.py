@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -14,103 +15,198 @@ from seqloom.functions.text import matches_udf, pair_matches, to_matrix
 from seqloom.functions.uniform import hash_uniform
 from seqloom.operators.columns import query_rows, rarity_scores
 from seqloom.operators.dedup import distinct_ordered
-from seqloom.operators.groups import by_size, first_n, pack_rows, picked_rows
-from seqloom.session import MAX_GROUP_ROWS, cut_lineage
+from seqloom.operators.groups import by_size, first_n, key_fields, pack_rows, picked_rows
+from seqloom.session import MAX_GROUP_ROWS, cut_lineage, written
 
 KEY = ["msa_id"]
 TIE = 12  # decimals at which two gains count as equal
 
 class Rule:
-    """A greedy rule as a running state: one number array per candidate row, changed by the last pick only.
+    """A greedy rule over the rows of a matrix, some of which are picked one after the other.
 
-    ``begin`` gives the state before any pick, ``absorb`` adds a pick, ``value`` what the next pick
-    maximises (equal values go to the lowest seq_idx). The pick travels as its row and the part of its own
-    state that others need. Both the packed and the spread form of a selection run these three functions.
+    The value that the next pick maximises (equal values go to the first row in order) depends on the picks so far. For
+    alignments that no task holds, a row carries a small array of whole numbers (``carried``), and what it shares with all others
+    is one array per alignment (``shared``); both follow from the picks.
     """
 
-    def begin(self, rows: np.ndarray) -> np.ndarray:
+    #: No value ever exceeds it.
+    ceiling = np.inf
+
+    def start(self, rows: np.ndarray, n: int) -> None:
+        """Begins with no picks, of which there will be up to n."""
+        raise NotImplementedError
+
+    def absorb(self, i: int) -> None:
+        """Picks row i."""
         raise NotImplementedError
 
-    def absorb(self, rows: np.ndarray, state: np.ndarray, row: np.ndarray, own: np.ndarray) -> np.ndarray:
+    def value(self, open_: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
-    def value(self, rows: np.ndarray, state: np.ndarray) -> np.ndarray:
+    def gain(self) -> float:
+        """By how much the value of a row can have grown since ``mark`` was called."""
+        return 0.0
+
+    def mark(self) -> None:
+        pass
+
+    def shared(self) -> np.ndarray:
+        return np.zeros(0)
+
+    def carried(self, rows: np.ndarray, held: list, picks: np.ndarray, first: int) -> list:
+        """What the rows carry after the picks from number ``first`` on."""
+        return held
+
+    def worth(self, rows: np.ndarray, held: list, shared: np.ndarray) -> np.ndarray:
+        """The value of rows from what they carry."""
         raise NotImplementedError
 
 
 class Farthest(Rule):
-    """State: the most columns in which the row equals any pick."""
+    """The most columns in which a row equals any pick is to be least."""
+
+    def start(self, rows, n):
+        self.rows, self.most = rows, np.zeros(len(rows), np.int64)
 
-    def begin(self, rows):
-        return np.zeros((len(rows), 1))
+    def absorb(self, i):
+        self.most = np.maximum(self.most, (self.rows == self.rows[i]).sum(axis=1))
 
-    def absorb(self, rows, state, row, own):
-        return np.maximum(state, (rows == row).sum(axis=1, keepdims=True))
+    def value(self, open_):
+        return -self.most[open_].astype(float)
 
-    def value(self, rows, state):
-        return -state[:, 0]
+    def carried(self, rows, held, picks, first):
+        most = np.array([h[0] if len(h) else 0 for h in held])
+        for row in picks:
+            most = np.maximum(most, (rows == row).sum(axis=1))
+        return [[int(m)] for m in most]
+
+    def worth(self, rows, held, shared):
+        return -np.array([h[0] for h in held], float)
 
 
 class Coverage(Rule):
-    """State: the columns that no pick has filled yet (the same for all rows of an alignment)."""
+    """Columns that no pick has filled yet, shared by all rows."""
+
+    def start(self, rows, n):
+        self.filled, self.open = rows != ord("-"), np.ones(rows.shape[1])
 
-    def begin(self, rows):
-        return np.ones(rows.shape)
+    def absorb(self, i):
+        self.open = self.open * ~self.filled[i]
 
-    def absorb(self, rows, state, row, own):
-        return state * (row == ord("-"))
+    def value(self, open_):
+        return self.filled[open_] @ self.open
 
-    def value(self, rows, state):
-        return ((rows != ord("-")) * state).sum(axis=1)
+    def shared(self):
+        return self.open
+
+    def worth(self, rows, held, shared):
+        return (rows != ord("-")) @ shared
 
 
 class Depth(Rule):
-    """State: how many picks are near each pick (shared), and which picks are near the row.
+    """How many picks are near each pick (shared), and which picks are near a row (carried).
 
-    A candidate adds its own weight and lowers that of the picks near it. The two halves of the state grow
-    by one entry per pick.
+    A candidate adds its own weight and lowers that of the picks near it.
     """
 
     def __init__(self, threshold: float = 0.5, sign: float = 1.0):
         self.threshold, self.sign = threshold, sign
+        self.ceiling = 1.0 if sign > 0 else np.inf
+
+    def _close(self, rows: np.ndarray, row: np.ndarray) -> np.ndarray:
+        return (rows == row).mean(axis=1) >= self.threshold
+
+    def start(self, rows, n):
+        self.rows, self.near, self.among, self.k = rows, np.zeros((len(rows), n), bool), np.zeros(n), 0
+        self.mark()
+
+    def absorb(self, i):
+        k = self.k
+        self.among[:k] += self.near[i, :k]
+        self.among[k] = self.near[i, :k].sum()
+        self.near[:, k] = self._close(self.rows, self.rows[i])
+        self.k += 1
+
+    def _loss(self, among: np.ndarray) -> np.ndarray:
+        return 1.0 / (2.0 + among) - 1.0 / (1.0 + among)
 
-    def begin(self, rows):
-        return np.zeros((len(rows), 0))
+    def _rounded(self, near: np.ndarray, among: np.ndarray) -> np.ndarray:
+        return self.sign * np.round(1.0 / (1.0 + near.sum(axis=1)) + near @ self._loss(among), TIE)
 
-    def absorb(self, rows, state, row, own):
-        half = state.shape[1] // 2
-        among, near = state[:, :half], state[:, half:]
-        before = own[half:]
-        close = ((rows == row).mean(axis=1) >= self.threshold)[:, None]
-        mine = np.full((len(rows), 1), before.sum())
-        return np.hstack([among + before, mine, near, close])
+    def value(self, open_):
+        return self._rounded(self.near[open_, : self.k], self.among[: self.k])
 
-    def value(self, rows, state):
-        half = state.shape[1] // 2
-        among, near = state[:, :half], state[:, half:]
-        loss = 1.0 / (2.0 + among) - 1.0 / (1.0 + among)
-        return self.sign * np.round(1.0 / (1.0 + near.sum(axis=1)) + (near * loss).sum(axis=1), TIE)
+    def mark(self):
+        self.before = self.among[: self.k].copy()
 
+    def gain(self):
+        if self.sign < 0:
+            return np.inf if self.k > len(self.before) else 0.0
+        # Only the loss of earlier picks can shrink; a new pick near a row lowers its value.
+        return float((self._loss(self.among[: len(self.before)]) - self._loss(self.before)).sum())
 
-_RULES: dict[str, Rule] = {"farthest_first": Farthest(), "max_coverage": Coverage(), "neff_contribution": Depth()}
+    def shared(self):
+        return self.among[: self.k]
+
+    def carried(self, rows, held, picks, first):
+        out = [list(h) for h in held]
+        for k, row in enumerate(picks, first):
+            for i in np.flatnonzero(self._close(rows, row)):
+                out[i].append(k)
+        return out
+
+    def worth(self, rows, held, shared):
+        near = np.zeros((len(rows), len(shared)), bool)
+        size = [len(h) for h in held]
+        near[np.repeat(np.arange(len(rows)), size), np.concatenate([np.zeros(0, np.int64), *[np.asarray(h, np.int64) for h in held]])] = True
+        return self._rounded(near, shared)
+
+
+_RULES: dict[str, Callable[[], Rule]] = {"farthest_first": Farthest, "max_coverage": Coverage, "neff_contribution": Depth}
 STRATEGIES = [*_RULES, "column_entropy", "random"]
 
 
 def greedy_order(rule: Rule, rows: np.ndarray, n: int, window: int | None = None) -> list[int]:
     """Positions of row 0 and the picks after it; with a ``window`` each is one of so many first rows left."""
-    state, left, order = rule.begin(rows), np.arange(1, len(rows)), [0]
+    rule.start(rows, min(n, len(rows)))
+    left, order = np.arange(1, len(rows)), [0]
     while len(order) < n and len(left):
-        state = rule.absorb(rows, state, rows[order[-1]], state[order[-1]])
+        rule.absorb(order[-1])
         open_ = left[:window]
-        order.append(int(open_[np.argmax(rule.value(rows[open_], state[open_]))]))
+        order.append(int(open_[np.argmax(rule.value(open_))]))
         left = left[left != order[-1]]
     return order
 
 
+def safe_picks(rule: Rule, rows: np.ndarray, done: int, n: int, last: tuple[float, int] | None) -> list[int]:
+    """Next picks among rows of which the first ``done`` are picked already, as long as no row that is not here can be better.
+
+    The others stand in their order; ``last`` is the value that the worst of them had when they were chosen and its place among
+    them, or None if there are no rows besides. Rows elsewhere had no better value, and at an equal one come later in order.
+    """
+    rule.start(rows, n)
+    for i in range(done):
+        rule.absorb(i)
+    rule.mark()
+    left, found = np.arange(done, len(rows)), []
+    while done + len(found) < n and len(left):
+        values = rule.value(left)
+        at = int(np.argmax(values))
+        pick = int(left[at])
+        if last is not None and found:
+            bound = min(last[0] + rule.gain(), rule.ceiling)
+            if values[at] < bound or (values[at] == bound and (bound > last[0] or pick - done > last[1])):
+                break
+        found.append(pick)
+        rule.absorb(pick)
+        left = np.delete(left, at)
+    return found
+
+
 def _greedy_udf(rule: str):
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def run(seqs: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([greedy_order(_RULES[rule], to_matrix(list(s)), min(int(k), len(s))) for s, k in zip(seqs, n)])
+        return pd.Series([greedy_order(_RULES[rule](), to_matrix(list(s)), min(int(k), len(s))) for s, k in zip(seqs, n)])
 
     return run
 
@@ -124,69 +220,101 @@ def _small(df: DataFrame, key: list[str], rule: str, n: int) -> DataFrame:
     return picked_rows(packed, key, _greedy_udf(rule)(F.col("rows.seq"), limit), columns)
 
 
-PICKS_PER_CHECKPOINT = 8
-ROW_BUCKET = 4096
+#: Rows of an alignment that meet in a task for its next picks.
+POOL = 4096
 
 
-def spread_order(base: DataFrame, first: DataFrame, rule: Rule, key: list[str], n: int, order: list[str], window: int | None = None) -> DataFrame:
+def spread_order(base: DataFrame, first: DataFrame, rule: Callable[[], Rule], key: list[str], n: int, order: list[str], window: int | None = None) -> DataFrame:
     """(key, rank, seq_idx) of greedy picks over alignments that no task holds.
 
     ``base``: key, seq_idx, seq and the tie columns ``order``; ``first``: key, seq_idx, seq of what is picked
-    beforehand (seq_idx may be null). Every row keeps its state and takes in the last pick. The best row is
-    found per bucket of rows and then among buckets.
+    beforehand (seq_idx may be null). Greedy by bounds: values only fall, so the rows of highest value are gathered, a bounded
+    number per alignment, and give picks until a row left outside could be better. All rows then take in these picks, and the
+    next are gathered. With a ``window``, only the first ``window + n`` rows in order can ever be picked: they meet in one task.
     """
-    step = T.StructType([T.StructField("state", T.ArrayType(T.DoubleType())), T.StructField("value", T.DoubleType())])
+    ties = [c for c in order if c not in ("seq_idx", "seq")]
+    rows = base.select(*key, "seq_idx", "seq", *ties, F.array().cast("array<int>").alias("held"), F.lit(None).cast("double").alias("value"))
+    zero = F.array().cast("array<double>").alias("shared")
+    picks = written(first.select(*key, F.array("seq_idx").alias("ids"), F.array("seq").alias("seqs"), zero, F.lit(0).alias("since")))
+    by_value = [F.col("value").desc(), *[F.col(c) for c in order]]
+    fields = [*key_fields(base, key), *[picks.schema[c] for c in ("ids", "seqs", "shared", "since")]]
+
+    def choose(pool: pd.DataFrame, so_far: pd.DataFrame) -> pd.DataFrame:
+        if so_far.empty:
+            return so_far
+        row = so_far.iloc[0]
+        ids, seqs = [None if pd.isna(i) else int(i) for i in row["ids"]], list(row["seqs"])
+        pool = pool.sort_values(order, kind="stable").reset_index(drop=True)
+        size = POOL if window is None else window + n
+        last = None
+        if window is None and len(pool) >= size:
+            worst = int(pool.index[pool["value"] == pool["value"].min()].max())
+            last = float(pool["value"][worst]), worst
+        texts = [*seqs, *pool["seq"]]
+        mine = rule()
+        if window is None:
+            found = safe_picks(mine, to_matrix(texts), len(seqs), n, last)
+        else:
+            found = greedy_order(mine, to_matrix(texts), n, window)[1:]
+            mine.start(to_matrix(texts[:1]), 1)
+        ids += [int(pool["seq_idx"][i - len(seqs)]) for i in found]
+        out = {**{k: row[k] for k in key}, "ids": ids, "seqs": seqs + [texts[i] for i in found], "shared": mine.shared().tolist(), "since": len(seqs)}
+        return pd.DataFrame([out])
+
+    def gathered(rows: DataFrame, by: list, size: int) -> DataFrame:
+        pool = first_n(rows, key, by, size).select(*key, "seq_idx", "seq", *ties, "value")
+        return pool.groupBy(*key).cogroup(picks.groupBy(*key)).applyInPandas(choose, T.StructType(fields))
+
+    step = T.StructType([T.StructField("held", T.ArrayType(T.IntegerType())), T.StructField("value", T.DoubleType())])
 
     @F.pandas_udf(step)
-    def advance(seq: pd.Series, state: pd.Series, row: pd.Series, own: pd.Series) -> pd.DataFrame:
-        states, values = np.empty(len(seq), object), np.zeros(len(seq))
-        # Rows that share the last pick (an alignment's rows) go through the rule together.
-        for _, at in row.groupby([row, seq.str.len()]).indices.items():
-            rows = to_matrix(seq.iloc[at].tolist())
-            held = [x for x in state.iloc[at]]
-            now = rule.begin(rows) if held[0] is None else np.stack(held)
-            mine = rule.begin(rows[:1])[0] if own.iloc[at[0]] is None else np.asarray(own.iloc[at[0]])
-            now = rule.absorb(rows, now, to_matrix([row.iloc[at[0]]])[0], mine)
-            values[at] = rule.value(rows, now)
+    def advance(seq: pd.Series, held: pd.Series, seqs: pd.Series, shared: pd.Series, since: pd.Series, whose: pd.Series) -> pd.DataFrame:
+        held_out, values = np.empty(len(seq), object), np.zeros(len(seq))
+        mine = rule()
+        # Rows of one alignment go through the rule together.
+        for at in whose.groupby(whose).indices.values():
+            matrix = to_matrix(seq.iloc[at].tolist())
+            new, first = list(seqs.iloc[at[0]]), int(since.iloc[at[0]])
+            now = mine.carried(matrix, list(held.iloc[at]), to_matrix(new) if new else matrix[:0], first)
+            values[at] = mine.worth(matrix, now, np.asarray(shared.iloc[at[0]], float))
             for i, x in zip(at, now):
-                states[i] = x
-        return pd.DataFrame({"state": states, "value": values})
-
-    rows = base.select(*key, "seq_idx", "seq", *[c for c in order if c not in ("seq_idx", "seq")], F.lit(None).cast("array<double>").alias("state"))
-    last = first.select(*key, "seq_idx", F.col("seq").alias("row"), F.lit(None).cast("array<double>").alias("own"))
-    picked = [last.select(*key, F.lit(0).cast("long").alias("rank"), "seq_idx")]
-    bucket = F.pmod(F.xxhash64("seq_idx"), F.greatest(F.ceil(F.col("__n") / ROW_BUCKET), F.lit(1)))
-    rows = rows.join(base.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")), key).withColumn("__bucket", bucket).drop("__n")
-    ties = [c for c in order if c not in ("seq_idx", "seq")]
-    best_of = F.max_by(F.struct("seq_idx", "seq", F.col("state").alias("own"), "value", *ties), F.struct("value", *[_falling(c) for c in order]))
-    for rank in range(1, n):
-        met = rows.join(last.select(*key, F.col("seq_idx").alias("__gone"), "row", "own"), key)
-        met = met.where(~F.col("seq_idx").eqNullSafe(F.col("__gone")))
-        done = met.withColumn("__s", advance("seq", "state", "row", "own"))
-        scored = done.select(*[c for c in rows.columns if c != "state"], "__s.state", "__s.value")
-        rows = scored.drop("value")
-        if window is not None:
-            scored = first_n(scored, key, [F.col(c) for c in order], window, "__w")
-        per_bucket = scored.groupBy(*key, "__bucket").agg(best_of.alias("b"))
-        last = per_bucket.groupBy(*key).agg(F.max_by("b", F.struct("b.value", *[_falling(f"b.{c}") for c in order])).alias("b")).select(*key, "b.seq_idx", F.col("b.seq").alias("row"), "b.own")
-        last = cut_lineage(last)
-        picked.append(last.select(*key, F.lit(rank).cast("long").alias("rank"), "seq_idx"))
-        if rank % PICKS_PER_CHECKPOINT == 0:
-            rows = cut_lineage(rows)
-    out = picked[0]
-    for part in picked[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _falling(name: str):
-    """A value that grows as the tie column falls: numbers by sign, text by the complement of its code points."""
-    if name.split(".")[-1] == "seq":
-        return F.transform(F.split(F.col(name), ""), lambda c: -F.ascii(c))
-    return -F.col(name)
-
-
-def _large(df: DataFrame, key: list[str], rule: Rule, n: int) -> DataFrame:
+                held_out[i] = x
+        return pd.DataFrame({"held": held_out, "value": values})
+
+    if window is not None:
+        picks = written(gathered(rows, [F.col(c) for c in order], window + n))
+    else:
+        # The first picks are taken in before anything is gathered.
+        todo = picks.withColumn("shared", _shared_udf(rule)("seqs"))
+        while True:
+            new = F.slice("seqs", F.col("since") + 1, F.size("seqs"))
+            met = rows.join(todo.select(*key, F.col("ids").alias("__ids"), new.alias("__new"), "shared", "since"), key)
+            met = met.where(~F.coalesce(F.array_contains("__ids", F.col("seq_idx")), F.lit(False)))
+            done = met.withColumn("__s", advance("seq", "held", "__new", "shared", "since", F.xxhash64(*key)))
+            rows = written(done.select(*[c for c in rows.columns if c not in ("held", "value")], "__s.held", "__s.value"))
+            picks = written(gathered(rows, by_value, POOL))
+            todo = picks.where((F.size("ids") < n) & (F.size("ids") > F.col("since")))
+            if todo.isEmpty():
+                break
+    return picks.select(*key, F.posexplode("ids").alias("rank", "seq_idx")).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _shared_udf(rule: Callable[[], Rule]):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(seqs: pd.Series) -> pd.Series:
+        out = []
+        for s in seqs:
+            mine = rule()
+            mine.start(to_matrix(list(s)), len(s))
+            for i in range(len(s)):
+                mine.absorb(i)
+            out.append(mine.shared().tolist())
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
+def _large(df: DataFrame, key: list[str], rule: Callable[[], Rule], n: int) -> DataFrame:
     base = cut_lineage(df)
     first = base.where("__first").select(*key, "seq_idx", "seq")
     cap = base.groupBy(*key).agg(F.max("__cap").alias("__cap"))
@@ -284,21 +412,43 @@ def set_depth(rows: np.ndarray, threshold: float = 0.5) -> float:
 
 
 class Measured(Rule):
-    """Any measure of the query and the picks: the state is the text of what is picked, kept by the caller."""
+    """Any measure of the query and the picks, which are kept as texts."""
+
+    def __init__(self, measure: Callable):
+        self.measure = measure
 
-    def __init__(self, measure: Callable, query: str, texts: list[str]):
-        self.measure, self.picked, self.texts = measure, [query], texts
+    def start(self, rows, n):
+        self.texts, self.picked = [r.astype("<u4").tobytes().decode("utf-32-le") for r in rows], []
 
-    def begin(self, rows):
-        return np.arange(len(rows))[:, None]
+    def absorb(self, i):
+        self.picked.append(self.texts[i])
 
-    def absorb(self, rows, state, row, own):
-        if own[0]:
-            self.picked.append(self.texts[int(own[0])])
-        return state
+    def value(self, open_):
+        return -np.round([float(self.measure([*self.picked, self.texts[i]])) for i in open_], TIE)
 
-    def value(self, rows, state):
-        return -np.round([float(self.measure([*self.picked, self.texts[int(i)]])) for i in state[:, 0]], TIE)
+
+def measured_order(base: DataFrame, first: DataFrame, measure: Callable, key: list[str], n: int, order: list[str]) -> DataFrame:
+    """Like :func:`spread_order` for a measure that says nothing about values to come: a pass over all rows per pick.
+
+    The picked texts go to the rows of their alignment, each row is measured with them, and the least is found per bucket of
+    rows and then among buckets.
+    """
+    picks = written(first.select(*key, F.array("seq_idx").alias("ids"), F.array("seq").alias("seqs")))
+    buckets = F.pmod(F.xxhash64("seq_idx"), F.greatest(F.ceil(F.col("__n") / POOL), F.lit(1)))
+    rows = base.join(base.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")), key).select(*key, *order, buckets.alias("__bucket"))
+    rows = written(rows if "seq" in order else rows.join(base.select(*key, "seq_idx", "seq"), [*key, "seq_idx"]))
+
+    @F.pandas_udf(T.DoubleType())
+    def value(seq: pd.Series, seqs: pd.Series) -> pd.Series:
+        return pd.Series([round(float(measure([*p, s])), TIE) for s, p in zip(seq, seqs)], dtype="float64")
+
+    for _ in range(1, n):
+        open_ = rows.join(picks, key).where(~F.coalesce(F.array_contains("ids", F.col("seq_idx")), F.lit(False)))
+        best = F.min(F.struct("value", *order, *["seq"] * ("seq" not in order))).alias("b")
+        found = open_.withColumn("value", value("seq", "seqs")).groupBy(*key, "__bucket").agg(best).groupBy(*key).agg(F.min("b").alias("b"))
+        grown = [F.when(F.col("b").isNull(), F.col(c)).otherwise(F.concat(c, F.array(f"b.{v}"))).alias(c) for c, v in (("ids", "seq_idx"), ("seqs", "seq"))]
+        picks = written(picks.join(found, key, "left").select(*key, *grown))
+    return picks.select(*key, F.posexplode("ids").alias("rank", "seq_idx")).withColumn("rank", F.col("rank").cast("long"))
 
 
 def _lowest_small(df: DataFrame, key: list[str], n: int, window: int | None, measure: Callable | None) -> DataFrame:
@@ -310,7 +460,7 @@ def _lowest_small(df: DataFrame, key: list[str], n: int, window: int | None, mea
         for q, s in zip(query, seqs):
             texts = [q, *s]
             rows = to_matrix(texts)
-            order = greedy_order(Measured(measure, q, texts) if measure else LOWEST, rows, n + 1, window)
+            order = greedy_order(Measured(measure) if measure else LOWEST(), rows, n + 1, window)
             value = float(measure([texts[i] for i in order])) if measure else set_depth(rows[order])
             done.append(([i - 1 for i in order[1:]], value))
         return pd.DataFrame(done, columns=["picks", "neff"])
@@ -321,23 +471,27 @@ def _lowest_small(df: DataFrame, key: list[str], n: int, window: int | None, mea
     return picked_rows(with_depth, key, F.col("o.picks"), [*columns, "neff"])
 
 
-LOWEST = Depth(sign=-1.0)
+LOWEST = partial(Depth, sign=-1.0)
 
 
 def _lowest_large(df: DataFrame, key: list[str], n: int, window: int | None, measure: Callable | None) -> DataFrame:
-    """The same greedy choice by passes over the spread rows. A measure of the caller's needs the packed form."""
-    if measure is not None:
-        return _lowest_small(df, key, n, window, measure)
+    """The same greedy choice over spread rows."""
     base = cut_lineage(df)
     first = base.groupBy(*key).agg(F.max("query").alias("seq")).select(*key, F.lit(None).cast("long").alias("seq_idx"), "seq")
-    order = spread_order(base.drop("query"), first, LOWEST, key, n + 1, ["distance", "seq", "seq_idx"], window)
+    ties = ["distance", "seq", "seq_idx"]
+    if measure is not None and window is None:
+        order = measured_order(base, first, measure, key, n + 1, ties)
+    else:
+        rule = LOWEST if measure is None else partial(Measured, measure)
+        order = spread_order(base.drop("query"), first, rule, key, n + 1, ties, window)
     joined = base.join(order.where("rank > 0"), [*key, "seq_idx"])
 
     @F.pandas_udf(T.DoubleType())
     def value(rows: pd.Series) -> pd.Series:
-        return pd.Series([set_depth(to_matrix(list(c))) for c in rows], dtype="float64")
+        return pd.Series([float(measure(list(c))) if measure else set_depth(to_matrix(list(c))) for c in rows], dtype="float64")
 
-    sets = joined.groupBy(*key).agg(F.concat(F.array(F.max("query")), F.collect_list("seq")).alias("rows"))
+    picked = F.transform(F.array_sort(F.collect_list(F.struct("rank", "seq"))), lambda x: x["seq"])
+    sets = joined.groupBy(*key).agg(F.concat(F.array(F.max("query")), picked).alias("rows"))
     chosen = sets.select(*key, value("rows").alias("neff"))
     return joined.drop("distance", "query").join(chosen, key).withColumn("rank", F.col("rank") - 1)
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import scalar as fn
-from seqloom.operators import augment, columns, dedup, filters, groups, neff, pairing, results, select, structure
+from seqloom.operators import augment, columns, dedup, filters, groups, neff, pairing, results, select, structure, tiles
 
 
 def random_rows(n, width, letters="ACDE", seed=1, near=0.5):
@@ -96,6 +96,39 @@ def test_near_dedup_ragged(msa):
         assert picks(dedup.near_dedup(msa(rows), 0.8, max_group_rows=limit, heads=3)) == brute_dedup(rows, 0.8)
 
 
+@pytest.mark.parametrize("t", [0.95, 0.7, 0.4])
+def test_ragged_rows_meet_by_their_rarest_stretches(spark, msa, t):
+    rng = random.Random(int(100 * t))
+    rows = []
+    for _ in range(100):
+        row = list(rng.choice(rows)) if rows and rng.random() < 0.6 else rng.choices("ACDEFGHIKL", k=rng.randrange(1, 45))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(row) + 1)
+            row[at : at + rng.randrange(2)] = rng.choices("ACDEFGHIKL", k=rng.randrange(2))
+        rows.append("".join(row) or "A")
+    expected = brute_dedup(rows, t)
+    assert picks(dedup.near_dedup(msa(rows), t, max_group_rows=12, heads=16)) == expected
+    buckets = {r["seq_idx"]: set(r["buckets"]) for r in dedup.gram_buckets(msa(list(dict.fromkeys(rows))), t, ["msa_id"]).collect()}
+    distinct = list(dict.fromkeys(rows))
+    met = 0
+    for i, a in enumerate(distinct):
+        for j in range(i):
+            o = distinct[j]
+            shared = bool(buckets[i] & buckets[j])
+            met += shared
+            if (same(a, o) if len(a) == len(o) else SequenceMatcher(None, o, a).ratio()) > t:
+                assert shared
+    assert t < 0.9 or met < 0.2 * len(distinct) * (len(distinct) - 1) / 2
+
+
+@pytest.mark.parametrize("t", [0.95, 0.8, 0.6])
+def test_least_matches_is_the_least(t):
+    for a in range(1, 40):
+        for b_ in range(1, 40):
+            m = dedup.least_matches(a, b_, t)
+            assert 2.0 * m / (a + b_) > t >= 2.0 * (m - 1) / (a + b_)
+
+
 def test_near_pairs_equal_brute_force(msa):
     rows = list(dict.fromkeys(random_rows(50, 20, near=0.8)))
     got = {(r["i"], r["j"]) for r in dedup.near_duplicate_pairs(msa(rows), 0.85).collect()}
@@ -174,6 +207,46 @@ def test_selection_equals_brute_force(msa, strategy):
         assert picks(select.select_subset(msa(rows), 6, strategy, max_group_rows=limit)) == expected
 
 
+@pytest.mark.parametrize("strategy", ["farthest_first", "max_coverage", "neff_contribution"])
+@pytest.mark.parametrize("pool", [3, 20])
+def test_greedy_by_bounds(msa, monkeypatch, strategy, pool):
+    """Small pools, many ties, alignments of unequal size: the picks of the packed form."""
+    monkeypatch.setattr(select, "POOL", pool)
+    df = msa(random_rows(60, 10, "AC-", seed=5), random_rows(9, 6, "ACD-", seed=6), random_rows(40, 14, "ACDEFGH-", seed=7, near=0.9))
+    want = select.select_subset(df, 12, strategy)
+    got = select.select_subset(df, 12, strategy, max_group_rows=2)
+    for g in ("m0", "m1", "m2"):
+        assert picks(got, g) == picks(want, g)
+
+
+def test_safe_picks_take_several_at_a_time():
+    rows = select.to_matrix(random_rows(3000, 30, "ACDEFGHIKLMNPQRSTVWY", seed=8, near=0.1))
+    for rule in (select.Farthest, select.Depth):
+        want = select.greedy_order(rule(), rows, 40)
+        pool = rows[:1500]
+        mine = rule()
+        mine.start(rows, 1)
+        mine.absorb(0)
+        worst = mine.value(np.arange(1500, 3000)).max()
+        found = select.safe_picks(rule(), pool, 1, 40, (float(worst), 1499))
+        assert found == want[1 : 1 + len(found)] and len(found) > 3
+
+
+@pytest.mark.parametrize("window", [None, 4])
+def test_lowest_by_a_callers_measure(msa, spark, window):
+    def measure(texts):
+        return sum(a != b_ for a in texts for b_ in texts for a, b_ in zip(a, b_)) / 7
+
+    groups = [random_rows(20, 8, "ACD", seed=2), random_rows(3, 5, "ACD", seed=3)]
+    q = spark.createDataFrame([("m0", groups[0][4]), ("m1", groups[1][0])], "msa_id string, query string")
+    want = select.lowest_neff(msa(*groups), q, 5, window=window, measure=measure)
+    got = select.lowest_neff(msa(*groups), q, 5, window=window, measure=measure, max_group_rows=1)
+    for g in ("m0", "m1"):
+        assert picks(got, g) == picks(want, g)
+    depth = {r["msa_id"]: r["neff"] for r in want.collect()}
+    assert {r["msa_id"]: r["neff"] for r in got.collect()} == pytest.approx(depth)
+
+
 def test_selection_rules(msa, spark):
     rows = random_rows(10, 25, "ACDEFGHIKL", seed=4)
     df = msa(rows)
@@ -239,8 +312,33 @@ def test_coevolution_paths_agree(msa):
         for r in columns.coevolution(msa(rows), max_group_rows=limit).collect():
             got[r["i"], r["j"]] = r["score"]
         assert got == pytest.approx(expected, abs=1e-8)
-    with pytest.raises(Exception):
-        columns.coevolution(msa(rows), max_columns=3, max_group_rows=5).collect()
+
+
+@pytest.mark.parametrize("tile, n_rows, width", [(7, 40, 24), (3, 90, 10)])
+def test_coevolution_of_many_tiles(msa, monkeypatch, tile, n_rows, width):
+    """Strips that do not divide the width, several row blocks and rounds of adding, two alignments of unequal width."""
+    monkeypatch.setattr(tiles, "TILE", tile)
+    monkeypatch.setattr(tiles, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(tiles, "FAN_IN", 3)
+    groups = [random_rows(n_rows, width, "ACDEFGHIKL-", seed=1), random_rows(12, 5, "ACD", seed=2)]
+    got = columns.coevolution(msa(*groups), max_group_rows=1, task_columns=1).collect()
+    for g, rows in enumerate(groups):
+        want = columns._coevolution_from_rows(rows)
+        found = np.full(want.shape, np.nan)
+        for r in got:
+            if r["msa_id"] == f"m{g}":
+                found[r["i"], r["j"]] = r["score"]
+        assert found == pytest.approx(want, abs=1e-10)
+
+
+def test_tiled_inverse_holds(msa, monkeypatch):
+    monkeypatch.setattr(tiles, "TILE", 4)
+    shape = columns.alignment_shape(df := msa(random_rows(30, 11, "ACDEFGHIKL", seed=4)), ["msa_id"])
+    sizes = shape.select("msa_id", "n_rows", F.col("max_len").cast("long").alias("width"))
+    matrix = tiles.covariance_tiles(tiles.count_tiles(df, sizes, ["msa_id"]), ["msa_id"])
+    inverse, _ = tiles.negative_inverse(matrix, ["msa_id"])
+    assert tiles.probe_residuals(matrix, inverse, ["msa_id"]).first()["residual"] < 1e-10
+    assert tiles.probe_residuals(matrix, matrix, ["msa_id"]).first()["residual"] > 1e-3
 
 
 def test_wide_coevolution(msa):
