@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ from seqloom.llm import kernels as K
 
 #: Names from the HTML standard (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript iframe template svg object xmp noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -68,11 +69,20 @@ INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img
 SAID_OF = frozenset("has no with without is".split())
 ARTICLE_WORDS = frozenset("article post entry story content text".split())
 KEPT_HEADER = frozenset({"article", "main"})
+#: Words that a box's name has beside the word for what it is (comments-area, sidebar-right): they say nothing of an article's subject.
+OF_BOXES = frozenset(
+    "area box wrap wrapper container list section block bar left right top bottom main inner outer content post article page site item items link links "
+    "button buttons btn form title header head body row col column group panel card region zone slot unit space holder module component element "
+    "primary secondary global local sticky fixed floating desktop mobile js wp the a of and to in for my all more this us".split()
+)
+#: Unlinked characters from which on a box of a doubtful name in an article is text of it.
+DOUBTFUL = 120
 #: Text in these does not end the run of menus at an edge of the article.
 NO_EDGE = frozenset("a h1 h2 h3 h4 h5 h6".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: A tag's name; longer ones are of no known element.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]{0,63})")
+SPECIAL = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|$)", re.I)
 WORD = re.compile(r"[A-Za-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -88,13 +98,13 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _marks(name: str, attributes: str, path: list[Node]) -> tuple[tuple[str, ...], ...]:
+def _marks(name: str, attributes: str, in_article: bool) -> tuple[tuple[str, ...], ...]:
     """Why an element looks like no part of an article: its element, its role, and names in words."""
     out = []
     if name in MARKED:
         out.append((f"<{name}>",))
     if name == "header":
-        return () if any(n.name in KEPT_HEADER for n in path) else (("<header>",),)
+        return () if in_article else (("<header>",),)
     if not attributes or name in ("body", "html", "article", "main"):
         return tuple(out)
     for key, a, b, c in ATTRIBUTE.findall(attributes):
@@ -110,7 +120,7 @@ def _marks(name: str, attributes: str, path: list[Node]) -> tuple[tuple[str, ...
                     continue
                 if not DROPPED_WORDS.isdisjoint(words):
                     out.append(words)
-                elif "header" in words and ARTICLE_WORDS.isdisjoint(words) and not any(n.name in KEPT_HEADER for n in path):
+                elif "header" in words and ARTICLE_WORDS.isdisjoint(words) and not in_article:
                     out.append(words)
     return tuple(dict.fromkeys(out))
 
@@ -121,18 +131,26 @@ def _speaks_of(mark: tuple[str, ...]) -> bool:
     return mark in AROUND or (bool(boxes) and boxes <= LAYOUT_WORDS and len(boxes) < len(set(mark)))
 
 
+def _doubtful(mark: tuple[str, ...]) -> bool:
+    """A name that may as well speak of an article's subject: side-effects, share-price, comment-policy."""
+    return not mark[0].startswith("<") and mark[0] not in ("role", "hidden") and not OF_BOXES.issuperset(set(mark) - BOX_WORDS)
+
+
 def judge(root: Node) -> None:
     """Decides on the marked elements: those are dropped that the article does not stand in.
 
     Marks are taken back from the elements around a ``main``; around an ``article`` with more unlinked text than
     is left otherwise, where none is left; and, for all elements of that name (and of longer names that
     begin with it), where most of the unlinked text stands under the name. Elements within are judged likewise.
-    Names of other texts, as comments, only give way to a ``main``.
+    Names of other texts, as comments, only give way to a ``main``. In an ``article`` or ``main`` a box stays that holds
+    some text and whose name may be of the article's subject.
     """
     order, stack = [], [(root, None, False)]
+    inside: dict[int, bool] = {}
     while stack:
         node, parent, linked = stack.pop()
         order.append((node, parent, linked))
+        inside[id(node)] = parent is not None and (inside[id(parent)] or parent.name in KEPT_HEADER)
         stack += [(x, node, linked or x.name == "a") for x in node.children if isinstance(x, Node) and not x.dropped]
     if not any(node.marks for node, _, _ in order):
         return
@@ -212,75 +230,169 @@ def judge(root: Node) -> None:
             if id(node) in edge and not live(node):
                 release(node)
     for node in edge.values():
-        node.dropped = True
+        node.dropped = not (inside[id(node)] and plain[id(node)] >= DOUBTFUL and all(map(_doubtful, node.marks)))
+
+
+class Tags:
+    """Finds the ends of tags in a page; no place is looked at more often than a few times, however the page is made."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.lost: set[int] = set()
+        self.no_special = self.no_end = len(source) + 1
+
+    def end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin here: after a > outside quotes, else after the next > at all; 0 if there is none."""
+        seen, begin = [], at
+        while at < self.no_special:
+            found = SPECIAL.search(self.source, at)
+            if found is None:
+                self.no_special = at
+                break
+            place = found.start()
+            if self.source[place] == ">":
+                return place + 1
+            # A quote from which on no > was found before leads nowhere again.
+            if place in self.lost:
+                break
+            seen.append(place)
+            close = self.source.find(self.source[place], place + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.lost.update(seen)
+        return self.after(begin)
+
+    def after(self, at: int) -> int:
+        """After the next >; 0 if there is none."""
+        if at >= self.no_end:
+            return 0
+        found = self.source.find(">", at)
+        if found < 0:
+            self.no_end = at
+        return found + 1
+
+
+#: Per kind of scope a bit: names that set it (an element is open that a later tag can end) and names that clear it.
+_KINDS = [({"p"}, P_SCOPE), *ENDED_BY.values(), (set(KEPT_HEADER), set())]
+_BITS: dict[str, tuple[int, int]] = {}
+for _k, (_ends, _scope) in enumerate(_KINDS):
+    for _name in {*_ends, *_scope}:
+        _set, _clear = _BITS.get(_name, (0, 0))
+        _BITS[_name] = _set | (_name in _ends) << _k, _clear | (_name in _scope and _name not in _ends) << _k
+_OF_P, _OF_ARTICLE = 0, len(_KINDS) - 1
+_OF = {name: k for k, name in enumerate(ENDED_BY, 1)}
+
+
+class Path:
+    """The open elements. Per element it is known which others are open around it, so that no search for one is in vain."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.bits, self.open = [root], [0], Counter()
+        #: Inline elements open since each open block.
+        self.inline = [Counter()]
+
+    def push(self, node: Node) -> None:
+        on, off = _BITS.get(node.name, (0, 0))
+        self.nodes.append(node)
+        self.bits.append(self.bits[-1] & ~off | on)
+        self.open[node.name] += 1
+        if node.name in BLOCK:
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][node.name] += 1
+
+    def cut(self, at: int) -> None:
+        """Closes the elements from number ``at`` on."""
+        while len(self.nodes) > at:
+            name = self.nodes.pop().name
+            self.bits.pop()
+            self.open[name] -= 1
+            if name in BLOCK:
+                self.inline.pop()
+            else:
+                self.inline[-1][name] -= 1
+
+    def close(self, name: str) -> bool:
+        """Ends the innermost element of that name; an inline end tag does not end the blocks around it."""
+        if not (self.open if name in BLOCK else self.inline[-1])[name]:
+            return False
+        at = len(self.nodes) - 1
+        while self.nodes[at].name != name:
+            at -= 1
+        self.cut(at)
+        return True
+
+    def has(self, kind: int) -> bool:
+        return bool(self.bits[-1] >> kind & 1)
+
+    def end(self, kind: int, outermost: bool) -> None:
+        """Ends the innermost or outermost element of the kind within its scope."""
+        if not self.has(kind):
+            return
+        ends, at, cut = _KINDS[kind][0], len(self.nodes) - 1, 0
+        while self.bits[at] >> kind & 1:
+            if self.nodes[at].name in ends:
+                cut = at
+                if not outermost:
+                    break
+            at -= 1
+        self.cut(cut)
 
 
 def parse(source: str) -> Node:
-    """The tree below the body. Missing end tags are supplied, end tags without a start are passed over."""
+    """The tree below the body. Missing end tags are supplied, end tags without a start are passed over.
+
+    The work is in proportion to the page, also where quotes, tags or elements are never closed.
+    """
     root = Node("body")
-    path, at, n = [root], 0, len(source)
+    path, tags, at, n = Path(root), Tags(source), 0, len(source)
     while at < n:
         tag = source.find("<", at)
         if tag < 0:
-            path[-1].children.append(source[at:])
+            path.nodes[-1].children.append(source[at:])
             break
-        found = TOKEN.match(source, tag) or LOOSE.match(source, tag)
-        if found is None:
+        found = TAG.match(source, tag)
+        if source.startswith("<!--", tag):
+            end = source.find("-->", tag + 4) + 3
+            end = end if end > 2 else n
+        elif found is not None:
+            end = tags.end(found.end())
+        else:
+            end = tags.after(tag) if source[tag + 1 : tag + 2] in ("!", "?") else 0
+        if not end:
             # A bracket that opens nothing is text.
-            path[-1].children.append(source[at : tag + 1])
+            path.nodes[-1].children.append(source[at : tag + 1])
             at = tag + 1
             continue
         if tag > at:
-            path[-1].children.append(source[at:tag])
-        at = found.end()
-        if found.lastindex is None or found.group(2) is None:
+            path.nodes[-1].children.append(source[at:tag])
+        at = end
+        if found is None:
             continue
         name = found.group(2).lower()
         if found.group(1):
-            if name in ("body", "html"):
-                continue
-            for i in range(len(path) - 1, 0, -1):
-                if path[i].name == name:
-                    del path[i:]
-                    break
-                # An inline end tag does not end the blocks around it.
-                if name not in BLOCK and path[i].name in BLOCK:
-                    break
-            else:
-                if name == "p":
-                    path[-1].children.append(Node("p"))
+            if name not in ("body", "html") and not path.close(name) and name == "p":
+                path.nodes[-1].children.append(Node("p"))
             continue
-        if path[-1].name == "head" and name not in IN_HEAD:
+        if path.nodes[-1].name == "head" and name not in IN_HEAD:
             # The end tag of a head may be left out.
-            path.pop()
+            path.cut(len(path.nodes) - 1)
         if name in ("html", "body"):
             continue
         if name in ENDS_P:
-            for i in range(len(path) - 1, 0, -1):
-                if path[i].name == "p":
-                    del path[i:]
-                    break
-                if path[i].name in P_SCOPE:
-                    break
-        if name in ENDED_BY:
-            ends, scope = ENDED_BY[name]
-            cut = 0
-            for i in range(len(path) - 1, 0, -1):
-                if path[i].name in scope:
-                    break
-                if path[i].name in ends:
-                    cut = i
-            if cut:
-                del path[cut:]
-        attributes = found.group(3)
-        node = Node(name, True) if name in DROPPED else Node(name, False, _marks(name, attributes, path))
-        path[-1].children.append(node)
+            path.end(_OF_P, False)
+        if name in _OF:
+            path.end(_OF[name], True)
+        attributes = source[found.end() : end - 1]
+        node = Node(name, True) if name in DROPPED else Node(name, False, _marks(name, attributes, path.has(_OF_ARTICLE)))
+        path.nodes[-1].children.append(node)
         if name in RAW:
             if not attributes.endswith("/") or name in ("script", "style", "title", "textarea"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                at = end.end() if end else n
+                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+                at = close.end() if close else n
         elif name not in VOID:
-            path.append(node)
+            path.push(node)
     return root
 
 
@@ -317,14 +429,19 @@ def measure(root: Node) -> None:
 
 def article_nodes(root: Node) -> tuple[set[int], list[Node] | None]:
     """Identities of the nodes whose subtrees are the article, and the way to the densest one (None: the page states it itself)."""
-    best, way, stack = root, [root], [(root, [root])]
+    best, stack, parent = root, [root], {}
     while stack:
-        node, path = stack.pop()
+        node = stack.pop()
         if node.total > best.total:
-            best, way = node, path
+            best = node
         for x in node.children:
             if isinstance(x, Node) and not x.dropped and x.chars:
-                stack.append((x, [*path, x]))
+                parent[id(x)] = node
+                stack.append(x)
+    way = [best]
+    while way[-1] is not root:
+        way.append(parent[id(way[-1])])
+    way.reverse()
     if best is root:
         return {id(root)}, way
     for x in reversed(way):
@@ -412,7 +529,9 @@ def main_text(source: str | None) -> str:
 def extract_articles(pages: DataFrame, carry: list[str], column: str = "html") -> DataFrame:
     """``carry`` with ``text`` and ``n_chars`` (code points) of each page's article.
 
-    Null and empty pages give an empty text. Every row is read whole and answered once, repeated or not.
+    Null and empty pages give an empty text. Every row is read whole and answered once, repeated or not. An empty table gives no
+    rows; further columns of any name play no part. Very long and broken pages (tags, quotes and elements that are never
+    closed) take time and memory in proportion to their length.
     """
     schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in carry), "text string, n_chars long"])
 
