@@ -149,6 +149,34 @@ def test_neighbour_recall(spark):
     assert np.mean([len(got[q] & {j for j, _ in v}) / 5 for q, v in want.items()]) >= 0.9
 
 
+def test_short_queries_are_asked_everywhere(spark):
+    """One probed part holds fewer than k vectors: the others are searched too."""
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(700, 8)).astype(np.float32))]
+    table = spark.createDataFrame([(*r, 1, 2, 0.5) for r in rows], "vec_id long, embedding array<float>, part int, rank int, score double")
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(table, table.vec_id % 50 == 0, k=300, recall=0.01).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got == {q: [j for j, _ in near] for q, near in brute(rows, 300).items()}
+
+
+def test_routing_prunes_where_there_is_structure():
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(60, 24))
+    x = neighbours.unit(centre[rng.integers(0, 60, 12_000)] + 0.3 * rng.normal(size=(12_000, 24)))
+    router = neighbours.fit_router(x[:4096], 64, 0.95)
+    p = router.probabilities(x)
+    part, queries = p.argmax(1), np.arange(4096, 12_000, 40)
+    probes = np.argsort(-p[queries], axis=1)[:, : router.probes]
+    scored = np.bincount(part, minlength=64)[probes].sum(1).mean() / len(x)
+    near = x[queries] @ x.T
+    near[np.arange(len(queries)), queries] = -1
+    true = np.argsort(-near, axis=1)[:, :5]
+    recall = (part[true][:, :, None] == probes[:, None, :]).any(2).mean()
+    print(f"recall {recall:.3f}, rows scored {scored:.3f}")
+    assert recall >= 0.9 and scored < 0.1
+
+
 def test_filters_hold_all_their_grams():
     rng = np.random.default_rng(1)
     grams = {name: rng.integers(0, 2**63, 5000).astype(np.uint64) for name in "abc"}
