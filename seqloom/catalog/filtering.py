@@ -80,13 +80,6 @@ def near_dedup_ragged(spark, sf_dir):
     return dedup.near_dedup(b.chain_rows_ragged(spark, sf_dir), 0.8).select("msa_id", "seq_idx")
 
 
-@query("DED3 FN9")
-def near_dedup_ragged_by_lang(spark, sf_dir):
-    """The ragged pieces of a language as one alignment; rows meet by their rarest stretches."""
-    rows = dedup.near_dedup(b.by_lang(b.reads(spark, sf_dir)), 0.9, max_group_rows=2000)
-    return rows.select("msa_id", "seq_idx")
-
-
 @query(
     "JN2",
     f"WITH {b.BY_LANG}, u AS (SELECT msa_id, seq, min(seq_idx) AS idx, count(*) AS copies FROM corpus GROUP BY msa_id, seq), "

@@ -157,6 +157,24 @@ def neff_by_depth(spark, sf_dir):
     return depth_ladder_job(b.rows_only(b.seqs(spark, sf_dir)), DEPTH_LADDER)
 
 
+@query(
+    "JOB8 SEL5 AGG1",
+    f"WITH {b.BY_LANG}, q AS (SELECT msa_id, min(seq_idx) AS q FROM corpus GROUP BY msa_id), ranked AS (SELECT msa_id, seq, "
+    f"row_number() OVER (PARTITION BY msa_id ORDER BY seq_idx = q DESC, {b.uniform_sql('msa_id', 'seq_idx')}, seq_idx) - 1 AS rank FROM corpus JOIN q USING (msa_id)), "
+    "lv(max_seq, max_extra_seq) AS (VALUES (16, 32), (32, 64), (64, 128), (128, 256)), "
+    "level AS (SELECT msa_id, seq, rank, max_seq, max_extra_seq FROM ranked JOIN lv ON rank < max_seq + max_extra_seq), "
+    "w AS (SELECT l.msa_id, l.max_seq, l.max_extra_seq, l.rank, count(*) AS near FROM level l JOIN level r ON l.msa_id = r.msa_id AND l.max_seq = r.max_seq "
+    "AND (60 - hamming(l.seq, r.seq)) / 60.0::DOUBLE >= 0.5 GROUP BY ALL) "
+    "SELECT msa_id, max_seq, max_extra_seq, count(*) AS n_rows, round(sum(1.0::DOUBLE / near) / sqrt(60), 6) AS neff FROM w GROUP BY ALL",
+)
+def random_depth_ladder(spark, sf_dir):
+    """Depth of the large alignments after random thinning to each level of the ladder, in one comparison."""
+    from seqloom.alphabets import DEPTH_LADDER
+
+    out = select.neff_by_depth(b.by_lang(b.seqs(spark, sf_dir)), DEPTH_LADDER, "random")
+    return out.withColumn("neff", F.round("neff", 6))
+
+
 @query("SEL1", _by_lang_sql(_FAR_RULE))
 def select_farthest_first_by_lang(spark, sf_dir):
     return _select_by_lang(spark, sf_dir, "farthest_first")

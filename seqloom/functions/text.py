@@ -21,12 +21,41 @@ def to_matrix(seqs: list[str]) -> np.ndarray:
     return flat.reshape(len(seqs), -1)
 
 
+def _planes(rows: np.ndarray, codes: np.ndarray, count: int) -> list[np.ndarray]:
+    """Bit planes of the rows' letter codes, 64 columns a word: (words, n) each."""
+    coded = codes[rows] if rows.dtype == np.uint8 else np.searchsorted(codes, rows)
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 64) * 64), np.uint8)
+    out = []
+    for p in range(count):
+        wide[:, : rows.shape[1]] = (coded >> p) & 1
+        out.append(np.ascontiguousarray(np.packbits(wide, axis=1).view(np.uint64).T))
+    return out
+
+
 def pair_matches(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """(n, m) counts of equal columns, one column at a time so memory stays at n x m."""
-    total = np.zeros((left.shape[0], right.shape[0]), dtype=np.uint16 if left.shape[1] < 65536 else np.uint32)
-    for c in range(left.shape[1]):
-        total += left[:, c][:, None] == right[:, c][None, :]
-    return total
+    """(n, m) counts of equal columns.
+
+    Letters are numbered and cut into bit planes; a word of each plane compares 64 columns of a pair at once.
+    """
+    width = left.shape[1]
+    if left.dtype == np.uint8 and right.dtype == np.uint8:
+        used = (np.bincount(left.ravel(), minlength=256) + np.bincount(right.ravel(), minlength=256)) > 0
+        codes, letters = np.cumsum(used) - 1, int(used.sum())
+    else:
+        left, right = left.astype(np.uint32), right.astype(np.uint32)
+        codes = np.unique(np.concatenate((left.ravel(), right.ravel())))
+        letters = len(codes)
+    count = max(letters - 1, 1).bit_length()
+    a, b = _planes(left, codes, count), _planes(right, codes, count)
+    unequal = np.zeros((len(left), len(right)), np.uint16 if width < 65536 else np.uint32)
+    differ, part = np.empty(unequal.shape, np.uint64), np.empty(unequal.shape, np.uint64)
+    for w in range(len(a[0])):
+        np.bitwise_xor(a[0][w][:, None], b[0][w][None, :], out=differ)
+        for x, y in zip(a[1:], b[1:], strict=True):
+            np.bitwise_xor(x[w][:, None], y[w][None, :], out=part)
+            differ |= part
+        unequal += np.bitwise_count(differ)
+    return width - unequal
 
 
 def row_matches(left: pd.Series, right: pd.Series) -> np.ndarray:

@@ -20,6 +20,7 @@ from seqloom.session import MAX_GROUP_ROWS, cut_lineage, written
 
 KEY = ["msa_id"]
 TIE = 12  # decimals at which two gains count as equal
+STEP = 512  # rows compared with all others at a time
 
 class Rule:
     """A greedy rule over the rows of a matrix, some of which are picked one after the other.
@@ -527,16 +528,34 @@ def lowest_neff(
     )
 
 
-def neff_by_depth(df: DataFrame, ladder: list[tuple[int, int]], strategy: str = "farthest_first") -> DataFrame:
-    """Depth of every alignment after thinning to each level of a (max, extra) ladder."""
-    from seqloom.operators.neff import neff
+def neff_by_depth(df: DataFrame, ladder: list[tuple[int, int]], strategy: str = "farthest_first", threshold: float = 0.5) -> DataFrame:
+    """Depth of every alignment after thinning to each level of a (max, extra) ladder.
 
+    The greedy orders are prefixes of one another: one selection serves all levels, and one comparison of its rows, in which a
+    pair counts from the level on that holds its later row. An alignment's rows that are compared are no more than the deepest
+    level's.
+    """
     deepest = max(a + b for a, b in ladder)
-    # The greedy orders are prefixes of one another, so one selection serves all levels.
-    ranked = select_subset(df, deepest, strategy)
-    levels = F.explode(F.array(*[F.struct(F.lit(a).alias("max_seq"), F.lit(b).alias("max_extra_seq")) for a, b in ladder]))
-    level = ranked.withColumn("lv", levels).where(F.col("rank") < F.col("lv.max_seq") + F.col("lv.max_extra_seq"))
-    flat = level.select("msa_id", "lv.max_seq", "lv.max_extra_seq", "seq_idx", "seq")
-    return neff(flat, key=["msa_id", "max_seq", "max_extra_seq"])
-
+    out = T.ArrayType(T.StructType([T.StructField("n_rows", T.LongType()), T.StructField("neff", T.DoubleType())]))
 
+    @F.pandas_udf(out)
+    def depths(seqs: pd.Series) -> pd.Series:
+        found = []
+        for s in seqs:
+            rows = to_matrix(list(s))
+            sizes = np.minimum([a + b for a, b in ladder], len(rows))
+            cuts, level = np.unique(sizes, return_inverse=True)
+            begin = np.append(0, cuts[:-1])
+            weight = np.zeros(len(cuts))
+            for at in range(0, len(rows), STEP):
+                near = pair_matches(rows[at : at + STEP], rows) / rows.shape[1] >= threshold
+                counts = np.cumsum(np.add.reduceat(near[:, : cuts[-1]], begin, axis=1, dtype=np.int64), axis=1)
+                inside = np.arange(at, at + len(near))[:, None] < cuts[None, :]
+                weight += (inside / np.maximum(counts, 1)).sum(axis=0)
+            found.append([{"n_rows": int(sizes[k]), "neff": float(weight[i] / np.sqrt(rows.shape[1]))} for k, i in enumerate(level)])
+        return pd.Series(found, dtype=object)
+
+    ranked = select_subset(df, deepest, strategy).where(F.length("seq") > 0).select("msa_id", "rank", "seq")
+    measured = pack_rows(ranked, ["msa_id"], ["rank"]).select("msa_id", F.posexplode(depths(F.col("rows.seq"))).alias("at", "d"))
+    level = F.array(*[F.struct(F.lit(a).alias("max_seq"), F.lit(b).alias("max_extra_seq")) for a, b in ladder])[F.col("at")]
+    return measured.select("msa_id", level["max_seq"].alias("max_seq"), level["max_extra_seq"].alias("max_extra_seq"), "d.n_rows", "d.neff")

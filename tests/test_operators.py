@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import scalar as fn
+from seqloom.functions import text
 from seqloom.operators import augment, columns, dedup, filters, groups, neff, pairing, results, select, structure, tiles
 
 
@@ -247,6 +248,25 @@ def test_lowest_by_a_callers_measure(msa, spark, window):
     assert {r["msa_id"]: r["neff"] for r in got.collect()} == pytest.approx(depth)
 
 
+@pytest.mark.parametrize("strategy", ["farthest_first", "random"])
+def test_one_comparison_serves_all_levels(msa, monkeypatch, strategy):
+    monkeypatch.setattr(select, "STEP", 5)
+    ladder = [(2, 1), (4, 4), (30, 30), (4, 4)]
+    df = msa(random_rows(25, 10, "ACD", seed=3) + ["A" * 10] * 3, random_rows(4, 6, "ACD", seed=4))
+    got = {(r["msa_id"], r["max_seq"]): (r["n_rows"], r["neff"]) for r in select.neff_by_depth(df, ladder, strategy).collect()}
+    ranked = select.select_subset(df, 60, strategy)
+    for a, b_ in ladder:
+        for r in neff.neff(ranked.where(F.col("rank") < a + b_)).collect():
+            assert got[r["msa_id"], a] == (r["n_rows"], pytest.approx(r["neff"]))
+
+
+@pytest.mark.parametrize("width, letters, kind", [(60, 22, np.uint8), (130, 3, np.uint8), (65, 40, np.uint32), (1, 1, np.uint8)])
+def test_pair_matches_by_bit_planes(width, letters, kind):
+    rng = np.random.default_rng(width)
+    a, b_ = (rng.integers(60, 60 + letters, (n, width)).astype(kind) for n in (17, 9))
+    assert (text.pair_matches(a, b_) == (a[:, None, :] == b_[None, :, :]).sum(axis=2)).all()
+
+
 def test_selection_rules(msa, spark):
     rows = random_rows(10, 25, "ACDEFGHIKL", seed=4)
     df = msa(rows)
