@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from seqloom.catalog import bindings as b
@@ -275,3 +277,53 @@ def round_trip_rows(spark, sf_dir):
         ).select("msa_id", "seq_idx", "seq")
 
     return generate.round_trip(seeds, 3, step)
+
+
+_NOISE = {"encoder_perturb": ("[0.03, 0.07, 0.12, 0.18, 0.25, 0.35, 0.50, 0.70]", 1), "embedding_walk_full": ("[0.03, 0.07, 0.12, 0.20, 0.35]", 2)}
+_DRAWS = " UNION ALL ".join(
+    f"SELECT vec_id AS query_id, '{s}' AS strategy, k * 2 + r AS request_no, CAST({v} AS DOUBLE[])[k + 1] AS sigma, {layers} AS layers FROM embeddings, range({v.count(',') + 1}) a(k), range(2) c(r)"
+    for s, (v, layers) in _NOISE.items()
+)
+
+
+def _moved_sql() -> str:
+    gauss = [
+        f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {b.uniform_sql('query_id', 'request_no', str(layer), 'pos', repr('r'))})) * "
+        f"cos({2.0 * math.pi!r}::DOUBLE * {b.uniform_sql('query_id', 'request_no', str(layer), 'pos', repr('a'))}))"
+        for layer in (0, 1)
+    ]
+    return f"CASE WHEN layers = 1 THEN x + sigma * 1.0::DOUBLE * {gauss[0]} ELSE x + sigma * 0.8::DOUBLE * {gauss[0]} + sigma * 1.0::DOUBLE * {gauss[1]} END"
+
+
+@query(
+    "GEN6 GEN7 SMP9 SMP10 FN13 FLT1",
+    f"WITH r AS ({_DRAWS}), cell AS (SELECT vec_id AS query_id, unnest(range(len(embedding)))::INT AS pos, unnest(embedding::DOUBLE[]) AS x, len(embedding) AS n FROM embeddings), "
+    f"moved AS (SELECT query_id, strategy, request_no, n, pos, {_moved_sql()} AS x FROM r JOIN cell USING (query_id)), "
+    "vec AS (SELECT query_id, strategy, request_no, n, list(x ORDER BY pos) AS v FROM moved GROUP BY ALL), "
+    "win AS (SELECT *, unnest(range(n)) AS pos FROM vec), best AS (SELECT query_id, strategy, request_no, n, pos, list_transform(range(20), lambda k: v[(pos + k) % n + 1]) AS w FROM win) "
+    "SELECT query_id, strategy, request_no, string_agg(substr('acdefghiklmnpqrstvwy', list_position(w, list_max(w)), 1), '' ORDER BY pos) AS seq FROM best GROUP BY query_id, strategy, request_no",
+)
+def noisy_state_candidates(spark, sf_dir):
+    """The noise strategies on vectors as states: two returns per sigma, decoded and of full length."""
+    from seqloom.alphabets import THREE_DI_ALPHABET
+    from seqloom.plans import vectors
+
+    states = b.vectors(spark, sf_dir).withColumnRenamed("vec_id", "query_id")
+    ids = states.select("query_id")
+    asked = None
+    for s in _NOISE:
+        part = requests.strategy_requests(ids, s, {"num_return_sequences": 2})
+        asked = part if asked is None else asked.unionByName(part)
+    out = vectors.vector_candidates(asked, states, vectors.window_decoder(THREE_DI_ALPHABET), F.lit(64))
+    return out.select("query_id", "strategy", "request_no", "seq")
+
+
+@query("GEN8 SMP11 FN13")
+def walked_state_candidates(spark, sf_dir):
+    """The walk strategy with its full settings: ten components, six steps, fifty noisy copies."""
+    from seqloom.alphabets import THREE_DI_ALPHABET
+    from seqloom.plans import vectors
+
+    states = b.vectors(spark, sf_dir).withColumnRenamed("vec_id", "query_id")
+    asked = requests.strategy_requests(states.select("query_id"), "embedding_walk_encoder", {"num_return_sequences": 1})
+    return vectors.vector_candidates(asked, states, vectors.window_decoder(THREE_DI_ALPHABET), F.lit(64))

@@ -266,8 +266,9 @@ def principal_walk(
     )
 
     def walk(batches):
-        for pdf in batches:
-            base = np.stack(pdf[vector].to_numpy()).astype(float) if len(pdf) else np.zeros((0, 1))
+        # Vectors of one length go through together.
+        for pdf in (part for batch in batches for _, part in batch.groupby(batch[vector].str.len())):
+            base = np.stack(pdf[vector].to_numpy()).astype(float)
             clouds = np.array([np.stack(draws) for draws in pdf["__draws"]], dtype=float).reshape(len(base), n_samples, -1)
             # All rows of the batch at once: the right singular vectors of every centred cloud.
             axes = np.linalg.svd(clouds - clouds.mean(axis=1, keepdims=True), full_matrices=False)[2][:, :n_components]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import scalar as fn
 from seqloom.functions import text
 from seqloom.operators import augment, columns, dedup, filters, groups, neff, pairing, results, select, structure, tiles
+from seqloom.plans import requests, vectors
 
 
 def random_rows(n, width, letters="ACDE", seed=1, near=0.5):
@@ -492,3 +493,26 @@ def test_best_rows(spark):
     assert got == {"fixed_count_best": "best", "fold_aware_best": "best", "vram_aware_best": "light"}
     got = {r["objective"]: r["strategy"] for r in results.best_rows(df, 0.5, 99.0).collect()}
     assert got == {"fixed_count_best": "best"}
+
+
+def test_vector_strategies_share_one_request_table(spark):
+    """Noise, layered noise and walks in one table; foreign strategies, missing states and odd lengths give no rows."""
+    states = spark.createDataFrame([(1, [float(i * 5 % 24) for i in range(24)]), (2, [0.5] * 5)], "query_id long, vector array<double>")
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "query_id long")
+    wanted = {"encoder_perturb": {"noise_scales": [1e-9, 5.0], "num_return_sequences": 2}, "embedding_walk_full": {"noise_scales": [3.0], "num_return_sequences": 3}}
+    wanted["embedding_walk_encoder"] = {"n_pca_components": 2, "step_sizes": [0.0, 40.0], "num_return_sequences": 2}
+    asked = requests.strategy_requests(ids, "baseline", {"num_return_sequences": 4})
+    for s, conf in wanted.items():
+        asked = asked.unionByName(requests.strategy_requests(ids, s, conf))
+    decode = vectors.window_decoder("acdefg")
+    got = vectors.vector_candidates(asked, states, decode, F.lit(24), samples=6).collect()
+    plain = states.where("query_id = 1").select(decode(F.col("vector")).alias("s")).first()["s"]
+    by = {}
+    for r in got:
+        assert r["query_id"] == 1 and len(r["seq"]) == 24
+        by.setdefault(r["strategy"], {})[r["request_no"]] = r["seq"]
+    assert {s: len(x) for s, x in by.items()} == {"encoder_perturb": 4, "embedding_walk_full": 3, "embedding_walk_encoder": 8}
+    assert by["encoder_perturb"][0] == by["encoder_perturb"][1] == plain and len(set(by["encoder_perturb"].values())) == 3
+    assert len(set(by["embedding_walk_full"].values())) == 3
+    walks = by["embedding_walk_encoder"]
+    assert walks[0] == walks[1] == walks[4] == plain and walks[2] == walks[3] != plain and walks[6] != walks[2]
