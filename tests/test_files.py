@@ -200,6 +200,15 @@ def test_benchmark_folder_and_strategy_job(spark, tmp_path):
     assert shown == {"round_trip": ("0.316", "0.500"), "single_sequence": ("0.000", "—")}
 
 
+def test_ids_with_one_safe_name_keep_apart(spark, tmp_path):
+    rows = [(i, k, "x", f"{'AC' if i == 'a/b' else 'DE'}") for i in ("a/b", "a_b", "c") for k in range(2)]
+    sinks.write_records(spark.createDataFrame(rows, "msa_id string, seq_idx long, label string, seq string"), str(tmp_path / "out"))
+    folders = sorted(f for f in os.listdir(tmp_path / "out") if f.startswith("msa_id="))
+    assert len(folders) == 3 and folders[0] == "msa_id=a_b" and folders[2] == "msa_id=c"
+    texts = {f: "".join((tmp_path / "out" / f / x).read_text() for x in os.listdir(tmp_path / "out" / f) if x.startswith("part")) for f in folders}
+    assert texts["msa_id=a_b"] == ">x\nAC\n" * 2 and texts[folders[1]] == ">x\nDE\n" * 2
+
+
 def test_sink_labels(spark, tmp_path):
     df = spark.createDataFrame([("m", 0, None, "AC"), ("m", 1, "own", "AD")], "msa_id string, seq_idx long, label string, seq string")
     sinks.append_records(df, str(tmp_path / "out"))
