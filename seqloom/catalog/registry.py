@@ -28,7 +28,7 @@ def query(covers: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 MODULES = [
-    "alignments", "augmentation", "columns", "complexes", "filtering", "outcomes", "plans", "selection",
+    "alignments", "augmentation", "benchmark", "columns", "complexes", "filtering", "outcomes", "plans", "selection",
     "sequences", "structures", "tables",
 ]
 

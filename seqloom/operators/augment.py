@@ -129,17 +129,18 @@ def _mutated(keys: list[Column], n_change: Column, alphabet: str, seed: int) ->
         last = F.element_at(pick["options"], -1)
         return F.coalesce(F.get(hit, F.lit(0))["to_aa"], last["to_aa"], c)
 
-    def cell(highest: Column, c: Column, i: Column) -> Column:
-        u = hash_uniform(*keys, i, F.lit("s"), seed=seed)
+    def cell(highest: Column, c: Column, own: Column) -> Column:
+        u = hash_uniform(*keys, own["i"], F.lit("s"), seed=seed)
         options = F.struct(u.alias("u"), F.col("table")[c].alias("options"))
-        return F.when(ticket(c, i) <= highest, bind(options, lambda pick: draw(c, pick))).otherwise(c)
+        return F.when(own <= highest, bind(options, lambda pick: draw(c, pick))).otherwise(c)
 
-    def changed(highest: Column) -> Column:
-        return F.array_join(F.transform(letters(F.col("seq")), lambda c, i: cell(highest, c, i)), "")
+    def changed(tickets: Column) -> Column:
+        # The highest ticket drawn decides every position on its own, so long rows cost no more per letter.
+        drawn = F.slice(F.sort_array(F.array_compact(tickets)), 1, F.greatest(n_change, F.lit(0)).cast("int"))
+        return bind(F.array_max(drawn), lambda highest: F.array_join(F.zip_with(letters(F.col("seq")), tickets, lambda c, own: cell(highest, c, own)), ""))
 
-    # The highest ticket drawn decides every position on its own, so long rows cost no more per letter.
-    tickets = F.slice(F.sort_array(F.array_compact(F.transform(letters(F.col("seq")), ticket))), 1, F.greatest(n_change, F.lit(0)).cast("int"))
-    return bind(F.array_max(tickets), changed)
+    # Bound, a letter's ticket is hashed once.
+    return bind(F.transform(letters(F.col("seq")), ticket), changed)
 
 
 def mutate_rows(

@@ -244,7 +244,7 @@ def strategy_job(
     # A request may give several rows, so rows are numbered per job.
     extra = [F.col(c) for c in ("request_no", "seq") if c in made.columns]
     rows = row_numbers(made.where(F.col("seq").isNotNull()), key, index_bucket("request_no"), extra, "seq_idx")
-    table, alignments = evaluate_strategies(rows, jobs, target_n)
+    table, alignments = evaluate_strategies(cut_lineage(rows), jobs, target_n)
     costs = [
         (F.sum("gen_time_s") if "gen_time_s" in made.columns else F.lit(None)).cast("double").alias("gen_time_s"),
         (F.max("peak_vram_gb") if "peak_vram_gb" in made.columns else F.lit(None)).cast("double").alias("peak_vram_gb"),
@@ -255,7 +255,8 @@ def strategy_job(
     if structures is not None:
         compared = structure_metrics(*structures).join(jobs.select(*key, F.concat_ws("__", *key).alias("pair_id")), "pair_id").drop("pair_id")
         scores = scores.drop("rmsd", "tm_score").join(compared, key, "full")
-    scored = results.with_scores(full, scores).select(*RESULT_FIELDS)
+    # Few rows, and read by the summary, the writers and the caller.
+    scored = cut_lineage(results.with_scores(full, scores).select(*RESULT_FIELDS))
     summary = results.strategy_summary(scored)
     if out_path is not None:
         named = alignments.withColumn("msa_id", F.concat_ws("__", *key)).withColumn("seq_idx", F.col("seq_idx") + 1)

@@ -64,3 +64,15 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     """Deletes a folder below the shared one, by the file system that holds it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def new_files_named(spark: SparkSession, staged: str, path: str, suffix: str) -> None:
+    """Moves the one file of each ``<staged>/<column>=<name>`` to ``<path>/<name><suffix>`` and removes ``staged``."""
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = Path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.globStatus(Path(f"{staged}/*=*/part-*")):
+        source = found.getPath()
+        target = Path(f"{path.rstrip('/')}/{source.getParent().getName().split('=', 1)[1]}{suffix}")
+        if files.exists(target) or not files.rename(source, target):
+            raise FileExistsError(f"cannot write {target.toString()}")
+    files.delete(Path(staged), True)

@@ -209,6 +209,17 @@ def test_ids_with_one_safe_name_keep_apart(spark, tmp_path):
     assert texts["msa_id=a_b"] == ">x\nAC\n" * 2 and texts[folders[1]] == ">x\nDE\n" * 2
 
 
+def test_named_files(spark, tmp_path):
+    """A file per key under the key's name, lines in order; two keys of one name are refused, and so is a name that exists."""
+    df = spark.createDataFrame([("p1", 1, "B"), ("p1", 0, "A"), ("q/2", 0, "C")], "id string, at int, value string")
+    sinks.write_named(df, str(tmp_path / "out"), "id", ".fasta", "at")
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")} == {"p1.fasta": "A\nB\n", "q_2.fasta": "C\n"}
+    with pytest.raises(ValueError):
+        sinks.write_named(df.unionByName(df.withColumn("id", F.replace("id", F.lit("/"), F.lit("_")))), str(tmp_path / "two"), "id", ".fasta", "at")
+    with pytest.raises(FileExistsError):
+        sinks.write_named(df, str(tmp_path / "out"), "id", ".fasta", "at")
+
+
 def test_sink_labels(spark, tmp_path):
     df = spark.createDataFrame([("m", 0, None, "AC"), ("m", 1, "own", "AD")], "msa_id string, seq_idx long, label string, seq string")
     sinks.append_records(df, str(tmp_path / "out"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import scalar as fn
 from seqloom.functions import text
 from seqloom.operators import augment, columns, dedup, filters, groups, neff, pairing, results, select, structure, tiles
-from seqloom.plans import requests, vectors
+from seqloom.plans import generate, requests, tokens, vectors
 
 
 def random_rows(n, width, letters="ACDE", seed=1, near=0.5):
@@ -516,3 +516,65 @@ def test_vector_strategies_share_one_request_table(spark):
     assert len(set(by["embedding_walk_full"].values())) == 3
     walks = by["embedding_walk_encoder"]
     assert walks[0] == walks[1] == walks[4] == plain and walks[2] == walks[3] != plain and walks[6] != walks[2]
+
+
+def test_token_strategies_change_a_template_once(spark):
+    """Returns of a setting share a template; rates, seeds and variants give others; missing seeds and foreign strategies no rows."""
+    ids = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "query_id long, name string")
+    conf = {
+        "3di_perturb": {"n_3di_seeds": 2, "mutation_rates": [0.0, 0.5], "num_return_sequences": 3},
+        "encoder_only_3di_sub": {"mutation_rates": [0.2], "variants_per_rate": 2, "num_return_sequences": 2},
+        "temperature_sweep": {"temperatures": [0.5, 2.0], "num_return_sequences": 2},
+        "cnn_aa_predict": {"n_3di_seeds": 2},
+        "baseline": {"num_return_sequences": 2},
+    }
+    asked = requests.registered_requests(ids, list(conf), conf)
+    seeds = spark.createDataFrame([(1, 0, "acde" * 10), (1, 1, "wyxx" * 10), (2, 0, ""), (3, 0, None)], "query_id long, seed_no int, tokens string")
+    matrix = augment.grouped_matrix(spark, "m", ["acde", "wy"], 1.0, 1.0, -1.0)
+    out = tokens.template_chunks(asked, seeds, matrix, conf)
+    assert out.columns == ["query_id", "name", "strategy", "request_no", "params", "return_no", "chunk"]
+    got = {}
+    for r in out.collect():
+        assert (r["name"] == "x") == (r["query_id"] == 1) and r["params"].get("return_no", 0.0) == r["return_no"]
+        got.setdefault((r["query_id"], r["strategy"]), {})[r["request_no"]] = r["chunk"]
+    plan = {(r["query_id"], r["strategy"], r["request_no"]): r["params"] for r in asked.collect()}
+    for r in out.collect():
+        assert plan[r["query_id"], r["strategy"], r["request_no"]] == r["params"]
+    assert {k: len(v) for k, v in got.items() if k[0] == 1} == {(1, "3di_perturb"): 12, (1, "encoder_only_3di_sub"): 4, (1, "temperature_sweep"): 4, (1, "cnn_aa_predict"): 2}
+    assert {s for q, s in got if q == 2} == set(conf) - {"baseline"} and all(c == "" for (q, _), v in got.items() if q == 2 for c in v.values())
+    assert not any(q == 3 for q, _ in got)
+    first, second = "acde" * 10, "wyxx" * 10
+    perturbed = got[1, "3di_perturb"]
+    assert [perturbed[i] for i in (0, 1, 2, 6, 7, 8)] == [first] * 3 + [second] * 3
+    for at, plain, most in ((3, first, 20), (9, second, 10)):
+        assert perturbed[at] == perturbed[at + 1] == perturbed[at + 2] != plain
+        assert 0 < sum(a != b for a, b in zip(perturbed[at], plain)) <= most
+    # Tokens that the matrix does not know, and those outside the alphabet, stay.
+    assert all(c == "x" for i, c in enumerate(perturbed[9]) if i % 4 > 1)
+    sub = got[1, "encoder_only_3di_sub"]
+    assert sub[0] == sub[1] != sub[2] == sub[3]
+    assert set(got[1, "temperature_sweep"].values()) == {first} and got[1, "cnn_aa_predict"] == {0: first, 1: second}
+    with pytest.raises(ValueError):
+        tokens.template_chunks(asked, seeds, matrix.unionByName(matrix.withColumn("matrix", F.lit("n"))), conf)
+
+
+def test_each_strategy_meets_its_kernel(spark):
+    """A failure stays with its request and its strategy; a strategy without a kernel, or null, is skipped; no rows give no rows."""
+    rows = [(i, s, c) for i, (s, c) in enumerate([("up", "ab"), ("up", "bad"), ("back", "ab"), ("back", "bad"), ("none", "x"), (None, "y"), ("big", "z"), ("up", "c")])]
+    df = spark.createDataFrame(rows, "id int, strategy string, chunk string")
+
+    def up(pdf):
+        if (pdf["chunk"] == "bad").any():
+            raise ValueError("cannot")
+        return pdf.assign(seq=pdf["chunk"].str.upper())
+
+    def big(pdf):
+        raise MemoryError("out of memory")
+
+    kernels = {"up": up, "back": lambda pdf: pdf.assign(seq=pdf["chunk"].str[::-1]), "big": big}
+    got = {r["id"]: (r["seq"], r["status"], r["error"]) for r in generate.run_strategies(df, kernels).collect()}
+    assert got == {
+        0: ("AB", "ok", ""), 1: (None, "skipped", "cannot"), 2: ("ba", "ok", ""), 3: ("dab", "ok", ""), 4: (None, "skipped", "no kernel for strategy 'none'"),
+        5: (None, "skipped", "no kernel for strategy None"), 6: (None, "oom", "out of memory"), 7: ("C", "ok", ""),
+    }
+    assert generate.run_strategies(df.where("id < 0"), kernels).count() == 0
