@@ -101,7 +101,7 @@ _SUBSET_NEFF = (
 def lowest_depth_subsets(spark, sf_dir):
     from seqloom.operators.select import lowest_groups
 
-    _, depth = pairing.subset_depths(b.chain_rows(spark, sf_dir), 6, 20, 0.8)
+    depth = pairing.subset_depths(b.chain_rows(spark, sf_dir), 6, 20, 0.8)
     best = lowest_groups(depth.withColumn("neff", F.round("neff", 9)), ["complex_id"], "neff", "subset_id", 2)
     return best.select("complex_id", "subset_id", "n_rows", F.round("neff", 6).alias("neff"), "rank")
 

@@ -591,3 +591,23 @@ def test_sampled_products_of_many_chains(spark):
     assert len(got) == 90 and {len(r.seq) for r in got} == {80}
     assert len({(r.subset_id, r.seq) for r in got}) == 90
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_subsets_of_packed_and_joined_complexes(spark):
+    """Complexes that a task holds and larger ones give the same draws, depths and paired rows."""
+    rows = spark.createDataFrame(
+        [(x, c, i, s) for x in range(3) for c in range(3) for i, s in enumerate(random_rows(4 + x, 10, seed=7 * x + c))],
+        "complex_id long, chain_idx int, row_idx long, seq string",
+    )
+    few = {tuple(r) for r in pairing.sample_product(rows, 6, 4).collect()}
+    assert few == {tuple(r) for r in pairing.sample_product(rows, 6, 4, max_group_rows=1).collect()}
+    assert len(few) == 72
+    only = spark.createDataFrame([(1, 2)], "complex_id long, subset_id int")
+    for limit in (1, 4096):
+        got = {tuple(r) for r in pairing.sample_product(rows, 6, 4, only=only, max_group_rows=limit).collect()}
+        assert got == {t for t in few if t[:2] == (1, 2)}
+    depths = [
+        sorted((r.complex_id, r.subset_id, r.n_rows, round(r.neff, 9)) for r in pairing.subset_depths(rows, 4, 6, 0.5, max_group_rows=limit).collect())
+        for limit in (1, 4096)
+    ]
+    assert depths[0] == depths[1] and len(depths[0]) == 12
