@@ -611,3 +611,27 @@ def test_subsets_of_packed_and_joined_complexes(spark):
         for limit in (1, 4096)
     ]
     assert depths[0] == depths[1] and len(depths[0]) == 12
+
+
+def test_frames_of_a_failing_batch_are_put_together_once(monkeypatch):
+    """Order, rows and messages as with halves put together one by one, in few frames however many requests fail."""
+    import pandas as pd
+
+    def model(part):
+        if (part["chunk"] % 5 == 0).any():
+            raise ValueError("no fives")
+        if (part["chunk"] % 7 == 0).any():
+            raise MemoryError("out of memory")
+        return part.assign(seq=part["chunk"].astype(str))
+
+    part = pd.DataFrame({"chunk": range(1, 201)})
+    joined, concat = [], pd.concat
+    monkeypatch.setattr(generate.pd, "concat", lambda frames, *a, **k: joined.append(1) or concat(frames, *a, **k))
+    got = generate._safely(model, part, ["chunk", "seq", "status", "error"])
+    assert len(joined) <= 2
+    assert got["chunk"].tolist() == list(range(1, 201))
+    want = ["skipped" if i % 5 == 0 else "oom" if i % 7 == 0 else "ok" for i in range(1, 201)]
+    assert got["status"].tolist() == want
+    assert [e == "" for e in got["error"]] == [w == "ok" for w in want]
+    lost = generate._safely(lambda x: x, part, ["chunk", "seq", "status", "error"])
+    assert set(lost["status"]) == {"skipped"} and len(lost) == 200
