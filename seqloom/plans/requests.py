@@ -69,8 +69,12 @@ def generation_requests(
 
 
 def placed_candidates(requests: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
-    """Generator output joined back to its request by key and padded to the query's width."""
-    back = requests.join(results.select(*keys, F.col("seq").alias("__out")), keys)
+    """Generator output joined back to its request by key and padded to the query's width.
+
+    ``keys`` may name what several requests share, such as their chunk: each of them then gets the output, which travels once.
+    """
+    # Size estimates do not see how far queries fan out into requests: without the hint they could be broadcast.
+    back = requests.hint("merge").join(results.select(*keys, F.col("seq").alias("__out")), keys)
     padded = pad_sequence(F.col("__out"), F.col("start").cast("int"), F.col("full_len").cast("int"))
     return back.withColumn("seq", padded).drop("__out")
 

@@ -1,0 +1,26 @@
+"""Steps whose cost once grew too fast: same results, done the cheaper way."""
+
+import hashlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from seqloom.catalog import plans
+
+
+@pytest.fixture
+def documents(spark, tmp_path):
+    rows = [(1, "Ab, cdE" * 9, "en"), (2, "x", "en"), (3, "", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_outputs_travel_once_per_chunk(spark, documents, capsys):
+    out = plans.placed_candidates(spark, documents)
+    out.explain()
+    join = next(line for line in capsys.readouterr().out.splitlines() if "Join" in line)
+    assert "SortMergeJoin" in join and "coverage_no" in join and "seq_idx" not in join
+    got = {(r["query_id"], r["run_idx"], r["seq_idx"]): r["seq"] for r in out.collect()}
+    assert len(got) == 96 + 48  # a text of one letter has no half
+    assert {got[1, 2, s] for s in range(1, 49) if (s - 1) // 4 % 2} == {hashlib.md5(("ABCDE" * 9)[::-1].encode()).hexdigest()}
