@@ -3,10 +3,12 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from seqloom.catalog import plans
+from seqloom.operators import columns
+from seqloom.operators.tiles import letter_codes, one_hot
 
 
 @pytest.fixture
@@ -24,3 +26,19 @@ def test_outputs_travel_once_per_chunk(spark, documents, capsys):
     got = {(r["query_id"], r["run_idx"], r["seq_idx"]): r["seq"] for r in out.collect()}
     assert len(got) == 96 + 48  # a text of one letter has no half
     assert {got[1, 2, s] for s in range(1, 49) if (s - 1) // 4 % 2} == {hashlib.md5(("ABCDE" * 9)[::-1].encode()).hexdigest()}
+
+
+@pytest.mark.parametrize("n", [2, 9, 60, 150, 700])
+def test_coupling_of_rows_leaves_the_full_inverse_alone(monkeypatch, n):
+    rng = np.random.default_rng(n)
+    rows = ["A-" + "".join(r) for r in rng.choice(list("ACDEFGHIKLMNPQRSTVWY-X?"), (n, 25))]
+    y = one_hot(letter_codes(rows))
+    both = np.triu(y.T @ y)
+    a, b = np.nonzero(both)
+    want = columns._coevolution_from_counts(pd.DataFrame({"a": a, "b": b, "n": both[a, b]}), 27, n)
+    monkeypatch.setattr(columns, "_block_norms", None)
+    assert columns._coevolution_from_rows(rows) == pytest.approx(want, abs=1e-12)
+
+
+def test_coupling_of_equal_rows_is_zero():
+    assert not columns._coevolution_from_rows(["ACD-"] * 5).any()
