@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from seqloom.alphabets import FALLBACK_MUTATION_RATE, MUTABLE_ALPHABET
 from seqloom.functions.scalar import bind, letters
-from seqloom.functions.uniform import hash_gauss, hash_index, hash_uniform
+from seqloom.functions.uniform import BULK_PLACES, hash_gauss, hash_index, hash_uniform, hash_uniforms, place_uniforms, single_uniform
 from seqloom.operators.filters import valid_chunks
 from seqloom.operators.groups import key_fields, row_numbers
 
@@ -53,11 +53,12 @@ def mask_rows(df: DataFrame, fraction: float, key: list[str] = KEY, seed: int =
         return df
     keys = [F.col(k) for k in key] + [F.col("seq_idx")]
 
-    def cell(c: Column, i: Column) -> Column:
-        return F.when(c.rlike("^[A-Z]$") & (hash_uniform(*keys, i, seed=seed) < fraction), F.lit("X")).otherwise(c)
+    def cell(c: Column, u: Column) -> Column:
+        return F.when((u < fraction) & c.between("A", "Z"), F.lit("X")).otherwise(c)
 
-    masked = F.array_join(F.transform(letters(F.col("seq")), cell), "")
-    return df.withColumn("seq", F.when(F.col("seq_idx") == 0, F.col("seq")).otherwise(masked))
+    drawn = df.withColumn("__u", hash_uniforms(F.size(letters(F.col("seq"))), *keys, seed=seed))
+    masked = F.array_join(F.zip_with(letters(F.col("seq")), "__u", cell), "")
+    return drawn.withColumn("seq", F.when(F.col("seq_idx") == 0, F.col("seq")).otherwise(masked)).drop("__u")
 
 
 # --- Substitution matrices --------------------------------------------------------------------------
@@ -116,6 +117,45 @@ def _attach_matrix(df: DataFrame, matrix: DataFrame, alphabet: str) -> DataFrame
     return df.join(maps, "matrix", "left")
 
 
+def _drawn(c: Column, pick: Column) -> Column:
+    hit = F.filter(pick["options"], lambda o: pick["u"] < o["cum_hi"])
+    # The last bound can fall short of 1 by rounding; the last letter takes what is left.
+    last = F.element_at(pick["options"], -1)
+    return F.coalesce(F.get(hit, F.lit(0))["to_aa"], last["to_aa"], c)
+
+
+def changed_places(prefix: str, seq: str, uniforms: np.ndarray, n: int, alphabet: str, seed: int) -> np.ndarray:
+    """The ``n`` mutable places of lowest uniforms, each with the uniform of its substitute added."""
+    at = np.array([i for i, c in enumerate(seq) if c in alphabet], dtype=np.int64)
+    at = at[np.lexsort((at, uniforms[at]))[:n]]
+    return at + np.array([single_uniform(f"{prefix}{i}:s:{seed}") for i in at])
+
+
+def _bulk_places(keys: list[Column], n_change: Column, alphabet: str, seed: int) -> Column:
+    """What to change in rows of up to BULK_PLACES letters (see :func:`changed_places`); nothing in longer ones."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def places(prefix: pd.Series, seq: pd.Series, n: pd.Series) -> pd.Series:
+        drawn = place_uniforms(prefix.tolist(), seq.str.len().to_numpy(dtype=np.int64), f":p:{seed}")
+        rows = zip(prefix, seq, drawn, n, strict=True)
+        return pd.Series([changed_places(p, s, u, k, alphabet, seed) for p, s, u, k in rows], dtype=object)
+
+    few = F.when((n_change > 0) & (F.length("seq") <= BULK_PLACES), F.col("seq")).otherwise("")
+    return places(F.concat_ws(":", *[k.cast("string") for k in keys], F.lit("")), few, F.coalesce(n_change, F.lit(0)))
+
+
+def _with_substitutes(found: Column) -> Column:
+    """``seq`` with a substitute at each of the places found."""
+
+    def put(text: Column, x: Column) -> Column:
+        at = F.floor(x).cast("int") + 1
+        c = F.substr(text, at, F.lit(1))
+        options = F.struct((x - F.floor(x)).alias("u"), F.col("table")[c].alias("options"))
+        return F.overlay(text, bind(options, lambda pick: _drawn(c, pick)), at)
+
+    return F.aggregate(found, F.col("seq"), put)
+
+
 def _mutated(keys: list[Column], n_change: Column, alphabet: str, seed: int) -> Column:
     """Draws distinct mutable positions (lowest hashes first) and one substitute for each."""
 
@@ -123,16 +163,10 @@ def _mutated(keys: list[Column], n_change: Column, alphabet: str, seed: int) ->
         own = F.struct(hash_uniform(*keys, i, F.lit("p"), seed=seed).alias("u"), i.alias("i"))
         return F.when(F.instr(F.lit(alphabet), c) > 0, own)
 
-    def draw(c: Column, pick: Column) -> Column:
-        hit = F.filter(pick["options"], lambda o: pick["u"] < o["cum_hi"])
-        # The last bound can fall short of 1 by rounding; the last letter takes what is left.
-        last = F.element_at(pick["options"], -1)
-        return F.coalesce(F.get(hit, F.lit(0))["to_aa"], last["to_aa"], c)
-
     def cell(highest: Column, c: Column, own: Column) -> Column:
         u = hash_uniform(*keys, own["i"], F.lit("s"), seed=seed)
         options = F.struct(u.alias("u"), F.col("table")[c].alias("options"))
-        return F.when(own <= highest, bind(options, lambda pick: draw(c, pick))).otherwise(c)
+        return F.when(own <= highest, bind(options, lambda pick: _drawn(c, pick))).otherwise(c)
 
     def changed(tickets: Column) -> Column:
         # The highest ticket drawn decides every position on its own, so long rows cost no more per letter.
@@ -151,9 +185,13 @@ def mutate_rows(
     Everything happens inside the row (arrays and a broadcast table), without exploding residues.
     A residue the matrix does not know stays, and so does a row without work to do.
     """
-    text = _mutated([F.col(k) for k in keys], n_change, alphabet, seed)
-    joined = _attach_matrix(df, matrix, alphabet)
-    return joined.withColumn("seq", F.when(n_change > 0, text).otherwise(F.col("seq"))).drop("table")
+    on = [F.col(k) for k in keys]
+    # The places come before the table, which would otherwise go through the Python step with every row.
+    found = df.withColumns({"__changes": n_change, "__places": _bulk_places(on, n_change, alphabet, seed)})
+    n = F.col("__changes")
+    text = F.when(F.length("seq") <= BULK_PLACES, _with_substitutes(F.col("__places"))).otherwise(_mutated(on, n, alphabet, seed))
+    out = _attach_matrix(found, matrix, alphabet)
+    return out.withColumn("seq", F.when(n > 0, text).otherwise(F.col("seq"))).drop("table", "__changes", "__places")
 
 
 def percent_changes(rate: Column) -> Column:
@@ -196,9 +234,9 @@ def evolve(
     rate_of = F.create_map(*[F.lit(x) for m, rate in rates.items() for x in (m, float(rate))]) if rates else F.create_map()
     rate = F.coalesce(rate_of[F.col("matrix")], F.lit(float(FALLBACK_MUTATION_RATE))) if rates else F.lit(float(FALLBACK_MUTATION_RATE))
     marked = ranked.withColumn("__at", draw).join(names, "__at", "left").withColumn(
-        "__k", F.when(F.col("matrix").isNotNull(), percent_changes(rate)).otherwise(F.lit(0))
+        "__n_change", F.when(F.col("matrix").isNotNull(), percent_changes(rate)).otherwise(F.lit(0))
     )
-    changed = mutate_rows(marked, matrix, F.col("__k"), [*key, "seq_idx"], seed=seed)
+    changed = mutate_rows(marked, matrix, F.col("__n_change"), [*key, "seq_idx"], seed=seed)
     label = F.when(
         F.col("matrix").isNotNull(), F.concat("label", F.lit("_evolved_"), F.replace("matrix", F.lit(" "), F.lit("_")))
     ).otherwise(F.col("label"))
