@@ -54,33 +54,26 @@ def test_md5_of_many_messages():
         assert uniform.md5_heads(texts).tolist() == want
 
 
-def test_draws_per_place_are_the_single_draws(spark, monkeypatch):
+def test_draws_per_place_are_the_single_draws(monkeypatch):
     monkeypatch.setattr(uniform, "BULK_CELLS", 150)
-    rows = [(None if i % 7 == 0 else i * 10**i, ("é" * i) or None, [0, 1, 9, 10, 11, 130, 513, None, 60][i % 9]) for i in range(18)]
-    df = spark.createDataFrame(rows, "a long, b string, n int")
-    for last in (None, "p"):
-        more = [] if last is None else [F.lit(last)]
-        one = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: uniform.hash_uniform(F.col("a"), F.col("b"), i, *more, seed=3)))
-        one = F.when(F.col("n") == 0, F.array().cast("array<double>")).otherwise(one)
-        got = df.select(uniform.hash_uniforms(F.col("n"), F.col("a"), F.col("b"), last=last, seed=3).alias("got"), one.alias("want")).collect()
-        assert [r["got"] for r in got] == [r["want"] for r in got]
-
-
-def test_masks_and_mutations_hash_in_bulk(spark, msa, monkeypatch):
-    """No draw of a short row goes through a hash of its own; a long row draws the same as before."""
+    prefixes = ["é" * (i % 5) + f"{i * 10**i}:" for i in range(18)]
+    counts = np.array([[0, 1, 9, 10, 11, 130, 513, 1001, 60][i % 9] for i in range(18)])
+    got = uniform.place_uniforms(prefixes, counts, ":p:3")
+    assert [g.tolist() for g in got] == [[uniform.single_uniform(f"{p}{i}:p:3") for i in range(n)] for p, n in zip(prefixes, counts)]
+
+
+def test_mutations_hash_in_bulk(spark, msa, monkeypatch):
+    """No draw of a short row goes through a hash of its own; a long row draws the same."""
     df = msa(["ACDE-fgX", "ACDEACDE", "", "CD" * 300])
     matrix = augment.grouped_matrix(spark, "m", ["AC", "DE"]).unionByName(augment.grouped_matrix(spark, "w", ["ACDE"]))
     marked = df.withColumn("matrix", F.lit("m"))
 
-    def both():
-        masked = augment.mask_rows(df, 0.5).orderBy("seq_idx").collect()
-        return masked, augment.mutate_rows(marked, matrix, augment.percent_changes(F.lit(40.0)), ["msa_id", "seq_idx"]).orderBy("seq_idx").collect()
+    def rows():
+        return augment.mutate_rows(marked, matrix, augment.percent_changes(F.lit(40.0)), ["msa_id", "seq_idx"]).orderBy("seq_idx").collect()
 
-    want = both()
+    want = rows()
     for places in (-1, 10_000):
-        monkeypatch.setattr(uniform, "BULK_PLACES", places)
         monkeypatch.setattr(augment, "BULK_PLACES", places)
-        assert both() == want
-    for module in (uniform, augment):
-        monkeypatch.setattr(module, "hash_uniform", lambda *keys, seed=0: F.lit(2.0))
-    assert both() == want
+        assert rows() == want
+    monkeypatch.setattr(augment, "hash_uniform", lambda *keys, seed=0: F.lit(2.0))
+    assert rows() == want
