@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom.catalog import plans
 from seqloom.functions import uniform
-from seqloom.operators import augment, columns
+from seqloom.operators import augment, columns, dedup, filters, groups
 from seqloom.operators.tiles import letter_codes, one_hot
 
 
@@ -77,3 +77,43 @@ def test_mutations_hash_in_bulk(spark, msa, monkeypatch):
         assert rows() == want
     monkeypatch.setattr(augment, "hash_uniform", lambda *keys, seed=0: F.lit(2.0))
     assert rows() == want
+
+
+def test_substitutes_are_put_in_bulk(spark, msa, monkeypatch):
+    """Short rows of a small table are changed in batches; a table that is not small gives the same rows."""
+    seqs = ["ACDE-fgX", "", "é" + "ACDEFW" * 3, "AC" * 77, "ACDEACDE"]
+    matrix = augment.grouped_matrix(spark, "m", ["AC", "DE"]).unionByName(augment.grouped_matrix(spark, "w", ["ACDE"]))
+    names = F.element_at(F.array(F.lit("w"), F.lit("m"), F.lit("none"), F.lit(None)), (F.col("seq_idx") % 4 + 1).cast("int"))
+    marked = msa(seqs, seqs[::-1]).withColumn("matrix", names)
+
+    def rows():
+        return augment.mutate_rows(marked, matrix, augment.percent_changes(F.lit(60.0)), ["msa_id", "seq_idx"]).orderBy("msa_id", "seq_idx").collect()
+
+    with monkeypatch.context() as m:
+        m.setattr(augment, "MAX_MATRIX_ROWS", 1)
+        want = rows()
+    monkeypatch.setattr(augment, "_with_substitutes", None)
+    assert rows() == want and [r["seq"] for r in want] != seqs + seqs[::-1]
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_small_groups_are_scanned_together(monkeypatch, threshold):
+    rng = np.random.default_rng(5)
+    groups = [["".join(r) for r in rng.choice(list("AC-é"), (n, width))] for n in (0, 1, 2, 3, 9, 16) for width in (1, 7) for _ in range(5)]
+    groups += [["", ""], ["AC", "A", "AC"]]
+    want = [dedup._scan(g, threshold) for g in groups]
+    monkeypatch.setattr(dedup, "SCAN_CELLS", 40)
+    monkeypatch.setattr(dedup, "_scan_even", None)
+    assert dedup.scans(groups, threshold) == want
+
+
+def test_groups_are_counted_before_the_filters(spark, msa, monkeypatch):
+    """The count of rows per alignment does not work out the filters; large alignments keep the same rows."""
+    rng = np.random.default_rng(2)
+    rows = ["".join(r) for r in rng.choice(list("ACDEFGHIKL"), (30, 20))]
+    df, plans_seen = msa(rows + rows[:5] + ["A" * 20] * 3, rows[:4]), []
+    cut = groups.cut_lineage
+    monkeypatch.setattr(groups, "cut_lineage", lambda x: plans_seen.append(x._jdf.queryExecution().toString()) or cut(x))
+    got = [sorted(map(tuple, filters.filter_rows(df, 20, max_group_rows=limit).collect())) for limit in (4096, 10)]
+    assert got[0] == got[1] and len(got[0]) == 34
+    assert "regexp_replace" not in plans_seen[0]
