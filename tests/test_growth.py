@@ -117,3 +117,23 @@ def test_groups_are_counted_before_the_filters(spark, msa, monkeypatch):
     got = [sorted(map(tuple, filters.filter_rows(df, 20, max_group_rows=limit).collect())) for limit in (4096, 10)]
     assert got[0] == got[1] and len(got[0]) == 34
     assert "regexp_replace" not in plans_seen[0]
+
+
+@pytest.fixture
+def spread_msa(spark):
+    """One large alignment whose seq_idx leaves wide gaps, and two small ones."""
+    ids = spark.range(4000).select(F.lit("big").alias("msa_id"), (F.col("id") * 100000 + 7).alias("seq_idx"), "id")
+    few = spark.range(3).select(F.when(F.col("id") < 2, "pair").otherwise("one").alias("msa_id"), F.col("id").alias("seq_idx"), "id")
+    letter = F.element_at(F.split(F.lit("A,C,D,-"), ","), (F.pmod(F.xxhash64("id"), F.lit(4)) + 1).cast("int"))
+    return ids.unionByName(few).select("msa_id", "seq_idx", F.concat(letter, F.lit("CD-E")).alias("seq"))
+
+
+def test_profile_copies_are_bounded(spread_msa, capsys):
+    """A large alignment has as many copies of its profile as there are parts, not one per stretch of seq_idx."""
+    parts = spread_msa.groupBy("msa_id").agg(F.countDistinct(groups.salt()).alias("n"), F.countDistinct(groups.index_bucket()).alias("b")).collect()
+    found = {r["msa_id"]: (r["n"], r["b"]) for r in parts}
+    assert found["big"][0] <= groups.SALTS < found["big"][1] and found["pair"] == found["one"] == (1, 1)
+    scored = columns.rarity_scores(spread_msa)
+    scored.explain()
+    assert "xxhash64" in capsys.readouterr().out
+    assert scored.count() == 4003 and scored.where("score is null").count() == 0
