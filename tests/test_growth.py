@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom.catalog import plans
 from seqloom.functions import uniform
-from seqloom.operators import augment, columns, dedup, filters, groups
+from seqloom.operators import augment, columns, dedup, filters, groups, select
 from seqloom.operators.tiles import letter_codes, one_hot
 
 
@@ -137,3 +137,14 @@ def test_profile_copies_are_bounded(spread_msa, capsys):
     scored.explain()
     assert "xxhash64" in capsys.readouterr().out
     assert scored.count() == 4003 and scored.where("score is null").count() == 0
+
+
+@pytest.mark.parametrize("strategy", ["random", "column_entropy"])
+def test_large_groups_are_joined_by_parts(spread_msa, capsys, strategy):
+    """No join or count of a selection brings all rows of an alignment together."""
+    out = select.select_subset(spread_msa, 3, strategy)
+    out.explain()
+    joins = [line for line in capsys.readouterr().out.splitlines() if "Join" in line and "msa_id" in line]
+    assert joins and all("__salt" in line for line in joins if "Sort" in line)
+    got = out.groupBy("msa_id").agg(F.count("*").alias("n"), F.min_by("seq_idx", "rank").alias("q")).collect()
+    assert {r["msa_id"]: (r["n"], r["q"]) for r in got} == {"big": (3, 7), "pair": (2, 0), "one": (1, 2)}
