@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from seqloom.alphabets import COLUMN_ALPHABET, RESIDUES_ONLY
 from seqloom.functions.scalar import column_letter, letters, strip_gaps
 from seqloom.functions.text import matches_udf, to_matrix
-from seqloom.operators.groups import NUMBERING_BUCKET, key_fields, over_tasks, row_numbers, salt
+from seqloom.operators.groups import NUMBERING_BUCKET, OUTER_BUCKET, key_fields, over_tasks, row_numbers, salt, with_group_values
 from seqloom.operators.neff import alignment_shape
 from seqloom.operators.tiles import N_LETTERS, count_tiles, coupling_norms, covariance_tiles, letter_codes, negative_inverse, one_hot, product_corrected
 from seqloom.session import MAX_GROUP_ROWS, written
@@ -102,7 +102,8 @@ def query_rows(df: DataFrame, key: list[str] = KEY) -> DataFrame:
 
 def identity_to_query(df: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Adds the query and the row's identity to it; rows of another length are left out."""
-    joined = df.join(query_rows(df, key), key).where(F.length("seq") == F.length("query"))
+    first = with_group_values(df, key, {"__q": (F.min(F.struct("seq_idx", "seq")), F.min)})
+    joined = first.select(*df.columns, F.col("__q.seq_idx").alias("query_idx"), F.col("__q.seq").alias("query")).where(F.length("seq") == F.length("query"))
     return joined.withColumn("identity", F.try_divide(matches_udf("seq", "query").cast("double"), F.length("seq")))
 
 
@@ -113,15 +114,13 @@ def coverage_rows(df: DataFrame, key: list[str] = KEY) -> DataFrame:
     alignment is never sorted in one task.
     """
     base = identity_to_query(df, key).withColumn("residues", F.length(strip_gaps(F.col("seq"))).cast("long"))
-    pair = base.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= 2).select(*key)
+    pairs = with_group_values(base, key, {"__n": (F.count(F.lit(1)), F.sum)}).where(F.col("__n") >= 2).drop("__n")
     is_query = F.col("seq_idx") == F.col("query_idx")
-    place = F.struct(
-        F.when(is_query, 0).otherwise(1).alias("a"),
-        F.when(is_query, F.lit(0).cast("long")).otherwise(-F.col("residues")).alias("b"),
-        F.floor(F.col("seq_idx") / NUMBERING_BUCKET).alias("c"),
-    )
-    order = [F.col("seq_idx")]
-    return row_numbers(base.join(pair, key, "left_semi"), key, place, order, "row_rank")
+    kind = F.when(is_query, 0).otherwise(1).alias("a")
+    filled = F.when(is_query, F.lit(0).cast("long")).otherwise(-F.col("residues")).alias("b")
+    stretch = F.floor(F.col("seq_idx") / NUMBERING_BUCKET)
+    place, outer = F.struct(kind, filled, stretch.alias("c")), F.struct(kind, filled, F.floor(stretch / OUTER_BUCKET).alias("c"))
+    return row_numbers(pairs, key, place, [F.col("seq_idx")], "row_rank", outer)
 
 
 def coverage_cells(df: DataFrame, key: list[str] = KEY) -> DataFrame:

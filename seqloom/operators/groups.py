@@ -12,24 +12,35 @@ from pyspark.sql.window import Window
 from seqloom.session import MAX_GROUP_ROWS, cut_lineage
 
 NUMBERING_BUCKET = 65536
+OUTER_BUCKET = 4096  # numbering buckets that are summed up together
 SALTS = 128  # parts over which a large group is dealt
 
 
 def row_numbers(
-    df: DataFrame, key: list[str], bucket: Column, order: list[Column], name: str = "row_no"
+    df: DataFrame, key: list[str], bucket: Column, order: list[Column], name: str = "row_no", outer: Column | None = None
 ) -> DataFrame:
     """0-based position of each row inside its group, without sorting a whole group in one task.
 
     ``bucket`` must be non-decreasing in ``order``. Rows are numbered inside (group, bucket) and
     shifted by the row count of the earlier buckets, so one task never holds more than a bucket.
+    Where a group may have very many buckets, ``outer``, non-decreasing in ``bucket``, names stretches of them: the counts of a
+    stretch meet in a task, and then one count per stretch.
     """
-    tagged = df.withColumn("__b", bucket)
-    before = Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        tagged.groupBy(*key, "__b")
-        .agg(F.count(F.lit(1)).alias("__c"))
-        .select(*key, "__b", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
-    )
+    tagged = df.withColumns({"__b": bucket} if outer is None else {"__b": bucket, "__o": outer})
+
+    def earlier(counts: DataFrame, within: list[str], by: str, total: str) -> DataFrame:
+        before = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn(total, F.coalesce(F.sum("__c").over(before), F.lit(0)))
+
+    if outer is None:
+        counts = tagged.groupBy(*key, "__b").agg(F.count(F.lit(1)).alias("__c"))
+        offsets = earlier(counts, key, "__b", "__off").drop("__c")
+    else:
+        counts = tagged.groupBy(*key, "__o", "__b").agg(F.count(F.lit(1)).alias("__c"))
+        stretches = earlier(counts.groupBy(*key, "__o").agg(F.sum("__c").alias("__c")), key, "__o", "__ahead").drop("__c")
+        within = earlier(counts, [*key, "__o"], "__b", "__near").join(stretches, [*key, "__o"])
+        offsets = within.select(*key, "__b", (F.col("__near") + F.col("__ahead")).alias("__off"))
+        tagged = tagged.drop("__o")
     inside = Window.partitionBy(*key, "__b").orderBy(*order)
     return (
         tagged.withColumn("__r", F.row_number().over(inside))

@@ -148,3 +148,14 @@ def test_large_groups_are_joined_by_parts(spread_msa, capsys, strategy):
     assert joins and all("__salt" in line for line in joins if "Sort" in line)
     got = out.groupBy("msa_id").agg(F.count("*").alias("n"), F.min_by("seq_idx", "rank").alias("q")).collect()
     assert {r["msa_id"]: (r["n"], r["q"]) for r in got} == {"big": (3, 7), "pair": (2, 0), "one": (1, 2)}
+
+
+def test_coverage_numbers_by_stretches(spread_msa, monkeypatch, capsys):
+    """The counts of many numbering buckets are summed by stretches; numbers stay those of a sort."""
+    monkeypatch.setattr(columns, "OUTER_BUCKET", 16)
+    out = columns.coverage_rows(spread_msa)
+    out.explain()
+    assert "__o" in capsys.readouterr().out
+    rows = sorted(out.where("msa_id = 'big'").collect(), key=lambda r: (r["seq_idx"] != 7, -r["residues"], r["seq_idx"]))
+    assert [r["row_rank"] for r in rows] == list(range(4000))
+    assert {r["msa_id"] for r in out.select("msa_id").distinct().collect()} == {"big", "pair"}
