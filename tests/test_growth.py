@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom.catalog import plans
 from seqloom.functions import uniform
-from seqloom.operators import augment, columns, dedup, filters, groups, select
+from seqloom.operators import augment, bands, columns, dedup, filters, groups, select
 from seqloom.operators.tiles import letter_codes, one_hot
 
 
@@ -159,3 +159,31 @@ def test_coverage_numbers_by_stretches(spread_msa, monkeypatch, capsys):
     rows = sorted(out.where("msa_id = 'big'").collect(), key=lambda r: (r["seq_idx"] != 7, -r["residues"], r["seq_idx"]))
     assert [r["row_rank"] for r in rows] == list(range(4000))
     assert {r["msa_id"] for r in out.select("msa_id").distinct().collect()} == {"big", "pair"}
+
+
+@pytest.mark.parametrize("width, threshold", [(60, 0.9), (20, 0.5), (70, 0.9), (6, 0.3), (3, 0.95)])
+def test_rows_that_end_in_gaps_meet_by_their_letters(msa, width, threshold):
+    """Similar rows share a bucket and are found once each; rows of a few letters do not all meet in bands of gaps."""
+    rng = np.random.default_rng(width)
+    rows = []
+    for _ in range(90):
+        row = list("".join(rng.choice(list("ACDEFG-HIKLM"), rng.integers(0, width + 1))).ljust(width, "-"))
+        rows.append("".join(row))
+        for _ in range(rng.integers(0, 7)):
+            row[rng.integers(0, width)] = str(rng.choice(list("AC-é\u0141m")))
+        rows.append("".join(row))
+    rows = list(dict.fromkeys(rows))
+    found = [set(x) for x in bands.buckets(rows, threshold)]
+    alike = {(i, j): sum(map(str.__eq__, rows[i], rows[j])) for j in range(len(rows)) for i in range(j)}
+    want = {(*pair, n) for pair, n in alike.items() if n / width > threshold}
+    assert all(found[i] & found[j] for i, j, _ in want)
+    got = dedup.near_duplicate_pairs(msa(rows), threshold).select("i", "j", "matches").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_short_rows_have_few_candidates():
+    rng = np.random.default_rng(4)
+    rows = ["".join(r).ljust(60, "-") for r in rng.choice(list("ACDEFGHIKLMNPQRSTVWY"), (300, 14))]
+    found = [set(x) for x in bands.buckets(rows, 0.9)]
+    met = sum(bool(found[i] & found[j]) for j in range(300) for i in range(j))
+    assert met < 0.05 * 300 * 299 / 2
