@@ -7,8 +7,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows of more letters than this are hashed by Spark's own expressions, so that a batch of long rows stays small.
 BULK_PLACES = 512
@@ -35,6 +37,11 @@ def hash_gauss(*keys: Column, seed: int = 0) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
+def key_prefix(*keys: Column) -> Column:
+    """What precedes the next key in the text that :func:`hash_uniform` hashes."""
+    return F.concat_ws(":", *[k.cast("string") for k in keys], F.lit(""))
+
+
 # --- Many draws per row ---------------------------------------------------------------------------
 
 _TURNS = [t for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in four * 4]
@@ -147,3 +154,15 @@ def place_uniforms(prefixes: list[str], counts: np.ndarray, suffix: str) -> list
         for r, values in zip(rows, drawn):
             out[r] = values[: counts[r]]
     return out
+
+
+def place_gauss(prefixes: list[str], counts: np.ndarray, seed: int = 0) -> list[np.ndarray]:
+    """Per row the draws of :func:`hash_gauss` for the keys of its prefix and the places from 0 to its count."""
+    length, angle = (place_uniforms(prefixes, counts, f":{c}:{seed}") for c in "ra")
+    return [np.sqrt(-2.0 * np.log(1.0 - u)) * np.cos(2.0 * math.pi * v) for u, v in zip(length, angle, strict=True)]
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def gauss_udf(prefix: pd.Series, count: pd.Series, seed: pd.Series) -> pd.Series:
+    # The seed is the same for all.
+    return pd.Series(place_gauss(prefix.tolist(), count.to_numpy(np.int64), int(seed.iloc[0])) if len(prefix) else [], dtype=object)

@@ -11,12 +11,13 @@ from pyspark.sql.window import Window
 
 from seqloom.alphabets import FALLBACK_MUTATION_RATE, MUTABLE_ALPHABET
 from seqloom.functions.scalar import bind, letters
-from seqloom.functions.uniform import BULK_PLACES, hash_gauss, hash_index, hash_uniform, place_draws, place_groups, place_uniforms, single_uniform
+from seqloom.functions.uniform import BULK_PLACES, hash_gauss, hash_index, hash_uniform, key_prefix, place_draws, place_gauss, place_groups, place_uniforms, single_uniform
 from seqloom.operators.filters import valid_chunks
 from seqloom.operators.groups import key_fields, row_numbers
 
 KEY = ["msa_id"]
 MAX_MATRIX_ROWS = 100_000  # substitution tables above this size are not treated as small
+WALK_ROWS = 256  # vectors whose noisy copies are held at a time
 # Per matrix: letter code -> (cumulative bounds, codes of the substitutes).
 Tables = dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]
 
@@ -360,16 +361,14 @@ def principal_walk(
             T.StructField(vector, T.ArrayType(T.DoubleType())),
         ]
     )
-    draws = F.transform(
-        F.sequence(F.lit(0), F.lit(n_samples - 1)),
-        lambda k: F.transform(F.col(vector), lambda x, i: F.lit(sigma) * hash_gauss(*[F.col(c) for c in keys], k, i, seed=seed)),
-    )
 
     def walk(batches):
-        # Vectors of one length go through together.
-        for pdf in (part for batch in batches for _, part in batch.groupby(batch[vector].str.len())):
+        # Vectors of one length go through together, some at a time.
+        alike = (part for batch in batches for _, part in batch.groupby(batch[vector].str.len()))
+        for pdf in (part.iloc[at : at + WALK_ROWS] for part in alike for at in range(0, len(part), WALK_ROWS)):
             base = np.stack(pdf[vector].to_numpy()).astype(float)
-            clouds = np.array([np.stack(draws) for draws in pdf["__draws"]], dtype=float).reshape(len(base), n_samples, -1)
+            draws = place_gauss([f"{p}{k}:" for p in pdf["__prefix"] for k in range(n_samples)], np.full(len(base) * n_samples, base.shape[1]), seed)
+            clouds = sigma * np.array(draws, dtype=float).reshape(len(base), n_samples, -1)
             # All rows of the batch at once: the right singular vectors of every centred cloud.
             axes = np.linalg.svd(clouds - clouds.mean(axis=1, keepdims=True), full_matrices=False)[2][:, :n_components]
             peak = np.take_along_axis(axes, np.abs(axes).argmax(axis=2)[..., None], axis=2)
@@ -385,4 +384,4 @@ def principal_walk(
                 }
             )
 
-    return df.select(*keys, vector).withColumn("__draws", draws).mapInPandas(walk, schema)
+    return df.select(*keys, vector, key_prefix(*[F.col(k) for k in keys]).alias("__prefix")).mapInPandas(walk, schema)

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from seqloom.catalog import plans
 from seqloom.functions import uniform
+from seqloom.functions.scalar import argmax_letter
 from seqloom.operators import augment, bands, columns, dedup, filters, groups, select
 from seqloom.operators.tiles import letter_codes, one_hot
+from seqloom.plans import requests, vectors
 
 
 @pytest.fixture
@@ -187,3 +189,42 @@ def test_short_rows_have_few_candidates():
     found = [set(x) for x in bands.buckets(rows, 0.9)]
     met = sum(bool(found[i] & found[j]) for j in range(300) for i in range(j))
     assert met < 0.05 * 300 * 299 / 2
+
+
+def test_disturbed_states_are_drawn_and_decoded_in_bulk(spark, monkeypatch, capsys):
+    """No draw of noise has a hash expression of its own, and a vector is decoded once; the draws are those of the expressions."""
+    states = spark.createDataFrame([(7, [1.0, -2.0, 0.5, 3.0, 0.0]), (8, [])], "query_id long, vector array<double>")
+    conf = {"noise_scales": [0.5, 2.0], "num_return_sequences": 2}
+    asked = requests.strategy_requests(states.select("query_id"), "embedding_walk_full", conf).unionByName(requests.strategy_requests(states.select("query_id"), "encoder_perturb", conf))
+    key = [F.col("query_id"), F.col("request_no")]
+    sigma, scale = F.col("params")["sigma"], [F.lit(vectors.DEPTH_DECAY ** (1 - k)) for k in range(2)]
+    want = F.transform("vector", lambda x, i: x + sigma * scale[0] * uniform.hash_gauss(*key, F.lit(0), i) + sigma * scale[1] * uniform.hash_gauss(*key, F.lit(1), i))
+    met = asked.where("strategy = 'embedding_walk_full'").join(states, "query_id").withColumn("vector", want)
+    got = vectors.disturbed_states(asked, states)
+    rows = {(r["query_id"], r["request_no"]): r["vector"] for r in got.where("strategy = 'embedding_walk_full'").collect()}
+    assert len(rows) == 8 and all(rows[r["query_id"], r["request_no"]] == pytest.approx(r["vector"], abs=1e-12) for r in met.collect())
+    out = vectors.vector_candidates(asked, states, vectors.window_decoder("acde"), F.lit(5))
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "md5" not in plan and plan.count("bulk(") <= 4
+    assert out.count() == 8
+
+
+def test_window_letters_are_the_largest_scores(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [([1.0, 3.0, 2.0, 3.0, -1.0],), ([0.0, -0.0, nan, inf, nan],), ([1.0, 2.0],), ([],), (None,), ([None, 1.0, nan, None],), ([None, None, None],)]
+    df = spark.createDataFrame(rows, "v array<double>")
+    scores = lambda i: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.get("v", F.pmod(i + k, F.size("v"))))
+    want = F.array_join(F.transform("v", lambda x, i: argmax_letter(scores(i), "acd")), "")
+    for r in df.select(want.alias("want"), vectors.window_decoder("acd")(F.col("v")).alias("got")).collect():
+        assert r["got"] == r["want"]
+
+
+def test_walks_take_the_draws_of_the_expressions(spark):
+    df = spark.createDataFrame([(3, [1.0, 2.0, 0.0, 5.0])], "id long, vector array<double>")
+    got = {r["component"]: r["vector"] for r in augment.principal_walk(df, 2, [1.0], 5, 0.5, ["id"], seed=4).collect()}
+    cells = df.select(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.transform("vector", lambda x, i: F.lit(0.5) * uniform.hash_gauss(F.col("id"), k, i, seed=4))).alias("d")).first()["d"]
+    cloud = np.array(cells)
+    axes = np.linalg.svd(cloud - cloud.mean(axis=0), full_matrices=False)[2][:2]
+    for k, axis in enumerate(axes):
+        assert got[k] == pytest.approx(np.array([1.0, 2.0, 0.0, 5.0]) + axis * np.sign(axis[np.abs(axis).argmax()]), abs=1e-9)
