@@ -1,5 +1,6 @@
 """Steps whose cost once grew too fast: same results, done the cheaper way."""
 
+import contextlib
 import hashlib
 
 import numpy as np
@@ -13,6 +14,7 @@ from seqloom.functions.scalar import argmax_letter
 from seqloom.operators import augment, bands, columns, dedup, filters, groups, select
 from seqloom.operators.tiles import letter_codes, one_hot
 from seqloom.plans import requests, vectors
+from seqloom.sources import fasta, sinks, structures
 
 
 @pytest.fixture
@@ -121,6 +123,14 @@ def test_groups_are_counted_before_the_filters(spark, msa, monkeypatch):
     assert "regexp_replace" not in plans_seen[0]
 
 
+@contextlib.contextmanager
+def spark_conf(spark, name, value):
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    yield
+    spark.conf.set(name, before)
+
+
 @pytest.fixture
 def spread_msa(spark):
     """One large alignment whose seq_idx leaves wide gaps, and two small ones."""
@@ -228,3 +238,26 @@ def test_walks_take_the_draws_of_the_expressions(spark):
     axes = np.linalg.svd(cloud - cloud.mean(axis=0), full_matrices=False)[2][:2]
     for k, axis in enumerate(axes):
         assert got[k] == pytest.approx(np.array([1.0, 2.0, 0.0, 5.0]) + axis * np.sign(axis[np.abs(axis).argmax()]), abs=1e-9)
+
+
+def test_a_large_alignment_has_several_writers(spark, spread_msa, tmp_path):
+    sinks.write_parts(spread_msa.withColumn("label", F.concat(F.lit("r"), F.col("seq_idx").cast("string"))), f"{tmp_path}/out")
+    files = {m: list(tmp_path.glob(f"out/msa_id={m}/*.txt")) for m in ("big", "pair", "one")}
+    assert len(files["big"]) > 1 and len(files["pair"]) == len(files["one"]) == 1
+    ids = [[int(line[2:]) for line in f.read_text().split() if line.startswith(">")] for f in files["big"]]
+    assert all(x == sorted(x) for x in ids) and sorted(sum(ids, [])) == [i * 100000 + 7 for i in range(4000)]
+    back = fasta.read_large_fasta(spark, f"{tmp_path}/out/msa_id=*", glob="*.txt").select("query_id", "seq")
+    assert sorted(map(tuple, back.collect())) == sorted((f"r{r['seq_idx']}", r["seq"]) for r in spread_msa.collect())
+
+
+def test_structures_share_files(spark, tmp_path):
+    """Few files hold many structures; the first model and the first location of a residue count, as in a file of its own."""
+    line = structures.atom_line(F.col("pos") + 1, F.col("id") / 4, F.col("pos") * -1.5, F.lit(7.0))
+    rows = spark.range(200).select("id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("pos")).select(F.col("id").alias("structure_id"), "pos", line.alias("value"))
+    later = rows.where("structure_id = 5").withColumn("pos", F.col("pos") + 20)
+    ends = rows.where("structure_id = 5 AND pos = 0").select("structure_id", F.lit(15).alias("pos"), F.lit("ENDMDL").alias("value"))
+    structures.write_bundles(rows.unionByName(later).unionByName(ends), f"{tmp_path}/out")
+    assert len(list(tmp_path.glob("out/part-*"))) <= 8
+    with spark_conf(spark, "spark.sql.files.maxPartitionBytes", "3000"):
+        got = structures.read_bundles(spark, f"{tmp_path}/out").collect()
+    assert sorted(map(tuple, got)) == sorted((str(i), p, i / 4, p * -1.5, 7.0) for i in range(200) for p in range(12))
