@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,9 @@ TASK_CELLS = 1 << 25
 # many times a position's letters.
 FEW_VALUES = 1 << 22
 FEW_RATIO = 4
+# Rows of one matrix product of joint counts, and partial sums of a position that are added up last.
+PRODUCT_ROWS = 4096
+JOINT_PARTS = 64
 # Positions of the coupling matrix that are put together at a time.
 STRIP = 16
 
@@ -134,29 +138,59 @@ def coverage_cells(df: DataFrame, key: list[str] = KEY) -> DataFrame:
 
 
 def _joint_kernel(key: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = one_hot(letter_codes(pdf["seq"].tolist()), np.float32)
-        both = np.triu(y.T @ y)
-        a, b = np.nonzero(both)
-        head = {k: pdf[k].iloc[0] for k in key}
-        return pd.DataFrame({**head, "a": a, "b": b, "n": both[a, b].astype(np.int64)})
+    """A block of rows to a row per position: counts of its letters with those of the positions from there on, as an array."""
+
+    def run(table: pa.Table) -> pa.Table:
+        codes = letter_codes(table.column("seq").to_pylist())
+        width = codes.shape[1]
+        both = np.zeros((width * N_LETTERS, width * N_LETTERS), np.int32)
+        for at in range(0, len(codes), PRODUCT_ROWS):
+            y = one_hot(codes[at : at + PRODUCT_ROWS], np.float32)
+            both += (y.T @ y).astype(np.int32)
+        head = table.select([*key, "__part"]).take(pa.array(np.zeros(width, np.int64)))
+        strips = [both[p * N_LETTERS : (p + 1) * N_LETTERS, p * N_LETTERS :].astype(np.int64).tobytes() for p in range(width)]
+        return head.append_column("pos", pa.array(range(width), pa.int32())).append_column("data", pa.array(strips, pa.binary()))
 
     return run
 
 
-def joint_counts(df: DataFrame, key: list[str] = KEY, block_rows: int = 4096) -> DataFrame:
+def _added(table: pa.Table) -> np.ndarray:
+    data = table.column("data")
+    total = np.frombuffer(data[0].as_py(), np.int64).copy()
+    for at in range(1, len(data)):
+        total += np.frombuffer(data[at].as_py(), np.int64)
+    return total
+
+
+def joint_counts(df: DataFrame, key: list[str] = KEY, block_rows: int = 65536) -> DataFrame:
     """How often two (position, letter) states occur in one row; states are ``pos * 22 + letter``.
 
-    Each block of rows becomes one matrix product, and only the non-zero counts leave the task.
+    Each block of rows becomes matrix products of ``PRODUCT_ROWS`` rows, added up in the task. What leaves it is an array per position;
+    these are added up in two steps, and only the sums become rows.
     """
-    shape = alignment_shape(df, key).where(F.col("min_len") == F.col("max_len"))
+    shape = alignment_shape(df, key).where((F.col("min_len") == F.col("max_len")) & (F.col("min_len") > 0))
     blocks = F.ceil(F.col("n_rows") / block_rows)
-    blocked = df.join(shape, key).withColumn("__blk", F.pmod(F.xxhash64("seq_idx"), blocks))
-    schema = T.StructType(
-        key_fields(df, key) + [T.StructField(c, T.LongType()) for c in ("a", "b", "n")]
-    )
-    parts = over_tasks(blocked.select(*key, "seq", "__blk"), [*key, "__blk"]).groupBy(*key, "__blk").applyInPandas(_joint_kernel(key), schema)
-    return parts.groupBy(*key, "a", "b").agg(F.sum("n").alias("n"))
+    blocked = df.join(shape, key).withColumn("__blk", F.pmod(F.xxhash64("seq_idx"), blocks)).withColumn("__part", F.col("__blk") % JOINT_PARTS)
+    strip = [T.StructField("pos", T.IntegerType()), T.StructField("data", T.BinaryType())]
+    partial = T.StructType([*key_fields(df, key), T.StructField("__part", T.LongType()), *strip])
+
+    def add(table: pa.Table) -> pa.Table:
+        return table.select([*key, "__part", "pos"]).slice(0, 1).append_column("data", pa.array([_added(table).tobytes()], pa.binary()))
+
+    def spread(table: pa.Table) -> pa.Table:
+        total = _added(table).reshape(N_LETTERS, -1)
+        total[:, :N_LETTERS] = np.triu(total[:, :N_LETTERS])
+        a, b = np.nonzero(total)
+        first = table.column("pos")[0].as_py() * N_LETTERS
+        head = table.select(key).take(pa.array(np.zeros(len(a), np.int64)))
+        for name, values in (("a", a + first), ("b", b + first), ("n", total[a, b])):
+            head = head.append_column(name, pa.array(values.astype(np.int64)))
+        return head
+
+    schema = T.StructType(key_fields(df, key) + [T.StructField(c, T.LongType()) for c in ("a", "b", "n")])
+    rows = over_tasks(blocked.select(*key, "seq", "__blk", "__part"), [*key, "__blk"])
+    strips = rows.groupBy(*key, "__blk").applyInArrow(_joint_kernel(key), partial)
+    return strips.groupBy(*key, "pos", "__part").applyInArrow(add, partial).groupBy(*key, "pos").applyInArrow(spread, schema)
 
 
 def _state(col: str, prefix: str) -> list[Column]:
@@ -164,7 +198,7 @@ def _state(col: str, prefix: str) -> list[Column]:
     return [F.floor(F.col(col) / N_LETTERS).cast("long").alias("pos_" + prefix), aa.alias("aa_" + prefix)]
 
 
-def column_covariance(df: DataFrame, key: list[str] = KEY, block_rows: int = 4096) -> DataFrame:
+def column_covariance(df: DataFrame, key: list[str] = KEY, block_rows: int = 65536) -> DataFrame:
     """Covariance of the one-hot columns (N - 1 denominator) for every observed pair of states.
 
     Upper triangle including the diagonal; a pair never seen together has ``-n_a n_b / (N (N - 1))``.
@@ -173,7 +207,8 @@ def column_covariance(df: DataFrame, key: list[str] = KEY, block_rows: int = 409
     single = joint.where(F.col("a") == F.col("b"))
     one = single.select(*key, F.col("a"), F.col("n").alias("n_a"))
     two = single.select(*key, F.col("a").alias("b"), F.col("n").alias("n_b"))
-    rows = alignment_shape(df, key).select(*key, "n_rows").where(F.col("n_rows") > 1)
+    # Every row has one letter in the first column.
+    rows = single.where(F.col("a") < N_LETTERS).groupBy(*key).agg(F.sum("n").alias("n_rows")).where(F.col("n_rows") > 1)
     cov = (F.col("n") - F.col("n_a") * F.col("n_b") / F.col("n_rows")) / (F.col("n_rows") - 1)
     return (
         joint.join(one, [*key, "a"]).join(two, [*key, "b"]).join(rows, key)

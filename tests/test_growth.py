@@ -261,3 +261,24 @@ def test_structures_share_files(spark, tmp_path):
     with spark_conf(spark, "spark.sql.files.maxPartitionBytes", "3000"):
         got = structures.read_bundles(spark, f"{tmp_path}/out").collect()
     assert sorted(map(tuple, got)) == sorted((str(i), p, i / 4, p * -1.5, 7.0) for i in range(200) for p in range(12))
+
+
+def test_joint_counts_leave_a_block_as_arrays(msa, monkeypatch, capsys):
+    """Many blocks give the counts of one; a block sends one array per column, not a row per pair of states."""
+    rng = np.random.default_rng(6)
+    rows = ["".join(r) for r in rng.choice(list("ACDEFGHIKL-?"), (300, 9))]
+    df = msa(rows, rows[:1], ["AC", "ACD"], ["", ""])
+    monkeypatch.setattr(columns, "PRODUCT_ROWS", 7)
+    monkeypatch.setattr(columns, "JOINT_PARTS", 3)
+    got = [sorted(map(tuple, columns.joint_counts(df, block_rows=n).select("msa_id", "a", "b", "n").collect())) for n in (65536, 11)]
+    y = one_hot(letter_codes(rows))
+    both = np.triu(y.T @ y)
+    want = [("m0", int(a), int(b), int(both[a, b])) for a, b in zip(*np.nonzero(both))]
+    assert got[0] == got[1] and [r for r in got[0] if r[0] == "m0"] == want and {r[0] for r in got[0]} == {"m0", "m1"}
+    columns.joint_counts(df).explain()
+    lines = [line for line in capsys.readouterr().out.splitlines() if "Exchange" in line]
+    assert not any("a#" in line and "b#" in line for line in lines)
+    counts = {(r["pos_i"], r["aa_i"], r["pos_j"], r["aa_j"]): (r["n"], r["cov"]) for r in columns.column_covariance(df).where("msa_id = 'm0'").collect()}
+    a, z = next((r[0], r[8]) for r in rows if r[0].isalpha() and r[8].isalpha())
+    first, last = [r[0] == a for r in rows], [r[8] == z for r in rows]
+    assert a != "X" != z and counts[0, a, 8, z] == (sum(a and b for a, b in zip(first, last)), pytest.approx(np.cov(first, last)[0, 1]))
