@@ -5,12 +5,14 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from seqloom.catalog import plans
 from seqloom.functions import uniform
 from seqloom.functions.scalar import argmax_letter
+from seqloom.functions.text import cut_texts, letter_pieces
 from seqloom.operators import augment, bands, columns, dedup, filters, groups, select
 from seqloom.operators.tiles import letter_codes, one_hot
 from seqloom.plans import requests, vectors
@@ -282,3 +284,62 @@ def test_joint_counts_leave_a_block_as_arrays(msa, monkeypatch, capsys):
     a, z = next((r[0], r[8]) for r in rows if r[0].isalpha() and r[8].isalpha())
     first, last = [r[0] == a for r in rows], [r[8] == z for r in rows]
     assert a != "X" != z and counts[0, a, 8, z] == (sum(a and b for a, b in zip(first, last)), pytest.approx(np.cov(first, last)[0, 1]))
+
+
+def test_texts_are_cut_in_bulk(spark, monkeypatch, capsys):
+    """No pattern is matched letter by letter; the pieces are those of the patterns."""
+    rng = np.random.default_rng(8)
+    texts = ["", "\n\n", "a", " \t.,\u0130\u00df", "ab\nc\r\nd", "xyz" * 41 + "\n", "\u00e9a\n\n" * 9, None]
+    texts += ["".join(rng.choice(list("aBz \n-\u0142"), n, p=[0.3, 0.3, 0.2, 0.1, 0.02, 0.04, 0.04])) for n in rng.integers(0, 400, 60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").repartition(3)
+    plain = F.regexp_extract_all(F.upper(F.regexp_replace("text", "[^A-Za-z\n]", "")), F.lit("[A-Z]{1,7}"), F.lit(0))
+    got = df.select("id", letter_pieces(F.col("text"), 7).alias("got"), plain.alias("want"))
+    got.select("got").explain()
+    assert "regexp" not in capsys.readouterr().out
+    want = {r["id"]: r["want"] for r in got.collect()}
+    assert {r["id"]: r["got"] for r in got.collect()} == want
+    monkeypatch.setattr("seqloom.functions.text.CUT_BYTES", 100)
+    assert cut_texts(pa.array(["?", *texts])[1:], 7).to_pylist() == [want[i] for i in range(len(texts))]
+
+
+def _kept_by_scan(rows, threshold):
+    kept = []
+    for i, r in enumerate(rows):
+        if not any(sum(map(str.__eq__, r, rows[k])) / len(r) > threshold for k in kept):
+            kept.append(i)
+    return kept
+
+
+@pytest.mark.parametrize("width, threshold, limit, heads", [(60, 0.9, 10, 2), (60, 0.9, 3, 64), (70, 0.9, 5, 1), (20, 0.8, 5, 2)])
+def test_even_rows_are_decided_by_pairs(msa, monkeypatch, width, threshold, limit, heads):
+    """Chains of close rows, buckets over many batches and rows of other letters: what is kept is what a scan keeps."""
+    rng = np.random.default_rng(width + heads)
+    rows = []
+    for i in range(260):
+        row = list(rows[rng.integers(len(rows))]) if rows and rng.random() < 0.7 else list("".join(rng.choice(list("ACDEFG-HIKLM"), rng.integers(0, width + 1))).ljust(width, "-"))
+        for _ in range(rng.integers(0, 5)):
+            row[rng.integers(0, width)] = str(rng.choice(list("ACLY-\u0141")))
+        rows.append("".join(row))
+    want = _kept_by_scan(rows, threshold)
+    df = msa(rows, rows[:90])
+    for few in (1 << 20, 0):
+        monkeypatch.setattr(dedup, "FEW_EDGES", few)
+        monkeypatch.setattr(bands, "MOST_LAG", 4 if few else 32)
+        with spark_conf(df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", "17"):
+            got = dedup.near_dedup(df, threshold, max_group_rows=limit, heads=heads).select("msa_id", "seq_idx").collect()
+        assert sorted(r["seq_idx"] for r in got if r["msa_id"] == "m0") == want
+        assert sorted(r["seq_idx"] for r in got if r["msa_id"] == "m1") == _kept_by_scan(rows[:90], threshold)
+
+
+def test_rows_meet_the_first_of_a_bucket_within_a_pass(msa, capsys):
+    """Pairs of a bucket never travel as candidates: no join files them, and later rows of a large bucket only meet its first ones."""
+    rows = ["".join(r).ljust(60, "-") for r in np.random.default_rng(3).choice(list("ACDE"), (200, 4))]
+    rows = list(dict.fromkeys(rows))
+    df = msa(rows).withColumnRenamed("seq_idx", "idx")
+    met = bands.near_heads(df, 0.9, ["msa_id"], 3)
+    met.explain()
+    assert "Join" not in capsys.readouterr().out
+    got = {tuple(r) for r in met.select("h_idx", "idx").collect()}
+    pairs = {x for x in got if x[0] is not None}
+    assert pairs == {(h, i) for i in range(len(rows)) for h in range(min(i, 3))}
+    assert got - pairs == {(None, i) for i in range(3, len(rows))}
