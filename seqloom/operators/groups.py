@@ -121,7 +121,8 @@ def over_tasks(df: DataFrame, key: list[str]) -> DataFrame:
     Kernels do far more work per byte than a relational operator, so partitions must not be merged by
     size alone. The grouping that follows needs no further shuffle.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    # Rows that a join or a grouping has dealt by this key into as many partitions would be left as they are, and these merged.
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1, *key)
 
 
 def pack_rows(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import contextlib
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from seqloom.catalog import plans
 from seqloom.functions import uniform
 from seqloom.functions.scalar import argmax_letter
 from seqloom.functions.text import cut_texts, letter_pieces
-from seqloom.operators import augment, bands, columns, dedup, filters, groups, select
+from seqloom.operators import augment, bands, columns, dedup, filters, groups, pairing, select
 from seqloom.operators.tiles import letter_codes, one_hot
 from seqloom.plans import requests, vectors
 from seqloom.sources import fasta, sinks, structures
@@ -343,3 +344,50 @@ def test_rows_meet_the_first_of_a_bucket_within_a_pass(msa, capsys):
     pairs = {x for x in got if x[0] is not None}
     assert pairs == {(h, i) for i in range(len(rows)) for h in range(min(i, 3))}
     assert got - pairs == {(None, i) for i in range(3, len(rows))}
+
+
+@pytest.mark.parametrize("sizes, k", [([2, 3], 9), ([3, 2], 4), ([5, 1, 2], 3), ([40, 7, 3], 12), ([13] * 12, 30), ([9] * 70, 5)])
+def test_combinations_are_drawn_in_bulk(sizes, k):
+    """The draws of a hash per draw and chain, for many subsets at a time."""
+    def uniform(keys):
+        return int.from_bytes(hashlib.md5(keys.encode()).digest()[:4], "big") / 4294967296.0
+
+    prefixes = [f"é{i}" for i in (0, 7, 12)]
+    for prefix, got in zip(prefixes, pairing.combination_sets(prefixes, sizes, k, 3), strict=True):
+        every = list(np.ndindex(*sizes)) if math.prod(sizes) <= 4 * k else None
+        if every is None:
+            drawn = [tuple(int(uniform(f"{prefix}:{d}:{c}:3") * n) for c, n in enumerate(sizes)) for d in range(4 * k)]
+            want = list(dict.fromkeys(drawn))[:k]
+        elif len(every) <= k:
+            want = every
+        else:
+            want = [every[i] for i in sorted(range(len(every)), key=lambda i: uniform(f"{prefix}:{i}:3"))[:k]]
+        assert list(map(tuple, got.tolist())) == want
+
+
+def test_rows_of_a_chain_are_compared_once_for_all_subsets(monkeypatch):
+    rng = np.random.default_rng(9)
+    chains = [["".join(x) for x in rng.choice(list("AC-D"), (n, w))] for n, w in ((6, 20), (2, 0), (5, 70), (60, 3))]
+    sets = [np.stack([rng.integers(0, len(c), 12) for c in chains], axis=1) for _ in range(7)]
+    calls, plain = [], pairing.pair_matches
+    monkeypatch.setattr(pairing, "pair_matches", lambda a, b: calls.append(1) or plain(a, b))
+    for threshold in (0.0, 0.4, 0.8, 1.0, 1.5):
+        want = []
+        for combos in sets:
+            texts = ["".join(c[i] for c, i in zip(chains, combo)) for combo in combos]
+            near = np.array([sum(sum(map(str.__eq__, a, b)) / 93 >= threshold for b in texts) for a in texts])
+            with np.errstate(divide="ignore"):
+                want.append(float((1.0 / near).sum() / math.sqrt(93)))
+        with np.errstate(divide="ignore"):
+            assert pairing.set_depths(chains, sets, threshold) == want
+    assert len(calls) == 5 * (2 + 7)  # the long chain has more pairs than the sets
+    ragged = pairing.set_depths([["A", "CC"], ["DD", "E"]], [np.array([[0, 0], [1, 1]]), np.array([[0, 0], [1, 0]])], 0.5)
+    assert ragged == [pytest.approx(2 / math.sqrt(3)), None] and pairing.set_depths([["", ""]], sets[:1], 0.5) == [None]
+
+
+def test_kernels_keep_their_tasks_behind_a_join(spark, capsys):
+    """Rows that a join has dealt by the key of a kernel are not merged into a few tasks by their size."""
+    df = spark.range(50).withColumn("v", F.col("id") * 2)
+    joined = df.join(df.where("id % 3 > 0").select("id").hint("merge"), "id", "left_semi")
+    groups.over_tasks(joined, ["id"]).groupBy("id").agg(F.collect_list("v")).explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out
