@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Rows of more letters than this are hashed by Spark's own expressions, so that a batch of long rows stays small.
-BULK_PLACES = 512
+BULK_PLACES = 4096
 # Places hashed at a time: about what fits a core's cache.
 BULK_CELLS = 1 << 14
 

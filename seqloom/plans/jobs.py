@@ -133,12 +133,14 @@ def build_complexes(
         rows = merge_block_runs(kept, evolved.select(*kept.columns))
     else:
         rows = merge_block_runs(kept, None)
+    # Both are read many times by what follows, and the evolution and the numbering behind them are dear.
+    rows = cut_lineage(rows)
     complex_type = dict(queries.dtypes)["complex_id"]
     parsed = rows.withColumn("b", F.from_json("msa_id", f"c {complex_type}, i int")).select(
         F.col("b.c").alias("complex_id"), F.col("b.i").alias("chain_idx"), "kind", "seq_idx", "seq"
     )
     concat = parsed.where((F.col("chain_idx") == -1) & (F.col("kind") == 0)).select("complex_id", "seq_idx", "seq")
-    chains = pairing.dense_rows(parsed.where(F.col("chain_idx") >= 0).select("complex_id", "chain_idx", "seq_idx", "seq"))
+    chains = cut_lineage(pairing.dense_rows(parsed.where(F.col("chain_idx") >= 0).select("complex_id", "chain_idx", "seq_idx", "seq")))
     wanted = queries.select("complex_id", F.size(F.split("query", ":")).alias("n"))
     paired = pairing.paired_block(chains, n_subsets, subset_size, top_k, threshold, n_chains=wanted)
     dense = row_numbers(paired, ["complex_id"], index_bucket(), [F.col("seq_idx")], "__at")

@@ -391,3 +391,27 @@ def test_kernels_keep_their_tasks_behind_a_join(spark, capsys):
     joined = df.join(df.where("id % 3 > 0").select("id").hint("merge"), "id", "left_semi")
     groups.over_tasks(joined, ["id"]).groupBy("id").agg(F.collect_list("v")).explain()
     assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+
+
+def test_rows_of_complexes_are_made_once(spark, capsys):
+    """What a complex's layout, subsets and chosen draws read is written once; rows of some thousand letters hash in bulk."""
+    from seqloom.plans import generate, jobs
+
+    assert uniform.BULK_PLACES >= 4096
+    queries = spark.createDataFrame([(1, "ACDEFGHIKL:" + "CDEFW" * 3), (2, "ACD")], "complex_id long, query string")
+    matrix, calls = augment.grouped_matrix(spark, "m", ["AC", "DEF", "GHIKLW"]), spark.sparkContext.accumulator(0)
+
+    def reversed_(part):
+        calls.add(len(part))
+        return part.assign(seq=part["chunk"].str[::-1])
+
+    out = jobs.build_complexes(
+        queries, lambda r: generate.run_generator(r, reversed_).drop("status", "error"), matrix, {"m": 20.0}, 1.0, n_subsets=3, subset_size=4, top_k=2,
+        params={"base": {"top_p": 0.9}}, num_returns=2, multiplier=1,
+    )
+    before = calls.value
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "__n_change" not in plan and "__table" not in plan and plan.count("MapInPandas") == 0
+    kinds = {r["row_kind"] for r in out.collect()}
+    assert {"info", "query", "concat", "paired", "chain_query"} == kinds and calls.value == before > 0
