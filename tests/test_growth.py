@@ -415,3 +415,24 @@ def test_rows_of_complexes_are_made_once(spark, capsys):
     assert "__n_change" not in plan and "__table" not in plan and plan.count("MapInPandas") == 0
     kinds = {r["row_kind"] for r in out.collect()}
     assert {"info", "query", "concat", "paired", "chain_query"} == kinds and calls.value == before > 0
+
+
+def test_filed_rows_travel_once(msa, monkeypatch, capsys):
+    """Rows are dealt to their buckets once and without the other buckets' keys; buckets too large for a task are joined."""
+    rng = np.random.default_rng(12)
+    rows = ["".join(rng.choice(list("ACDE"), n)).ljust(30, "-") for n in rng.integers(2, 31, 150)]
+    rows += [r[:k] + "W" + r[k + 1 :] for r, k in zip(rows, rng.integers(0, 30, 150))]
+    rows = list(dict.fromkeys(rows))
+    df = msa(rows + rows[:9], rows[:40])
+    want = {(i, j, n) for j in range(len(rows)) for i in range(j) if (n := sum(map(str.__eq__, rows[i], rows[j]))) / 30 > 0.85}
+    for held, joins in ((1 << 16, 0), (40, 1), (0, 1)):
+        monkeypatch.setattr(bands, "HELD_ROWS", held)
+        monkeypatch.setattr(bands, "COUNT_CELLS", 64)
+        out = dedup.near_duplicate_pairs(df, 0.85)
+        out.explain()
+        plan = capsys.readouterr().out
+        lines = [line for line in plan.splitlines() if "Exchange" in line and "bucket" in line]
+        assert plan.count("SortMergeJoin") == joins and (joins or (len(lines) == 1 and "keys#" not in plan))
+        got = [tuple(r) for r in out.where("msa_id = 'm0'").select("i", "j", "matches").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert {r["copies_i"] for r in out.where("msa_id = 'm0' AND i < 9").collect()} == {2}
