@@ -436,3 +436,20 @@ def test_filed_rows_travel_once(msa, monkeypatch, capsys):
         got = [tuple(r) for r in out.where("msa_id = 'm0'").select("i", "j", "matches").collect()]
         assert len(got) == len(set(got)) and set(got) == want
         assert {r["copies_i"] for r in out.where("msa_id = 'm0' AND i < 9").collect()} == {2}
+
+
+def test_many_small_files_have_many_writers(spark, tmp_path):
+    """Rows of a few bytes are not merged into one task that writes all their files."""
+    seen = []
+    for name in ("write_records", "write_named"):
+        df = spark.range(40).select(F.col("id").alias("msa_id"), F.lit(0).alias("seq_idx"), F.lit("r").alias("label"), F.lit("AC").alias("seq"), F.lit("x").alias("value"))
+        spark.sparkContext.setJobGroup(name, name)
+        if name == "write_records":
+            sinks.write_records(df, f"{tmp_path}/{name}")
+        else:
+            sinks.write_named(df, f"{tmp_path}/{name}", "msa_id", ".txt", "seq_idx")
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds]
+        seen.append(max(stages, key=lambda s: s.stageId).numTasks)
+    assert min(seen) >= 4
+    assert len(list(tmp_path.glob("write_records/msa_id=*/part-*"))) == len(list(tmp_path.glob("write_named/*.txt"))) == 40
